@@ -83,10 +83,12 @@ def commit_subject(message: Column) -> Column:
 
 
 def clean_path(p: Column) -> Column:
-    """Collapse '//' and '/./' and drop a trailing '/', keep '..' as it is."""
-    p = F.regexp_replace(p, r"/(?:\.?/)+", "/")
-    p = F.regexp_replace(p, r"^\./|/\.$", "")
-    return F.when(F.length(p) > 1, F.regexp_replace(p, r"/$", "")).otherwise(p)
+    """Collapse '//' and '/./' and drop a trailing '/', keep '..' as it is.
+
+    Most paths are clean already and pass with one test.
+    """
+    inner = F.regexp_replace(p, r"^\./|(?<=/)(?:\.?/)+|(?<=.)/\.?/*$", "")
+    return F.when(p.rlike(r"//|/\./|^\./|./\.?$"), inner).otherwise(p)
 
 
 def absolute_path(p: Column, cwd: Column) -> Column:

@@ -1,6 +1,7 @@
 """BM25 (Okapi) scoring of many queries over per-project corpora.
 
-One pass over the texts gives every corpus statistic.  Scores come from
+One pass over the texts gives every corpus statistic, reduced to a small
+summary.  Scores come from
 postings of query terms only: tokens are joined with the distinct query terms
 before anything is shuffled, so the traffic follows the number of hits rather
 than the size of the corpus.
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.functions.text import tokens
+from loregraph.session import cut_lineage, small_side
 
 # The usual Okapi parameters.
 K1 = 1.5
@@ -44,25 +46,41 @@ def term_counts(nodes: DataFrame) -> DataFrame:
     )
 
 
-def corpus_size(counts: DataFrame) -> DataFrame:
-    """(project, n_docs, avgdl) from ``term_counts``."""
-    return counts.filter(F.col("term").isNull()).select(
+def corpus_summary(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(project, term, df, n_terms, n_tokens): what scoring needs of a corpus.
+
+    One row per wanted (project, term), one row per document frequency for all
+    other terms together (term NULL), and one row with the corpus size, the
+    only one with ``n_tokens``.  Small, whatever the size of the vocabulary.
+    """
+    counts = term_counts(nodes)
+    kept = F.lit(None).cast("string")
+    if wanted is not None:
+        counts = counts.join(wanted.withColumn("wanted", F.lit(True)), ["project", "term"], "left")
+        kept = F.when(F.col("wanted"), F.col("term"))
+    return (
+        counts.withColumn("kept", kept)
+        .groupBy("project", F.col("kept").alias("term"), "df", F.col("term").isNull().alias("size"))
+        .agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n_tokens").alias("n_tokens"))
+        .drop("size")
+    )
+
+
+def corpus_stats(summary: DataFrame) -> DataFrame:
+    """(project, n_docs, avgdl, n_terms, mean_idf) from ``corpus_summary``."""
+    size = summary.filter(F.col("n_tokens").isNotNull()).select(
         "project",
         F.col("df").alias("n_docs"),
         (F.col("n_tokens") / F.col("df")).alias("avgdl"),
     )
-
-
-def corpus_stats(counts: DataFrame) -> DataFrame:
-    """(project, n_docs, avgdl, n_terms, mean_idf)."""
-    size = corpus_size(counts)
+    idf = _log_odds(F.col("n_docs"), F.col("df"))
     return (
-        counts.filter(F.col("term").isNotNull())
+        summary.filter(F.col("n_tokens").isNull())
         .join(size, "project")
         .groupBy("project", "n_docs", "avgdl")
         .agg(
-            F.count(F.lit(1)).alias("n_terms"),
-            F.avg(_log_odds(F.col("n_docs"), F.col("df"))).alias("mean_idf"),
+            F.sum("n_terms").alias("n_terms"),
+            (F.sum(F.col("n_terms") * idf) / F.sum("n_terms")).alias("mean_idf"),
         )
     )
 
@@ -76,18 +94,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def weighted_terms(queries: DataFrame, counts: DataFrame) -> DataFrame:
+def weighted_terms(terms: DataFrame, summary: DataFrame) -> DataFrame:
     """Query terms that occur in their corpus, with idf and corpus size.
 
     A negative idf (term in more than half of the documents) is replaced by
     ``EPSILON`` times the mean idf of the corpus, which may itself be negative.
     """
-    stats = corpus_stats(counts)
     idf = _log_odds(F.col("n_docs"), F.col("df"))
+    found = summary.filter(F.col("term").isNotNull()).select("project", "term", "df")
     return (
-        query_terms(queries)
-        .join(counts.drop("n_tokens"), ["project", "term"])
-        .join(stats, "project")
+        terms.join(found, ["project", "term"])
+        .join(corpus_stats(summary), "project")
         .select(
             "query_id",
             "project",
@@ -99,12 +116,15 @@ def weighted_terms(queries: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def postings(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+def postings(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(project, id, dl, term, tf) for the wanted (project, term) rows only."""
     docs = nodes.select("project", "id", tokens(F.col("text")).alias("toks"))
+    # explode_outer: plain explode would add a filter that tokenises once more.
     return (
-        docs.select("project", "id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-        .join(terms, ["project", "term"])
+        docs.select(
+            "project", "id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")
+        )
+        .join(wanted, ["project", "term"])
         .groupBy("project", "id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -113,11 +133,15 @@ def postings(nodes: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, project, id, raw) for documents sharing a term with the query.
 
-    Documents without a shared term have raw score 0 and are not listed.
+    Documents without a shared term have raw score 0 and are not listed.  The
+    query terms and the corpus summary are small and used repeatedly, so they
+    are written out first.
     """
-    counts = term_counts(nodes)
-    weighted = weighted_terms(queries, counts)
-    wanted = query_terms(queries).select("project", "term").distinct()
+    terms = cut_lineage(query_terms(queries))
+    n_terms = terms.count()
+    wanted = small_side(terms.select("project", "term").distinct(), n_terms)
+    summary = cut_lineage(corpus_summary(nodes, wanted))
+    weighted = small_side(weighted_terms(terms, summary), n_terms)
     tf, dl = F.col("tf"), F.col("dl")
     gain = (
         F.col("qtf")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loregraph.operators.filters import of_project
+from loregraph.session import shuffle_width
 
 # Retrieval scores by distance from a seed.
 HOP1_SCORE = 0.5
@@ -14,11 +15,8 @@ HOP2_SCORE = 0.25
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(id, neighbor_id, ...): every edge seen from both ends, in one scan."""
-    ends = F.array(
-        F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("neighbor_id")),
-        F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("neighbor_id")),
-    )
-    return edges.withColumn("end", F.explode(ends)).select("end.*", *edges.columns)
+    a, b = F.col("source_id"), F.col("target_id")
+    return edges.select(F.stack(F.lit(2), a, b, b, a).alias("id", "neighbor_id"), *edges.columns)
 
 
 def edges_of(edges: DataFrame, node_id: str) -> DataFrame:
@@ -144,15 +142,19 @@ def strongest_neighbors(
 def hop_scores(seeds: DataFrame, edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, id, graph): proximity to the seeds, two hops deep.
 
-    ``seeds(query_id, project, id)``; direct neighbours score 0.5, theirs
-    0.25.  Expansion passes only through candidate nodes of the query's
+    ``seeds(query_id, project, id)``, best a written table, since it is used
+    three times.  Direct neighbours score 0.5, theirs 0.25.  Expansion passes only through candidate nodes of the query's
     project, seeds themselves score nothing, strengths are ignored.
     """
     links = undirected(edges).select("id", "neighbor_id")
     seed_keys = seeds.select("query_id", "id")
+    # The second hop multiplies these rows, so they are kept in all partitions
+    # however few bytes they are.
+    width = shuffle_width(edges.sparkSession)
     first = (
         seeds.join(links, "id")
         .select("query_id", "project", F.col("neighbor_id").alias("id"))
+        .repartition(width, "query_id", "id")
         .distinct()
         .join(seed_keys, ["query_id", "id"], "left_anti")
     )
@@ -166,8 +168,9 @@ def hop_scores(seeds: DataFrame, edges: DataFrame, candidates: DataFrame) -> Dat
     return (
         first.withColumn("graph", F.lit(HOP1_SCORE))
         .unionByName(second.withColumn("graph", F.lit(HOP2_SCORE)))
-        .groupBy("query_id", "id")
+        .groupBy("query_id", "project", "id")
         .agg(F.max("graph").alias("graph"))
+        .drop("project")
     )
 
 

@@ -1,7 +1,7 @@
 """Signals read off events and commits: hotspots, failures, co-occurrence, churn.
 
-``events(project, session_id, type, timestamp, data VARIANT, pos)``; ``pos``
-is any orderable position of the event in its transcript.  Sessions are
+``events(project, session_id, type, timestamp, path, data VARIANT, pos)``;
+``pos`` is any orderable position of the event in its transcript.  Sessions are
 identified by (project, session_id).
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.operators.skew import LANE_ROWS, every_lane, lane_counts, own_lane
+from loregraph.session import cut_lineage
 
 HOTSPOT_WRITES = 3
 CO_OCCURRENCE_SECONDS = 60
@@ -28,8 +29,8 @@ def file_writes(events: DataFrame) -> DataFrame:
     """(project, session_id, path, timestamp, pos) of writes with a path."""
     return (
         events.filter(F.col("type") == "file_write")
-        .select(*SESSION, payload("path").alias("path"), "timestamp", "pos")
-        .filter(F.coalesce("path", F.lit("")) != "")
+        .filter(F.col("path").isNotNull())
+        .select(*SESSION, "path", "timestamp", "pos")
     )
 
 
@@ -83,10 +84,11 @@ def co_occurring_writes(
     in one bucket always qualify (its times differ by less than the window),
     and two in adjacent buckets do when the later one's earliest time is close
     enough to the earlier one's latest.  The rest is an equi-join on the
-    bucket; crowded buckets are cut into lanes.
+    bucket; crowded buckets are cut into lanes.  The reduced rows are used
+    three times and therefore written out.
     """
     key = [*SESSION, "bucket"]
-    slots = (
+    slots = cut_lineage(
         writes.withColumn("bucket", F.floor(F.col("timestamp") / F.lit(window)).cast("bigint"))
         .groupBy(*key, "path")
         .agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
@@ -128,7 +130,7 @@ def co_occurring_writes(
 def session_signals(events: DataFrame) -> DataFrame:
     """Per session: size and start, and how many signals of each kind it has."""
     writes = file_writes(events)
-    path = F.when(F.col("type") == "file_write", payload("path"))
+    path = F.when(F.col("type") == "file_write", F.col("path"))
     base = events.groupBy(*SESSION).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.min("timestamp").alias("started_at"),
@@ -136,7 +138,7 @@ def session_signals(events: DataFrame) -> DataFrame:
         F.count_if(
             (F.col("type") == "assistant_message") & (F.coalesce(payload("text"), F.lit("")) != "")
         ).alias("n_prose_turns"),
-        F.count_if(F.coalesce(path, F.lit("")) != "").alias("n_writes"),
+        F.count(path).alias("n_writes"),
     )
     hot = hotspots(writes).groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n_hotspots"))
     pairs = co_occurring_writes(writes).groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n_pairs"))

@@ -204,6 +204,8 @@ def top_matches(
         .drop("n_lanes", "q_lanes")
     )
     block = group + ["q_lane", "n_lane"]
+    # Own column names on the right: both sides may come from one frame.
+    right = right.select("id", "embedding", *[F.col(c).alias(f"n_{c}") for c in block])
 
     def multiply(q: pa.Table, n: pa.Table) -> pa.Table:
         empty = pa.table(
@@ -235,7 +237,7 @@ def top_matches(
     types = dict(queries.dtypes), dict(nodes.dtypes)
     found = (
         left.groupBy(*block)
-        .cogroup(right.groupBy(*block))
+        .cogroup(right.groupBy(*[f"n_{c}" for c in block]))
         .applyInArrow(
             multiply,
             f"query_id {types[0]['query_id']}, id {types[1]['id']}, similarity double",

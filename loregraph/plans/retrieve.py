@@ -14,6 +14,7 @@ from loregraph.functions.models import TokenCounter, word_count_tokens
 from loregraph.operators.assembly import TOKEN_BUDGET, TOP_K, enforce_budget
 from loregraph.operators.bm25 import bm25_hits, bm25_normalised
 from loregraph.operators.graph import hop_scores
+from loregraph.session import cut_lineage
 
 # Channel weights and number of graph seeds.
 VECTOR_WEIGHT = 0.5
@@ -33,8 +34,7 @@ def conventions_of(nodes: DataFrame) -> DataFrame:
 def vector_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, project, id, weight, vector) for every candidate of a query.
 
-    Norms are taken once per row, before the join multiplies the rows.  The
-    result is spread by (query_id, id), which the later joins share.
+    Norms are taken once per row, before the join multiplies the rows.
     """
     q = queries.select(
         "query_id",
@@ -55,10 +55,8 @@ def vector_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     score = F.when(
         F.col("e").isNull() | F.col("q").isNull(), F.lit(0.0)
     ).otherwise(F.greatest(F.lit(0.0), cosine))
-    return (
-        c.join(q, "project")
-        .select("query_id", "project", "id", "weight", score.alias("vector"))
-        .repartition("query_id", "id")
+    return c.join(q, "project").select(
+        "query_id", "project", "id", "weight", score.alias("vector")
     )
 
 
@@ -77,7 +75,8 @@ def fused_scores(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     candidates = candidates_of(nodes)
     scored = vector_scores(queries, candidates)
     keyword = bm25_normalised(bm25_hits(candidates, queries)).select("query_id", "id", "bm25")
-    graph = hop_scores(seed_nodes(scored), edges, candidates)
+    seeds = cut_lineage(seed_nodes(scored))
+    graph = hop_scores(seeds, edges, candidates)
     v, b, g = F.col("vector"), F.col("bm25"), F.col("graph")
     return (
         scored.join(keyword, ["query_id", "id"], "left")
@@ -152,7 +151,7 @@ def retrieve(
     All conventions of the project come with rank 0 (order them by weight),
     whether or not they fit the budget; candidates follow with their rank.
     """
-    fused = fused_scores(queries, nodes, edges)
+    fused = cut_lineage(fused_scores(queries, nodes, edges))
     picked = selected_candidates(fused, nodes, budget, counter).filter("kept")
     always = conventions_of(nodes).select("project", "id", "tier", "text", "rationale", "weight")
     none = F.lit(None).cast("double")
@@ -179,7 +178,7 @@ def trace(
 ) -> DataFrame:
     """Every candidate of every query with its scores and the reason why it
     was or was not handed over."""
-    fused = fused_scores(queries, nodes, edges)
+    fused = cut_lineage(fused_scores(queries, nodes, edges))
     picked = selected_candidates(fused, nodes, budget, counter).select(
         "query_id", "id", "rank", "kept"
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Adaptive execution does the run-time work the operators rely on: it
 # broadcasts a join side only after its shuffled size is known, splits skewed
@@ -16,7 +18,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -53,6 +54,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table to the shared checkpoint folder and read that.
+
+    For results used more than once.  Unlike an RDD checkpoint the files are
+    columnar, so later readers fetch only the columns they need, and their
+    size is known when joins are planned.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan over all cores when its files give too few partitions.
+
+    A file with one row group is read by one task, which then also does all
+    the per-row work behind it.  Inputs with enough partitions, which is to
+    say all large ones, are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small_side(side: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint how to join a side whose row count has been checked.
+
+    Up to ``limit`` narrow rows it is broadcast, so the other side need not be
+    shuffled; above that both sides are shuffled and merged.
+    """
+    return F.broadcast(side) if rows <= limit else side.hint("merge")
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Number of shuffle partitions, for steps that must not be coalesced."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

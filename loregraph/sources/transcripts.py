@@ -1,8 +1,8 @@
 """JSON-lines transcripts as typed events.
 
-One text line is one event.  Reading is schema-on-read with VARIANT, which
-accepts numbers given as text or with a fraction; a line that cannot be used
-never fails the job.
+One text line is one event.  The envelope is parsed once, with its members
+kept as text and converted tolerantly: numbers may be given as text or with a
+fraction, and a line that cannot be used never fails the job.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from loregraph.functions.text import absolute_path
 from loregraph.schema import EVENT_TYPES
 
 SKIPPED_TYPE = "user_message"
+_ENVELOPE = "type string, timestamp string, session_id string, data string, bad string"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -33,91 +34,92 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _classified(lines: DataFrame) -> DataFrame:
-    """Add the parsed ``doc`` and a ``reason`` for lines that give no event."""
-    doc = F.try_parse_json(F.col("value"))
-    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
-    raw_type = F.try_variant_get("doc", "$.type", "string")
-    # A missing timestamp or payload takes its default; a present one must be usable.
-    has_ts = F.try_variant_get("doc", "$.timestamp", "variant").isNotNull()
-    has_data = F.try_variant_get("doc", "$.data", "variant").isNotNull()
-    data = F.try_variant_get("doc", "$.data", "variant")
-    data_ok = F.coalesce(F.schema_of_variant(data).startswith("OBJECT"), F.lit(False))
-    parsed = lines.filter(F.length(F.trim(F.regexp_replace("value", r"(?U)\s", " "))) > 0)
-    parsed = parsed.withColumn("doc", doc)
+def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated once per row.
+
+    The optimizer moves conditions below projections by repeating the
+    expressions they refer to; it cannot do so through a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _envelope(lines: DataFrame) -> DataFrame:
+    """Add the members of each line as ``rec``; blank lines are left out."""
+    rec = F.from_json("value", _ENVELOPE, {"columnNameOfCorruptRecord": "bad"})
+    return _computed_once(lines, "rec", rec).filter(F.col("value").rlike(r"(?U)[^\s]"))
+
+
+def _explicit_null(member: str) -> Column:
+    return F.col("value").rlike(rf'"{member}"\s*:\s*null')
+
+
+def _timestamp() -> Column:
+    text = F.col("rec.timestamp")
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+
+
+def _reason() -> Column:
+    """Why a line gives no event, NULL when it does.
+
+    A missing timestamp or payload takes its default; one that is there must
+    be usable.
+    """
+    is_object = F.col("value").rlike(r"(?U)^\s*\{")
+    ts, data = F.col("rec.timestamp"), F.col("rec.data")
     return (
-        parsed.withColumn("type", F.when(is_object, raw_type))
-        .withColumn("timestamp", F.try_variant_get("doc", "$.timestamp", "bigint"))
-        .withColumn("session_id", F.try_variant_get("doc", "$.session_id", "string"))
-        .withColumn(
-            "reason",
-            F.when(F.col("doc").isNull(), F.lit("not JSON"))
-            .when(~is_object, F.lit("not an object"))
-            .when(
-                ~F.coalesce(F.col("type").isin(*EVENT_TYPES), F.lit(False)), F.lit("unknown type")
-            )
-            .when(F.col("type") == SKIPPED_TYPE, F.lit("user message"))
-            .when(has_ts & F.col("timestamp").isNull(), F.lit("bad timestamp"))
-            .when(has_data & ~data_ok, F.lit("payload is not an object")),
+        F.when(~is_object & F.try_parse_json("value").isNotNull(), F.lit("not an object"))
+        .when(F.col("rec.bad").isNotNull() | ~is_object, F.lit("not JSON"))
+        .when(
+            ~F.coalesce(F.col("rec.type").isin(*EVENT_TYPES), F.lit(False)), F.lit("unknown type")
+        )
+        .when(F.col("rec.type") == SKIPPED_TYPE, F.lit("user message"))
+        .when(
+            (ts.isNotNull() & _timestamp().isNull()) | (ts.isNull() & _explicit_null("timestamp")),
+            F.lit("bad timestamp"),
+        )
+        .when(
+            (data.isNotNull() & ~data.startswith("{")) | (data.isNull() & _explicit_null("data")),
+            F.lit("payload is not an object"),
         )
-        .withColumn("data", F.when(data_ok, data).otherwise(F.parse_json(F.lit("{}"))))
     )
 
 
 def parse_events(lines: DataFrame, cwd: Column | str = "/") -> DataFrame:
     """Events of the usable lines; works on batch and streaming frames.
 
-    Other columns of ``lines`` are kept.  Relative paths in the payload are
-    resolved against ``cwd``.
+    The result has type, timestamp, session_id, ``path`` (of file reads and
+    writes) and ``tool_path`` (file a tool was used on), both made absolute
+    against ``cwd``, the payload as ``data`` VARIANT, and the other columns of
+    ``lines``.
     """
     kept = [c for c in lines.columns if c != "value"]
     base = cwd if isinstance(cwd, Column) else F.lit(cwd)
-    good = _classified(lines).filter(F.col("reason").isNull())
+    kind, data = F.col("rec.type"), F.col("rec.data")
+    is_file = kind.isin("file_read", "file_write")
+    raw = F.when(is_file, F.get_json_object(data, "$.path")).when(
+        kind == "tool_use", F.get_json_object(data, "$.tool_input.file_path")
+    )
+    good = _computed_once(_envelope(lines).filter(_reason().isNull()), "raw", raw)
+    # An empty path is no path; it must not turn into the working directory.
+    place = F.when(F.col("raw") != "", absolute_path(F.col("raw"), base))
     return good.select(
-        "type",
-        F.coalesce("timestamp", F.lit(0).cast("bigint")).alias("timestamp"),
-        F.coalesce("session_id", F.lit("")).alias("session_id"),
-        _with_absolute_paths(base).alias("data"),
+        kind.alias("type"),
+        F.coalesce(_timestamp(), F.lit(0).cast("bigint")).alias("timestamp"),
+        F.coalesce("rec.session_id", F.lit("")).alias("session_id"),
+        F.when(is_file, place).alias("path"),
+        F.when(kind == "tool_use", place).alias("tool_path"),
+        F.parse_json(F.coalesce(data, F.lit("{}"))).alias("data"),
         *kept,
     )
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Lines without an event and why (blank lines are no rejects)."""
-    return _classified(lines).filter(F.col("reason").isNotNull()).select(*lines.columns, "reason")
-
-
-def _with_absolute_paths(base: Column) -> Column:
-    """Payload with its path made absolute.
-
-    Only payloads that carry a path are rewritten, as a map of top-level
-    fields from text to variant.
-    """
-    path = F.try_variant_get("data", "$.path", "string")
-    is_text = F.schema_of_variant(F.try_variant_get("data", "$.path", "variant")) == "STRING"
-    tool_path = F.try_variant_get("data", "$.tool_input.file_path", "string")
-    fields = F.try_variant_get("data", "$", "map<string,variant>")
-    inner = F.try_variant_get("data", "$.tool_input", "map<string,variant>")
-
-    def put(m: Column, key: str, value: Column) -> Column:
-        others = F.map_filter(m, lambda k, _: k != key)
-        return F.map_concat(others, F.create_map(F.lit(key), value))
-
-    def text(value: Column) -> Column:
-        return F.to_variant_object(F.array(value))
-
-    def as_variant(value: Column) -> Column:
-        return F.try_variant_get(text(value), "$[0]", "variant")
-
-    file_event = F.col("type").isin("file_read", "file_write") & F.coalesce(is_text, F.lit(False))
-    tool_event = (F.col("type") == "tool_use") & tool_path.isNotNull()
-    moved = put(fields, "path", as_variant(absolute_path(path, base)))
-    new_input = put(inner, "file_path", as_variant(absolute_path(tool_path, base)))
-    moved_tool = put(fields, "tool_input", F.to_variant_object(new_input))
     return (
-        F.when(file_event, F.to_variant_object(moved))
-        .when(tool_event, F.to_variant_object(moved_tool))
-        .otherwise(F.col("data"))
+        _envelope(lines)
+        .withColumn("reason", _reason())
+        .filter(F.col("reason").isNotNull())
+        .select(*lines.columns, "reason")
     )
 
 

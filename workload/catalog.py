@@ -28,6 +28,7 @@ from loregraph.operators import (
     structure,
 )
 from loregraph.plans import reports, retrieve
+from loregraph.session import cut_lineage
 from loregraph.sources import exchange, transcripts
 from workload import derived as d
 
@@ -237,7 +238,7 @@ def edge_upsert(spark, sf):
 
 @query
 def graph_hops(spark, sf):
-    n = d.nodes(spark, sf)
+    n = d.stored_nodes(spark, sf)
     seeds = retrieve.conventions_of(n).select(
         F.col("id").alias("query_id"), "project", "id"
     )
@@ -251,8 +252,8 @@ def graph_hops(spark, sf):
 def transcript_events(spark, sf):
     e = d.events(spark, sf)
     return e.select(
-        "event_id", "type", "timestamp", "session_id",
-        *[signals.payload(c).alias(c) for c in ("path", "command", "exit_code", "output")],
+        "event_id", "type", "timestamp", "session_id", "path",
+        *[signals.payload(c).alias(c) for c in ("command", "exit_code", "output")],
     )
 
 
@@ -395,9 +396,9 @@ def vector_topk(spark, sf):
 
 @query
 def nearest_match(spark, sf):
-    c = d.candidates(spark, sf)
-    probes = c.select(F.col("id").alias("query_id"), "project", "embedding")
-    out = similarity.nearest_match(probes, d.nodes(spark, sf), 0.9)
+    n = d.nodes(spark, sf)
+    probes = d.candidates(n).select(F.col("id").alias("query_id"), "project", "embedding")
+    out = similarity.nearest_match(probes, n, 0.9)
     return out.select("query_id", "match_id", r6("similarity"))
 
 
@@ -435,29 +436,29 @@ def quantized_cosine(spark, sf):
 
 @query
 def corpus_stats(spark, sf):
-    counts = bm25.term_counts(d.nodes(spark, sf))
-    return bm25.corpus_stats(counts).select(
+    summary = cut_lineage(bm25.corpus_summary(d.nodes(spark, sf)))
+    return bm25.corpus_stats(summary).select(
         "project", "n_docs", r6("avgdl"), "n_terms", r6("mean_idf")
     )
 
 
 @query
 def bm25_search(spark, sf):
-    return reports.search(d.nodes(spark, sf), d.queries(spark, sf), 10).select(
+    return reports.search(d.stored_nodes(spark, sf), d.queries(spark, sf), 10).select(
         "query_id", "rank", "id", "tier", "score"
     )
 
 
 @query
 def bm25_normalised(spark, sf):
-    n = retrieve.candidates_of(d.nodes(spark, sf))
+    n = retrieve.candidates_of(d.stored_nodes(spark, sf))
     hits = bm25.bm25_hits(n, d.queries(spark, sf))
     return bm25.bm25_normalised(hits).select("query_id", "id", r6("bm25"))
 
 
 @query
 def fused_topk(spark, sf):
-    fused = retrieve.fused_scores(d.queries(spark, sf), d.nodes(spark, sf), d.edges(spark, sf))
+    fused = retrieve.fused_scores(d.queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf))
     return retrieve.top_fused(fused).select(
         "query_id", "project", "rank", "id", *map(r6, ("vector", "bm25", "graph", "fused"))
     )
@@ -466,7 +467,7 @@ def fused_topk(spark, sf):
 @query
 def retrieve_nodes(spark, sf):
     out = retrieve.retrieve(
-        d.queries(spark, sf), d.nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
+        d.queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
     )
     return out.select("query_id", "rank", "id", "tier", r6("fused"))
 
@@ -474,7 +475,7 @@ def retrieve_nodes(spark, sf):
 @query
 def retrieve_trace(spark, sf):
     out = retrieve.trace(
-        d.queries(spark, sf), d.nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
+        d.queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
     )
     return out.select(
         "query_id", "id", *map(r6, ("vector", "bm25", "graph", "fused")), "included", "reason"
@@ -484,7 +485,7 @@ def retrieve_trace(spark, sf):
 @query
 def budget_greedy(spark, sf):
     """Fill a budget per document source with its eight heaviest documents."""
-    n = d.nodes(spark, sf)
+    n = d.stored_nodes(spark, sf)
     ranked = filters.top_per_project(
         n.select(F.col("project").alias("query_id"), "project", "id", "weight", "text"),
         [F.desc("weight"), F.col("id")],
@@ -499,7 +500,7 @@ def budget_greedy(spark, sf):
 @query
 def block_lines(spark, sf):
     out = retrieve.retrieve(
-        d.queries(spark, sf), d.nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
+        d.queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
     )
     lines = assembly.block_lines(out)
     return lines.select("query_id", "section", r6("sort_key"), "id", F.md5("line").alias("line"))
@@ -508,7 +509,7 @@ def block_lines(spark, sf):
 @query
 def block_tokens(spark, sf):
     out = retrieve.retrieve(
-        d.queries(spark, sf), d.nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
+        d.queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
     )
     return assembly.block_tokens(assembly.block_lines(out))
 
@@ -521,13 +522,11 @@ BUDGET = 8_000
 # ---------------------------------------------------------------- changes
 
 
-def _matched(spark, sf):
-    return merge.match_candidates(d.candidates(spark, sf), d.nodes(spark, sf))
-
-
 @query
 def merge_fold(spark, sf):
-    out = merge.merge_candidates(d.nodes(spark, sf), _matched(spark, sf), d.NOW)
+    n = d.stored_nodes(spark, sf)
+    matched = merge.match_candidates(d.candidates(n), n)
+    out = merge.merge_candidates(n, cut_lineage(matched), d.NOW)
     return out.select(
         "id", "project", F.md5("text").alias("text"), "rationale", r6("weight"),
         "session_count", "last_accessed", "tier",

@@ -13,6 +13,7 @@ from loregraph.operators.extraction import place, position
 from loregraph.operators.graph import pairs_to_edges, upsert_edges
 from loregraph.operators.signals import co_occurring_writes
 from loregraph.schema import EDGES
+from loregraph.session import cut_lineage, spread
 from loregraph.sources.transcripts import parse_events
 
 BASE_TIME = 1_700_000_000
@@ -20,8 +21,18 @@ NOW = 1_702_000_000
 PROJECT = "/work/p"
 
 
+# Tables with per-row work heavy enough to be spread over all cores.
+_SPREAD = {
+    "documents": ("doc_id",),
+    "events": ("event_id",),
+    "conversations": ("conv_id", "turn"),
+    "embeddings": ("vec_id",),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *_SPREAD[name]) if name in _SPREAD else df
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -57,6 +68,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes as a written table, for queries that scan them repeatedly."""
+    return cut_lineage(nodes(spark, sf_dir))
+
+
 def _epoch(ts: Column) -> Column:
     return ts.cast("timestamp").cast("bigint")
 
@@ -67,19 +83,25 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.lit(PROJECT).alias("project"),
         F.col("ts").cast("date").cast("string").alias("session_id"),
-        F.col("user_id").cast("string").alias("path"),
+        F.concat(
+            F.when(F.col("event_type") == "signup", F.lit("new")).otherwise(F.lit("")),
+            F.col("user_id").cast("string"),
+        ).alias("path"),
         _epoch(F.col("ts")).alias("timestamp"),
         place(F.col("event_id")).alias("pos"),
     )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users active within a minute of each other; a session adds 1."""
+    """Users active within a minute of each other; a session adds 1.
+
+    Users who sign up go under a name that no node has."""
     pairs = co_occurring_writes(activity(spark, sf_dir)).select(
         F.col("path_a").alias("source_id"), F.col("path_b").alias("target_id"), "session_id"
     )
     added = pairs_to_edges(pairs, F.unix_timestamp("session_id", "yyyy-MM-dd"))
-    return upsert_edges(spark.createDataFrame([], EDGES), added)
+    # Queries read the edges several times, as they would a stored table.
+    return cut_lineage(upsert_edges(spark.createDataFrame([], EDGES), added))
 
 
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,9 +286,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(nodes: DataFrame) -> DataFrame:
     """Two merge candidates per embedded node: its vector at 8 and at 2 bits."""
-    n = nodes(spark, sf_dir).filter(F.col("embedding").isNotNull())
+    n = nodes.filter(F.col("embedding").isNotNull())
     k = F.col("id").cast("bigint")
 
     def variant(prefix: str, bits: int, channel: int, text: Column) -> DataFrame:

@@ -88,7 +88,8 @@ RELATIONS = {
         LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "cands": "SELECT * FROM nodes WHERE tier < 3",
     "activity": """
-      SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, CAST(user_id AS VARCHAR) AS path,
+      SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id,
+        CASE WHEN event_type = 'signup' THEN 'new' ELSE '' END || user_id AS path,
         CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events""",
     "edges": f"""
       SELECT path_a AS source_id, path_b AS target_id, CAST(count(*) AS DOUBLE) AS strength,
