@@ -80,6 +80,16 @@ def decode(q: Column, bits: Column) -> Column:
     return F.when(bits == 8, dequantize_int8(q)).when(bits == 2, q.cast("array<float>"))
 
 
+def pack(a: Column, bits: Column) -> Column:
+    """Codes of a vector that already has the values of its precision.
+
+    Not the same as ``encode``: quantising twice would change a ternary
+    vector, packing loses nothing.
+    """
+    scaled = F.transform(a, lambda x: F.rint(x * F.lit(float(INT8_LIMIT))).cast("tinyint"))
+    return F.when(bits == 8, scaled).when(bits == 2, F.transform(a, lambda x: x.cast("tinyint")))
+
+
 def requantize(a: Column, bits: Column) -> Column:
     """The values a vector has after being stored at the given precision."""
     return F.when(bits == 32, a).otherwise(decode(encode(a, bits), bits))

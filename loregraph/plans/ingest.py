@@ -103,7 +103,8 @@ def ingest_wave(
     ``events(project, session_id, ...)`` with the transcript path as
     ``session_id``.
     """
-    projects = events.select("project").distinct()
+    events = cut_lineage(events)
+    projects = cut_lineage(events.select("project").distinct())
     nodes = store.read("nodes").join(projects, "project", "left_semi")
     owned = store.edges_with_project().join(projects, "project", "left_semi")
 

@@ -6,16 +6,18 @@ Each commit writes new files for the projects it touches, under
 project, so a job that dies half-way leaves nothing visible, readers never see
 a mix, and other projects are not rewritten.  Edges are filed under the
 project of their source node.  One writer per project at a time is assumed.
+Vectors are kept at the precision of their row; a frame holds the values they
+have at that precision (see ``vectors.requantize``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loregraph import schema
-from loregraph.functions.vectors import decode, encode
+from loregraph.functions.vectors import decode, pack
 
 SCHEMA_VERSION = 2
 COMMITS = "project string, v bigint, schema_version int, committed_at bigint"
@@ -128,7 +130,7 @@ class Store:
         full = schema.conform(nodes, "nodes")
         is_float = F.col("precision_bits") == 32
         return full.withColumn(
-            "codes", F.when(~is_float, encode(F.col("embedding"), F.col("precision_bits")))
+            "codes", F.when(~is_float, pack(F.col("embedding"), F.col("precision_bits")))
         ).withColumn("embedding", F.when(is_float, F.col("embedding")))
 
     def _write(self, table: str, rows: DataFrame, marks: DataFrame) -> None:
@@ -151,7 +153,7 @@ def check_session(
             raise ValueError(f"nodes_{name} must not be negative, got {n}")
 
 
-def session_violation() -> object:
+def session_violation() -> Column:
     """Set form of ``check_session``: the broken rule of a row, or NULL."""
     counts = ["nodes_written", "nodes_evicted", "nodes_promoted"]
     return F.coalesce(
