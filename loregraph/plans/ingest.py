@@ -24,7 +24,7 @@ from loregraph.functions.prose import Lexicon
 from loregraph.operators import extraction, merge, retention, signals
 from loregraph.operators.assembly import TOKEN_BUDGET, block_lines, block_tokens
 from loregraph.operators.filters import unseen_transcripts
-from loregraph.operators.graph import pairs_to_edges, undirected, upsert_edges, without_nodes
+from loregraph.operators.graph import pairs_to_edges, upsert_edges, without_nodes
 from loregraph.plans.retrieve import retrieve
 from loregraph.session import cut_lineage
 from loregraph.sources.store import Store
@@ -186,8 +186,3 @@ def ingest(
             return waves
         ingest_wave(store, keyed.join(todo, _KEY, "left_semi"), now, settings, **tables)
         waves += 1
-
-
-def degree(edges: DataFrame) -> DataFrame:
-    """(id, n_edges) over both ends, counted map-side."""
-    return undirected(edges).groupBy("id").agg(F.count(F.lit(1)).alias("n_edges"))

@@ -102,17 +102,16 @@ def convention_tokens(nodes: DataFrame, counter: TokenCounter = word_count_token
     )
 
 
-def selected_candidates(
-    fused: DataFrame,
+def with_budget(
+    top: DataFrame,
     nodes: DataFrame,
     budget: int = TOKEN_BUDGET,
     counter: TokenCounter = word_count_tokens,
 ) -> DataFrame:
     """Top candidates with ``kept``: whether they fit the token budget.
 
-    Texts are fetched for the top rows only.
+    ``top`` holds at most TOP_K rows per query; only their texts are fetched.
     """
-    top = top_fused(fused)
     texts = candidates_of(nodes).select("id", "project", "tier", "text", "rationale")
     ranked = top.join(texts, ["id", "project"]).withColumn("tokens", counter(F.col("text")))
     fit = enforce_budget(
@@ -151,8 +150,8 @@ def retrieve(
     All conventions of the project come with rank 0 (order them by weight),
     whether or not they fit the budget; candidates follow with their rank.
     """
-    fused = cut_lineage(fused_scores(queries, nodes, edges))
-    picked = selected_candidates(fused, nodes, budget, counter).filter("kept")
+    top = cut_lineage(top_fused(fused_scores(queries, nodes, edges)))
+    picked = with_budget(top, nodes, budget, counter).filter("kept")
     always = conventions_of(nodes).select("project", "id", "tier", "text", "rationale", "weight")
     none = F.lit(None).cast("double")
     rules = always.join(queries.select("query_id", "project"), "project").select(
@@ -179,9 +178,8 @@ def trace(
     """Every candidate of every query with its scores and the reason why it
     was or was not handed over."""
     fused = cut_lineage(fused_scores(queries, nodes, edges))
-    picked = selected_candidates(fused, nodes, budget, counter).select(
-        "query_id", "id", "rank", "kept"
-    )
+    top = cut_lineage(top_fused(fused))
+    picked = with_budget(top, nodes, budget, counter).select("query_id", "id", "rank", "kept")
     included = F.coalesce("kept", F.lit(False))
     reason = (
         F.when(included, F.lit("included"))
