@@ -172,7 +172,8 @@ def file_churn(
     last = latest_commits(commits, lookback).select("project", "sha")
     totals = last.groupBy("project").agg(F.count(F.lit(1)).alias("n_commits"))
     return (
-        commit_files.join(last, "sha")
+        commit_files.select("sha", "path")
+        .join(last, "sha")
         .select("project", "sha", "path")
         .distinct()
         .groupBy("project", "path")

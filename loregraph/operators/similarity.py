@@ -41,11 +41,6 @@ def vector_literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)).cast("float") for x in vector])
 
 
-def vector_score(embedding: Column, query: Column) -> Column:
-    """Retrieval score: cosine clipped at 0; 0 for rows without an embedding."""
-    return F.greatest(F.lit(0.0), F.coalesce(vectors.cosine(embedding, query), F.lit(0.0)))
-
-
 def find_similar(
     nodes: DataFrame,
     vector: list[float],

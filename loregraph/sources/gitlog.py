@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 COMMITS = "project string, sha string, committed_at bigint, message string"
-COMMIT_FILES = "project string, sha string, path string"
+COMMIT_FILES = "sha string, path string"
 
 
 def _git(project: str, *args: str) -> str:
@@ -59,8 +59,8 @@ def load_commit_files(projects: DataFrame, last: int = 10) -> DataFrame:
                 rows = []
                 for entry in log.split("\x1e")[1:]:
                     sha, *paths = [x for x in entry.split("\n") if x]
-                    rows += [(project, sha, p) for p in paths]
-                yield pd.DataFrame(rows, columns=["project", "sha", "path"])
+                    rows += [(sha, p) for p in paths]
+                yield pd.DataFrame(rows, columns=["sha", "path"])
 
     return projects.select("project").mapInPandas(read, COMMIT_FILES)
 

@@ -115,9 +115,10 @@ class Store:
             .select("project", (F.coalesce("old", F.lit(0)) + 1).cast("bigint").alias("v"))
         )
         old_sessions = self.read("sessions").join(marks, "project", "left_semi")
-        bad = schema.split_valid(nodes, schema.node_violation())[1]
-        if not bad.isEmpty():
-            raise ValueError(f"invalid node row: {bad.first().asDict()}")
+        for rows, rule in ((nodes, schema.node_violation()), (sessions, session_violation())):
+            bad = schema.split_valid(rows, rule)[1].select("id", "reason").head()
+            if bad is not None:
+                raise ValueError(f"invalid row {bad.id}: {bad.reason}")
         self._write("nodes", self._encoded(nodes), marks)
         self._write("edges", edges, marks)
         self._write("sessions", old_sessions.unionByName(sessions), marks)

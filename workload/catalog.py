@@ -27,7 +27,7 @@ from loregraph.operators import (
     similarity,
     structure,
 )
-from loregraph.plans import reports, retrieve
+from loregraph.plans import ingest, reports, retrieve
 from loregraph.session import cut_lineage
 from loregraph.sources import exchange, transcripts
 from workload import derived as d
@@ -341,6 +341,19 @@ def ast_candidates(spark, sf):
     return extraction.ast_channel(d.blobs(spark, sf)).select("session_id", "text", "durability")
 
 
+@query
+def edge_wiring(spark, sf):
+    """Co-written files of the project, linked through one node per file."""
+    writes = signals.file_writes(d.events(spark, sf))
+    spots = signals.touched_files(writes).select(
+        "project",
+        "session_id",
+        text.inner_path(F.col("path"), F.col("project")).alias("label"),
+        F.sha2("path", 256).alias("id"),
+    )
+    return merge.co_occurrence_links(signals.co_occurring_writes(writes), spots).drop("project")
+
+
 # ---------------------------------------------------------------- prose
 
 
@@ -514,6 +527,11 @@ def block_tokens(spark, sf):
     return assembly.block_tokens(assembly.block_lines(out))
 
 
+@query
+def token_stats(spark, sf):
+    return ingest.token_stats(d.stored_nodes(spark, sf), d.edges(spark, sf), ingest.Settings())
+
+
 # Token budget above what the conventions of a project take up on their own,
 # so that the greedy fill has something left to decide.
 BUDGET = 8_000

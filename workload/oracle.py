@@ -411,6 +411,9 @@ _put("session_signals", "log writes", f"""
     LEFT JOIN (SELECT session_id, count(*) AS n_hotspots FROM ({_HOT}) GROUP BY 1) USING (session_id)
     LEFT JOIN (SELECT session_id, count(*) AS n_pairs FROM ({_pairs('writes')}) GROUP BY 1)
       USING (session_id)""")
+_put("edge_wiring", "log writes", f"""SELECT session_id,
+    least(sha256(path_a), sha256(path_b)) AS source_id, greatest(sha256(path_a), sha256(path_b)) AS target_id
+  FROM ({_pairs('writes')}) WHERE path_a LIKE '{PROJECT}/%' AND path_b LIKE '{PROJECT}/%'""")
 _put("churn", "commits churn", f"SELECT project, path, n_changes, n_commits, {r6('churn')} FROM churn")
 _SHOWN = f"""CASE WHEN path LIKE '{PROJECT}/%' THEN substr(path, {len(PROJECT) + 2})
   ELSE regexp_extract(path, '[^/]*$') END"""
@@ -562,6 +565,18 @@ _put("block_lines", _ALL, f"""SELECT query_id, CAST(section AS INTEGER) AS secti
 _put("block_tokens", _ALL, f"""SELECT query_id, project, CAST(sum(len({_words('line')}))
     + max(CASE WHEN section = 0 THEN 4 ELSE 0 END) + max(CASE WHEN section = 1 THEN 5 ELSE 0 END)
     + 5 AS BIGINT) AS tokens FROM lines GROUP BY 1, 2""", _retrieval(BUDGET))
+_TOKENS = f"""CAST(sum(len({_words('line')}))
+    + max(CASE WHEN section = 0 THEN 4 ELSE 0 END) + max(CASE WHEN section = 1 THEN 5 ELSE 0 END)
+    + 5 AS BIGINT)"""
+_put("token_stats", f"nodes cands {_E} sym", f"""SELECT project, tokens_raw, tokens_injected FROM (
+    SELECT project, {_TOKENS} AS tokens_raw FROM (SELECT project, CASE WHEN tier = 3 THEN 0 ELSE 1 END AS section,
+      '• ' || text || CASE WHEN coalesce(rationale, '') <> '' THEN ' (' || rationale || ')' ELSE '' END AS line
+      FROM nodes) GROUP BY 1)
+  LEFT JOIN (SELECT project, {_TOKENS} AS tokens_injected FROM lines GROUP BY 1) USING (project)""", {
+    "queries": """SELECT DISTINCT project AS query_id, project, '' AS text,
+      CAST(NULL AS FLOAT[]) AS embedding FROM nodes""",
+    **_retrieval(600),
+})
 _put("budget_greedy", "nodes", "SELECT query_id, id, kept FROM fill", {
     "top": f"""SELECT * FROM (SELECT project AS query_id, project, id, len({_words('text')}) AS tokens,
         row_number() OVER (PARTITION BY project ORDER BY weight DESC, id) AS rank FROM nodes) WHERE rank <= 8""",
