@@ -25,6 +25,14 @@ PIVOT_MIN_ROWS = 500_000
 MAX_PIVOTS = 256
 _QUERY_STEP = 512
 _SLACK = 1e-6
+# Scores that agree to this many digits count as tied; beyond them the order of
+# additions decides.
+TIE_DIGITS = 9
+
+
+def tie_rank(score: str) -> Column:
+    """Descending order by a computed score, blind to rounding noise."""
+    return F.round(score, TIE_DIGITS).desc()
 
 
 def check_threshold(threshold: float) -> None:
@@ -60,7 +68,7 @@ def find_similar(
     return (
         rows.withColumn("similarity", vectors.cosine(F.col("embedding"), vector_literal(vector)))
         .filter(F.col("similarity") >= threshold)
-        .orderBy(F.desc("similarity"), "id")
+        .orderBy(tie_rank("similarity"), "id")
         .limit(limit)
     )
 
@@ -135,11 +143,12 @@ def _with_cells(df: DataFrame, pivots: np.ndarray | None, radius: float | None)
 
 def _keep_best(sims: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row/column positions of the k best columns per row, first column on ties."""
+    level = np.round(sims, TIE_DIGITS)
     if k == 1:
-        best = sims.argmax(axis=1)
+        best = level.argmax(axis=1)
         rows = np.arange(len(best))
     else:
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        order = np.argsort(-level, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(sims)), order.shape[1])
         best = order.ravel()
     ok = sims[rows, best] >= threshold
@@ -240,10 +249,12 @@ def top_matches(
     )
     if k == 1:
         best = found.groupBy("query_id").agg(
-            F.min(F.struct((-F.col("similarity")).alias("neg"), "id")).alias("m")
+            F.min(
+                F.struct((-F.round("similarity", TIE_DIGITS)).alias("level"), "id", "similarity")
+            ).alias("m")
         )
-        return best.select("query_id", F.col("m.id").alias("id"), (-F.col("m.neg")).alias("similarity"))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        return best.select("query_id", "m.id", "m.similarity")
+    rank = Window.partitionBy("query_id").orderBy(tie_rank("similarity"), "id")
     return (
         found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).drop("rank")
     )

@@ -14,6 +14,7 @@ from loregraph.functions.models import TokenCounter, word_count_tokens
 from loregraph.operators.assembly import TOKEN_BUDGET, TOP_K, enforce_budget
 from loregraph.operators.bm25 import bm25_hits, bm25_normalised
 from loregraph.operators.graph import hop_scores
+from loregraph.operators.similarity import tie_rank
 from loregraph.session import cut_lineage
 
 # Channel weights and number of graph seeds.
@@ -62,7 +63,7 @@ def vector_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def seed_nodes(scored: DataFrame) -> DataFrame:
     """The best nodes per query by vector score, heavier ones first on ties."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("vector"), F.desc("weight"), "id")
+    w = Window.partitionBy("query_id").orderBy(tie_rank("vector"), F.desc("weight"), "id")
     return (
         scored.withColumn("r", F.row_number().over(w))
         .filter(F.col("r") <= SEEDS)
@@ -88,7 +89,7 @@ def fused_scores(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
 
 def top_fused(fused: DataFrame, k: int = TOP_K) -> DataFrame:
     """Best ``k`` candidates per query; heavier ones first on ties."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("fused"), F.desc("weight"), "id")
+    w = Window.partitionBy("query_id").orderBy(tie_rank("fused"), F.desc("weight"), "id")
     return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -216,7 +217,7 @@ def search(
 ) -> DataFrame:
     """Keyword search: best positive raw BM25 scores per query, all tiers."""
     hits = bm25_hits(nodes, queries).filter(F.col("raw") > 0.0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("raw"), "id")
+    w = Window.partitionBy("query_id").orderBy(tie_rank("raw"), "id")
     best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     facts = nodes.select("id", "project", "type", "tier", "text", "weight")
     return best.join(facts, ["id", "project"]).select(

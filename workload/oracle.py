@@ -246,14 +246,14 @@ _FUSED = {
         ELSE greatest(CAST(0 AS DOUBLE), {_cos('n.embedding', 'q.embedding')}) END AS vector
       FROM queries q JOIN cands n USING (project)""",
     "seeds": """SELECT query_id, project, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-        ORDER BY vector DESC, weight DESC, id) AS r FROM vec) WHERE r <= 3""",
+        ORDER BY round(vector, 9) DESC, weight DESC, id) AS r FROM vec) WHERE r <= 3""",
     **_HOPS,
     "fused": """SELECT *, CAST(0.5 AS DOUBLE) * vector + CAST(0.3 AS DOUBLE) * bm25
           + CAST(0.2 AS DOUBLE) * graph AS fused
       FROM (SELECT v.*, coalesce(bm25, 0) AS bm25, coalesce(graph, 0) AS graph FROM vec v
         LEFT JOIN keyword USING (query_id, id) LEFT JOIN hops USING (query_id, id))""",
     "ranked": """SELECT *, row_number() OVER (PARTITION BY query_id
-        ORDER BY fused DESC, weight DESC, id) AS rank FROM fused""",
+        ORDER BY round(fused, 9) DESC, weight DESC, id) AS rank FROM fused""",
 }
 
 
@@ -506,7 +506,7 @@ _put("nlp_candidates", "turns turn_sentences", f"""SELECT session_id, turn, sent
   WHERE dur >= CAST(0.4 AS DOUBLE)""")
 
 _put("vector_topk", "nodes queries", f"""SELECT query_id, id, round(sim, 6) AS similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS r FROM (
     SELECT q.query_id, n.id, {_cos('n.embedding', 'q.embedding')} AS sim FROM queries q
     JOIN nodes n USING (project) WHERE q.embedding IS NOT NULL AND n.embedding IS NOT NULL)
   WHERE sim >= CAST(0.05 AS DOUBLE)) WHERE r <= 5""")
@@ -522,7 +522,7 @@ _put("corpus_stats", "nodes queries", f"""SELECT project, n_docs, {r6('avgdl')},
   FROM corpus""", _bm25("nodes"))
 _put("bm25_search", "nodes queries", """SELECT query_id, CAST(r AS INTEGER) AS rank, h.id, n.tier,
     round(raw, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS r FROM hits WHERE raw > 0) h
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS r FROM hits WHERE raw > 0) h
   JOIN nodes n ON n.id = h.id WHERE r <= 10""", _bm25("nodes"))
 _put("bm25_normalised", "nodes cands queries", f"SELECT query_id, id, {r6('bm25')} FROM keyword",
      _bm25("cands"))
@@ -588,7 +588,7 @@ _MATCH = {
     "sims": f"""SELECT c.id, n.id AS match_id, {_cos('n.embedding', 'c.embedding')} AS sim
       FROM merge_cands c JOIN nodes n USING (project) WHERE n.embedding IS NOT NULL""",
     "best": """SELECT id, match_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY id
-        ORDER BY sim DESC, match_id) AS r FROM sims WHERE sim >= CAST(0.9 AS DOUBLE)) WHERE r = 1""",
+        ORDER BY round(sim, 9) DESC, match_id) AS r FROM sims WHERE sim >= CAST(0.9 AS DOUBLE)) WHERE r = 1""",
 }
 _put("nearest_match", "nodes merge_cands", """SELECT c.id AS query_id, match_id, round(sim, 6) AS similarity
   FROM merge_cands c LEFT JOIN best USING (id)""", _MATCH)
