@@ -153,14 +153,25 @@ def touch(nodes: DataFrame, ids: DataFrame, now: int) -> DataFrame:
     return flagged.select(*[changed.get(c, F.col(c)).alias(c) for c in nodes.columns])
 
 
-def fold_deltas(deltas: DataFrame, levels: int = 3) -> DataFrame:
+def _fold_levels(deltas: DataFrame) -> int:
+    """Levels needed so that the last one has at most one chunk per id."""
+    longest = deltas.agg(F.max("ord").alias("m")).first().m or 0
+    levels = 1
+    while _FOLD_WIDTH**levels <= longest:
+        levels += 1
+    return levels
+
+
+def fold_deltas(deltas: DataFrame) -> DataFrame:
     """(id, shift, floor) so that max(floor, w + shift) equals applying all
     deltas of an id in ``ord`` order with a floor of 0 after each.
 
     Such steps compose: (s1, c1) then (s2, c2) is (s1+s2, max(c2, c1+s2)).
     They are folded in chunks of consecutive ``ord`` (unique per id, from 0),
     level by level, so no task ever holds more than one chunk of a hot id.
+    Usually every id has few deltas and one level does.
     """
+    levels = _fold_levels(deltas)
     steps = deltas.select(
         "id",
         F.col("ord").cast("bigint").alias("ord"),

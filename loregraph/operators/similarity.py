@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loregraph.functions import vectors
 from loregraph.operators.skew import every_lane, lane_counts, own_lane
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 PIVOT_MIN_ROWS = 500_000
 MAX_PIVOTS = 256
 _QUERY_STEP = 512

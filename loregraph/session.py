@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,22 +36,24 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting it up where needed.
+    """The shared folder for intermediate tables of this application.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``.  Only
     a local master without that setting gets a temporary folder; on a cluster
     a machine-local folder would be lost together with its executor.
     """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{sc.applicationId}"
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="loregraph-ckpt-")
-    sc.setCheckpointDir(named)
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    temporary = tempfile.mkdtemp(prefix="loregraph-ckpt-")
+    atexit.register(shutil.rmtree, temporary, True)
+    sc.setCheckpointDir(temporary)
     return sc.getCheckpointDir()
 
 
@@ -66,6 +70,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables written by ``cut_lineage`` in this application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan over all cores when its files give too few partitions.
 

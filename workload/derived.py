@@ -26,7 +26,6 @@ _SPREAD = {
     "documents": ("doc_id",),
     "events": ("event_id",),
     "conversations": ("conv_id", "turn"),
-    "embeddings": ("vec_id",),
 }
 
 
