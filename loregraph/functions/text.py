@@ -146,5 +146,6 @@ def is_uuid(c: Column) -> Column:
 
 def shown_time(epoch: Column) -> Column:
     """UTC time stamp text; a dash for 0 or NULL."""
-    text = F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm:ss")
+    utc = F.to_utc_timestamp(F.timestamp_seconds(epoch), F.current_timezone())
+    text = F.date_format(utc, "yyyy-MM-dd HH:mm:ss")
     return F.when(F.coalesce(epoch, F.lit(0)) == 0, F.lit("—")).otherwise(text)

@@ -73,7 +73,9 @@ def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _epoch(ts: Column) -> Column:
-    return ts.cast("timestamp").cast("bigint")
+    """Seconds of a zone-less time stamp, whatever the session's time zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", start, ts.cast("timestamp_ntz"))
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +100,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = co_occurring_writes(activity(spark, sf_dir)).select(
         F.col("path_a").alias("source_id"), F.col("path_b").alias("target_id"), "session_id"
     )
-    added = pairs_to_edges(pairs, F.unix_timestamp("session_id", "yyyy-MM-dd"))
+    day = F.unix_date(F.col("session_id").cast("date")).cast("bigint") * 86400
+    added = pairs_to_edges(pairs, day)
     # Queries read the edges several times, as they would a stored table.
     return cut_lineage(upsert_edges(spark.createDataFrame([], EDGES), added))
 
