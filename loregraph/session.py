@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in workers import it, and on a cluster, or with a
+    driver started from another folder, it would not be found there.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_loregraph_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="loregraph-zip-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/loregraph.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(archive)
+    sc._loregraph_shipped = True
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables written by ``cut_lineage`` in this application."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tables")
