@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def batches(
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(size))
-        each = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        each = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         at = 0
         while at < batch.num_rows:
             total = np.cumsum(each[at:], dtype=np.int64) + have
