@@ -7,15 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loregraph.llm.common import table
+from loregraph.llm.pii import find_pii, pii_digest
+from loregraph.llm.quality import classify
+from loregraph.llm.rules import quality_rules
 from loregraph.llm.token_count import count_tokens
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op5_token_counts": op5_token_counts,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
 }
 
 ORACLE: dict[str, str] = {}
