@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loregraph.session import ship
+
 # Bytes of text worked on at a time in a task; a longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -23,6 +25,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
     Other columns, whatever their names, are not read.
     """
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
