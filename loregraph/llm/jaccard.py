@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loregraph.llm.common import WORDS, batches, mix, raw, texts
 from loregraph.llm.components import connected
-from loregraph.session import cut_lineage
+from loregraph.session import cut_lineage, shuffle_width
 
 # Lists of tokens found in more documents than this count as long.
 LONG_LIST = 24
@@ -19,9 +19,6 @@ LONG_LIST = 24
 MOST_LONG = 1_000_000
 # Set elements that one task searches at a time; larger groups are cut into blocks.
 BLOCK_TOKENS = 1_500_000
-# Rows of packed numbers a batch deals out; the number of tasks behind the
-# shuffle is Spark's.
-BUCKETS = 4096
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,8 +101,13 @@ def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]
     )
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) % np.uint64(BUCKETS)).astype(np.int64)
+def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+
+
+def _buckets(df: DataFrame) -> int:
+    """Rows of packed numbers that a batch deals out; a bucket fits in memory."""
+    return 16 * shuffle_width(df.sparkSession)
 
 
 def _by_bucket(source: Iterator[pa.RecordBatch], kinds: list[str]):
@@ -130,11 +132,13 @@ def _long_lists(sets: DataFrame) -> np.ndarray:
     on the result, only on the length of the lists that are searched first.
     """
 
+    buckets = _buckets(sets)
+
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "low", 16 << 20):
             low = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
             token, many = np.unique(low, return_counts=True)
-            yield from _dealt(_bucket(token), token, many.astype(np.uint32))
+            yield from _dealt(_bucket(token, buckets), token, many.astype(np.uint32))
 
     def add(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, many in _by_bucket(source, ["u8", "u4"]):
@@ -181,6 +185,7 @@ def _candidate_edges(sets: DataFrame, percent: int, frequent: np.ndarray) -> Dat
     """
     spark = sets.sparkSession
     shared = spark.sparkContext.broadcast(frequent)  # at most MOST_LONG numbers
+    buckets = _buckets(sets)
 
     def local(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, "low", 16 << 20):
@@ -204,7 +209,7 @@ def _candidate_edges(sets: DataFrame, percent: int, frequent: np.ndarray) -> Dat
             pair = np.unique(rank[head[differ]] * (len(n) + 1) + rank[owner[differ]])
             names = np.unique(key)
             a, b = names[pair // (len(n) + 1)], names[pair % (len(n) + 1)]
-            yield from _dealt(_bucket(token[first]), token[first], key[owner[first]])
+            yield from _dealt(_bucket(token[first], buckets), token[first], key[owner[first]])
             if len(a):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(1, -1, np.int32)), pa.array([a.tobytes()]), pa.array([b.tobytes()])],

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loregraph.llm.common import table
+from loregraph.llm.hmm import score_texts
 from loregraph.llm.jaccard import jaccard_join
 from loregraph.llm.packing import pack
 from loregraph.llm.pii import find_pii, pii_digest
@@ -23,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
+    "op4_hmm_language_model": op4_hmm_language_model,
     "op5_token_counts": op5_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
