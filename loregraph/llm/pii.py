@@ -187,15 +187,17 @@ def _listed(spans: Column) -> Column:
     )
 
 
+def _is_base(kind: str):
+    return lambda x: x["base"] & (x["kind"] == kind)
+
+
 def pii_digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, digest of the base spans, and all spans as text."""
     base = F.filter("spans", lambda x: x["base"])
     return found.select(
         "doc_id",
         *[
-            F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k)))
-            .cast("long")
-            .alias(f"n_{k}")
+            F.size(F.filter("spans", _is_base(k))).cast("long").alias(f"n_{k}")
             for k in BASE_KINDS
         ],
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
