@@ -13,10 +13,6 @@ from loregraph.llm.common import WORDS, batches, mix, raw, texts
 from loregraph.llm.components import connected
 from loregraph.session import cut_lineage, shuffle_width
 
-# Lists of tokens found in more documents than this count as long.
-LONG_LIST = 24
-# At most so many tokens are known as long; more would only make lists longer.
-MOST_LONG = 1_000_000
 # Set elements that one task searches at a time; larger groups are cut into blocks.
 BLOCK_TOKENS = 1_500_000
 SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -44,45 +40,70 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
-def slack(n: np.ndarray | int):
-    """Elements by which the part of a set that is looked at exceeds the minimum."""
-    return (n + 4) // 5
+def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest size of each class of sizes up to ``most``, and its number of parts.
 
-
-def reach(n: np.ndarray | int, percent: int):
-    """Number of smallest elements of a set that are looked at."""
-    return np.minimum(n, n - least_overlap(n, percent) + slack(n))
+    A partner of a set is in the set's class or a neighbouring one.  Linked
+    sets, the smaller in class k, differ by fewer elements than class k has
+    parts, so in one part they do not differ at all.
+    """
+    low, parts = [1], []
+    while low[-1] <= most:
+        high = max(low[-1], low[-1] * 100 // percent)
+        parts.append((100 - percent) * (high + high * 100 // percent) // (100 + percent) + 1)
+        low.append(high + 1)
+    return np.array(low[:-1], np.int64), np.array(parts, np.int64)
 
 
-def signature_size(n: np.ndarray | int, percent: int):
-    """Elements of the part looked at that are needed to meet every partner.
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the parts of each set, by its own class and the one below: (hash, set number)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    low, parts = size_classes(int(size.max(initial=1)), percent)
+    own = np.searchsorted(low, size, "right") - 1
+    token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    value = mix(token)
+    doc = np.repeat(np.arange(len(sets)), size)
+    out, owner = [], []
+    for below in (0, 1):
+        kind = own - below
+        n = np.where((size > 0) & (kind >= 0), parts[np.maximum(kind, 0)], 0)
+        first = np.cumsum(n) - n
+        total = np.zeros(int(n.sum()), np.uint64)
+        use = n[doc] > 0
+        at = first[doc[use]] + (token[use] % n[doc[use]].astype(np.uint64)).astype(np.int64)
+        np.add.at(total, at, value[use])
+        number = np.arange(len(total)) - np.repeat(first, n)
+        where = np.repeat(kind, n) * 1_000_003 + number
+        out.append(mix(total + mix(where.astype(np.uint64) + SALT)))
+        owner.append(np.repeat(np.arange(len(sets)), n))
+    return np.concatenate(out), np.concatenate(owner)
+
+
+def key_of(tokens: np.ndarray) -> bytes:
+    """A 128-bit name of a set."""
+    import xxhash
 
-    Two linked sets of n and m elements share at least s = min(slack(n),
-    slack(m)) of the elements looked at in both, whatever the common order, so
-    all but s - 1 of them meet.  A partner has at least percent/100 * n.
-    """
-    smallest = slack(least_overlap(n, percent))
-    return np.minimum(reach(n, percent), np.maximum(1, reach(n, percent) - smallest + 1))
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, a 128-bit key of the set, and the elements looked at, packed."""
-    import xxhash
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, a 128-bit key of the set and a 64-bit part of it."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
             found = [shingles(t, words) for t in raw(batch.column(1))]
+            keys = [key_of(s) for s in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
-                    pa.array([s[: reach(len(s), percent)].tobytes() for s in found], pa.binary()),
+                    pa.array(keys, pa.binary()),
+                    pa.array(np.frombuffer(b"".join(k[:8] for k in keys), np.int64)),
                 ],
-                names=["doc_id", "n", "key", "low"],
+                names=["doc_id", "n", "key", "node"],
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, key binary, low binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n long, key binary, node long")
 
 
 def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -111,145 +132,72 @@ def _buckets(df: DataFrame) -> int:
 
 
 def _by_bucket(source: Iterator[pa.RecordBatch], kinds: list[str]):
-    """Unpacked columns of one bucket after the other; rows come sorted by bucket."""
+    """Bucket and unpacked columns, one bucket after the other; rows come sorted by bucket."""
     held: list[list[bytes]] = []
     now = None
+
+    def out():
+        columns = zip(zip(*held, strict=True), kinds, strict=True)
+        return [now, *[np.frombuffer(b"".join(c), k) for c, k in columns]]
+
     for batch in source:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if row[0] != now and held:
-                yield [np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)]
+                yield out()
                 held = []
             now = row[0]
             held.append(row[1:])
     if held:
-        yield [np.frombuffer(b"".join(c), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)]
+        yield out()
 
 
-def _long_lists(sets: DataFrame) -> np.ndarray:
-    """The tokens found in the most documents; a set of bounded size.
+def _candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) between sets that connect all sets with an equal part.
 
-    Counts cover all documents.  Which tokens count as long has no influence
-    on the result, only on the length of the lists that are searched first.
+    Every set that has a part is connected with the smallest one that has it,
+    first within a batch, then between batches, so a part sends one number per
+    batch at most, and rows grow with the input, not with its square.
     """
-
-    buckets = _buckets(sets)
-
-    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, "low", 16 << 20):
-            low = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-            token, many = np.unique(low, return_counts=True)
-            yield from _dealt(_bucket(token, buckets), token, many.astype(np.uint32))
-
-    def add(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, many in _by_bucket(source, ["u8", "u4"]):
-            token, back = np.unique(token, return_inverse=True)
-            many = np.bincount(back, weights=many).astype(np.int64)
-            keep = many > LONG_LIST
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[keep].view(np.int64)), pa.array(many[keep])], names=["token", "many"]
-            )
-
-    frequent = cut_lineage(
-        sets.select("low")
-        .mapInArrow(count, "bucket int, c0 binary, c1 binary")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(add, "token long, many long")
-    )
-    # The number of tokens by size class, at most 64 rows, tells which classes fit.
-    size = F.floor(F.log2("many")).cast("int")
-    steps = sorted(frequent.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"])
-    total, least = 0, 64
-    for r in steps:
-        total += r["count"]
-        if total > MOST_LONG:
-            break
-        least = r["size"]
-    chosen = frequent.filter(size >= least).select("token")
-    got = chosen.toPandas()["token"].to_numpy() if least < 64 else np.zeros(0, np.int64)
-    return np.sort(got.astype(np.int64).view(np.uint64))
-
-
-def _within(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
-
-
-def _candidate_edges(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Edges (a, b) between set keys that connect all sets with a common signature token.
-
-    Every set that holds a token is connected with the smallest key that holds
-    it, first within a batch, then between batches, so a token sends one row
-    per batch at most and rows grow with the input, not with its square.
-    """
-    spark = sets.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)  # at most MOST_LONG numbers
-    buckets = _buckets(sets)
+    buckets = _buckets(docs)
+
+    def stars(part: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parts with their smallest node, and edges from there to the others."""
+        order = np.lexsort((node, part))
+        part, node = part[order], node[order]
+        first = np.concatenate([[True], part[1:] != part[:-1]])
+        head = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        other = node != head
+        pair = np.unique(np.stack([head[other], node[other]]), axis=1)
+        return np.flatnonzero(first), order, pair
 
     def local(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, "low", 16 << 20):
-            n = batch.column(0).to_numpy().astype(np.int64)
-            key = np.array([k.ljust(16) for k in batch.column(1).to_pylist()], "S16").view("V16")
-            each = batch.column(2).to_pylist()
-            low = np.frombuffer(b"".join(each), np.uint64)
-            size = np.fromiter((len(x) // 8 for x in each), np.int64, len(each))
-            doc = np.repeat(np.arange(len(n)), size)
-            late = _within(shared.value, low)
-            order = np.lexsort((low, late, doc))
-            place = np.arange(len(low)) - np.repeat(np.cumsum(size) - size, size)
-            take = order[place < np.repeat(signature_size(n, percent), size)]
-            token, owner = low[take], doc[take]
-            rank = np.unique(key, return_inverse=True)[1]
-            order = np.lexsort((rank[owner], token))
-            token, owner = token[order], owner[order]
-            first = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
-            head = owner[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(token) else owner
-            differ = rank[owner] != rank[head]
-            pair = np.unique(rank[head[differ]] * (len(n) + 1) + rank[owner[differ]])
-            names = np.unique(key)
-            a, b = names[pair // (len(n) + 1)], names[pair % (len(n) + 1)]
-            yield from _dealt(_bucket(token[first], buckets), token[first], key[owner[first]])
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(1, -1, np.int32)), pa.array([a.tobytes()]), pa.array([b.tobytes()])],
-                    names=["bucket", "c0", "c1"],
-                )
+        for batch in batches(source):
+            sets = [s for t in raw(batch.column(1)) if len(s := shingles(t, words))]
+            if not sets:
+                continue
+            part, owner = signatures(sets, percent)
+            node = np.frombuffer(b"".join(key_of(s)[:8] for s in sets), np.int64)[owner]
+            at, order, pair = stars(part, node)
+            part, node = part[order][at], node[order][at]
+            yield from _dealt(_bucket(part, buckets), part, node)
+            if pair.size:
+                yield from _dealt(_bucket(pair[0].astype(np.uint64), buckets) + buckets, pair[0], pair[1])
 
     def meet(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, key in _by_bucket(source, ["u8", "V16"]):
-            names, rank = np.unique(key, return_inverse=True)
-            order = np.lexsort((rank, token))
-            token, rank = token[order], rank[order]
-            first = np.concatenate([[True], token[1:] != token[:-1]])
-            head = rank[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            pair = np.unique((head * len(names) + rank)[head != rank])
-            yield _edges(names[pair // len(names)], names[pair % len(names)])
-
-    def unpack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _edges(np.frombuffer(a, "V16"), np.frombuffer(b, "V16"))
-
-    def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())],
-            names=["a", "b"],
-        )
+        for bucket, part, node in _by_bucket(source, ["u8", "i8"]):
+            if bucket < buckets:
+                pair = stars(part, node)[2]
+            else:
+                pair = np.unique(np.stack([part.view(np.int64), node]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-    rows = cut_lineage(
-        sets.filter(F.col("n") > 0)
-        .select("n", "key", "low")
+    return (
+        texts(docs)
         .mapInArrow(local, "bucket int, c0 binary, c1 binary")
-    )
-    across = (
-        rows.filter(F.col("bucket") >= 0)
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(meet, "a binary, b binary")
+        .mapInArrow(meet, "a long, b long")
     )
-    inside = rows.filter(F.col("bucket") < 0).select("c0", "c1").mapInArrow(unpack, "a binary, b binary")
-    return across.unionByName(inside).distinct()
 
 
 class Forest:
@@ -351,18 +299,24 @@ def _search(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
         keys: list[bytes] = []
-        now, held = None, 0
+        now, held, seen = None, 0, set()
         for batch in source:
             for team, key, text in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True
             ):
-                if team != now and held > BLOCK_TOKENS // 8:
-                    yield found(sets, keys)
-                    sets, keys, held = [], [], 0
-                now = team
-                sets.append(shingles(text, words))
+                if team != now:
+                    if held > BLOCK_TOKENS // 8:
+                        yield found(sets, keys)
+                        sets, keys, held = [], [], 0
+                    now, seen = team, set()
+                tokens = shingles(text, words)
+                # Rows that share an id may repeat a set or hold another text.
+                if key in seen or key_of(tokens) != key:
+                    continue
+                seen.add(key)
+                sets.append(tokens)
                 keys.append(key)
-                held += len(sets[-1])
+                held += len(tokens)
         if sets:
             yield found(sets, keys)
 
@@ -388,28 +342,29 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     an empty table gives an empty result; columns other than doc_id and text
     are ignored.
 
-    Equal sets are one node.  Signatures (a prefix of each set in an order
-    with tokens of long lists last) connect nodes to groups that contain all
-    links; only documents in groups of two or more nodes are searched, one per
-    node, group by group.  Groups too large for a task are cut into blocks and
-    each pair of blocks is one team, so that nothing is left out.
+    Equal sets are one node.  Sets are cut into parts by their elements'
+    hashes, into more parts than linked sets can differ in, so linked sets have
+    an equal part; sets with an equal part form groups that contain all links.
+    Only documents in groups of two or more nodes are searched, one per node,
+    group by group.  Groups too large for a task are cut into blocks and each
+    pair of blocks is one team, so that nothing is left out.
     """
     read = texts(docs)
-    sets = cut_lineage(_sets(docs, words, percent))
-    edges = _candidate_edges(sets, percent, _long_lists(sets))
-    groups = connected(edges, "binary")  # key, root: nodes with a neighbour only
-    nodes = (
+    sets = cut_lineage(_sets(docs, words))
+    groups = connected(_candidate_edges(docs, words, percent), "long")
+    nodes = cut_lineage(
         sets.filter(F.col("n") > 0)
-        .groupBy("key")
+        .groupBy("key", "node")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-        .join(groups.withColumnRenamed("node", "key"), "key")
+        .join(groups, "node")
     )
-    nodes = cut_lineage(nodes)
     sizes = nodes.groupBy("root").agg(F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK_TOKENS).cast("int")
     placed = nodes.join(sizes, "root").withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")
-    teams = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    teams = placed.withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
     teams = teams.select(
         "doc_id",
         "key",
@@ -417,9 +372,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
         .otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
         .alias("team"),
     )
-    # Sets, not texts, would be larger to move; rows of one id and text are one.
-    members = read.join(teams, "doc_id").dropDuplicates(["team", "key"])
-    ready = members.repartition("team").sortWithinPartitions("team")
+    ready = read.join(teams, "doc_id").repartition("team").sortWithinPartitions("team")
     links = connected(_search(ready, words, percent), "binary")
     root = F.coalesce(F.col("root"), F.col("key"))
     rows = (
