@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loregraph.llm.chat import CHAT_SQL, collapse_snapshots
 from loregraph.llm.common import table
+from loregraph.llm.decontaminate import find_leaks
 from loregraph.llm.hmm import score_texts
 from loregraph.llm.jaccard import jaccard_join
 from loregraph.llm.packing import pack
@@ -24,6 +26,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_snapshots(table(spark, sf_dir, "conversations"))
+
+
 def op4_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -47,11 +57,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
+    "op3_chat_format": op3_chat_format,
     "op4_hmm_language_model": op4_hmm_language_model,
     "op5_token_counts": op5_token_counts,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_chat_format": CHAT_SQL}
