@@ -108,9 +108,11 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per bucket with the packed numbers that belong there."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     ends = np.append(cut[1:], len(b))
     packed = [
         pa.array([c[order[s:e]].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.common import batches, texts
+from loregraph.session import ship
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "local_phone", "credential")
 BASE_KINDS = KINDS[:4]
@@ -177,6 +178,34 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, f"doc_id long, spans array<{SPAN}>, masked string")
 
 
+def mask_pii(docs: DataFrame) -> DataFrame:
+    """The documents with each span of personal data replaced by its kind.
+
+    A masked text gets its new length in ``n_chars``, where there is such a
+    column; other rows, and other columns of all rows, stay as they are, null
+    texts included.  One pass, no join and no shuffle, so rows that share an
+    id keep their own texts.
+    """
+    ship(docs.sparkSession)
+    at, sized = docs.columns.index("text"), "n_chars" in docs.columns
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            text = batch.column(at).to_pylist()
+            found = [spans(t) if t else [] for t in text]
+            new = [mask(t, f) if f else t for t, f in zip(text, found, strict=True)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, columns[at].type)
+            if sized:
+                k = batch.schema.get_field_index("n_chars")
+                old = columns[k].to_pylist()
+                size = [len(n) if f else o for n, f, o in zip(new, found, old, strict=True)]
+                columns[k] = pa.array(size, columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(
         F.transform(

@@ -14,6 +14,7 @@ from loregraph.llm.jaccard import jaccard_join
 from loregraph.llm.packing import pack
 from loregraph.llm.pii import find_pii, pii_digest
 from loregraph.llm.quality import classify
+from loregraph.llm.repeats import remove_repeats
 from loregraph.llm.rules import quality_rules
 from loregraph.llm.token_count import count_tokens
 
@@ -38,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_hmm_language_model": op4_hmm_language_model,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
