@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregraph.llm.chat import CHAT_SQL, collapse_snapshots
+from loregraph.llm.chat import collapse_snapshots
 from loregraph.llm.common import table
 from loregraph.llm.decontaminate import find_leaks
 from loregraph.llm.hmm import score_texts
 from loregraph.llm.jaccard import jaccard_join
+from loregraph.llm.oracle import ORACLE
 from loregraph.llm.packing import pack
 from loregraph.llm.pii import find_pii, pii_digest
 from loregraph.llm.quality import classify
@@ -72,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {"op3_chat_format": CHAT_SQL}
+__all__ = ["ORACLE", "QUERIES"]
