@@ -351,7 +351,8 @@ def _groups(together: np.ndarray, states: int) -> np.ndarray:
     """Which state each of the most frequent words starts with: words that occur together."""
     freq = np.maximum(1.0, np.diag(together))
     tie = together / np.sqrt(np.outer(freq, freq))
-    vals, vecs = np.linalg.eigh(tie / np.sqrt(np.outer(tie.sum(0), tie.sum(1))))
+    degree = np.maximum(1e-12, tie.sum(0))
+    vecs = np.linalg.eigh(tie / np.sqrt(np.outer(degree, degree)))[1]
     x = vecs[:, -states:]
     x = x / np.maximum(1e-12, np.linalg.norm(x, axis=1))[:, None]
     centre = [x[0]]
