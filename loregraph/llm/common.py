@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loregraph.session import ship
 
 # Bytes of text worked on at a time in a task; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +88,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hashes of words, the usual ones kept."""
 
-    LIMIT = 1_000_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -14,7 +14,7 @@ from loregraph.llm.components import connected
 from loregraph.session import cut_lineage, shuffle_width
 
 # Set elements that one task searches at a time; larger groups are cut into blocks.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 800_000
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
