@@ -259,6 +259,13 @@ def t_occurrence(sets: list[np.ndarray], percent: int) -> np.ndarray:
         lists, length = lists[used], length[used]
         by_length = np.argsort(length, kind="stable")
         lists, length = lists[by_length], length[by_length]
+        # A likely partner first: once it is linked, its whole group is out of question.
+        y = int(entries[start[lists[0]] + length[0] - 1])
+        if forest.root[y] != forest.root[x]:
+            theirs = token[begin[y] : begin[y] + sorted_size[y]]
+            both = len(np.intersect1d(token[mine], theirs, assume_unique=True))
+            if (100 + percent) * both >= percent * (n + sorted_size[y]):
+                forest.union(x, y)
         aside = min(need - 1, len(lists) - 1)
         # The more lists are put aside the less is merged and the more looked up.
         total = np.cumsum(length)
@@ -267,11 +274,11 @@ def t_occurrence(sets: list[np.ndarray], percent: int) -> np.ndarray:
         short = lists[: len(lists) - aside]
         span = length[: len(lists) - aside]
         at = np.repeat(start[short] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
-        met, times = np.unique(entries[at], return_counts=True)
+        at = entries[at]
+        met, times = np.unique(at[forest.root[at] != forest.root[x]], return_counts=True)
         met_size = sorted_size[met]
         least = -(-percent * (n + met_size) // (100 + percent))
         good = (met_size >= need) & (times + aside >= least)
-        good &= forest.root[met] != forest.root[x]
         met, times, least = met[good], times[good], least[good]
         far = lists[len(lists) - aside :][::-1] if aside else lists[:0]
         far_length = length[len(lists) - aside :][::-1] if aside else length[:0]
@@ -374,7 +381,8 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
         .otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
         .alias("team"),
     )
-    ready = read.join(teams, "doc_id").repartition("team").sortWithinPartitions("team")
+    # The same join at every size: members are few, but their number is not bounded.
+    ready = read.join(teams.hint("merge"), "doc_id").repartition("team").sortWithinPartitions("team")
     links = connected(_search(ready, words, percent), "binary")
     root = F.coalesce(F.col("root"), F.col("key"))
     rows = (
