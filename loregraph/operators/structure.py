@@ -1,6 +1,6 @@
 """Structural differences between two versions of a source file.
 
-Definitions are found by pattern in the text with its triple-quoted strings
+Definitions are found by pattern in the text with its comments and strings
 removed, which tolerates broken syntax the way an error-tolerant parser does.
 Only Python files are compared.
 """
@@ -15,12 +15,26 @@ from loregraph.functions.text import is_test_file, language
 _NAME = r"([\p{L}_][\p{L}\p{N}_]*)"
 FUNCTION_PATTERN = r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+" + _NAME + r"[ \t]*[(\[]"
 CLASS_PATTERN = r"(?m)^[ \t]*class[ \t]+" + _NAME + r"[ \t]*[(:\[]"
-_LONG_STRING = r'(?s)"""(?:\\.|.)*?"""|\'\'\'(?:\\.|.)*?\'\'\''
+
+
+def _long(q: str) -> str:
+    return rf"{q * 3}[^{q}\\]*+(?:(?:\\.|{q}(?!{q * 2}))[^{q}\\]*+)*+{q * 3}"
+
+
+def _short(q: str) -> str:
+    return rf"{q}(?:[^{q}\\\n]|\\.)*+{q}"
+
+
+# Comments and strings in one alternation, so that neither opens inside the
+# other.  Possessive groups repeat without recursion, however long a string is.
+_ASIDE = "(?s)" + "|".join(
+    [r"#[^\n]*+", _long('"'), _long("'"), _short('"'), _short("'")]
+)
 
 
 def defined_names(source: Column, pattern: str) -> Column:
     """Distinct names defined in a source text."""
-    bare = F.regexp_replace(source, _LONG_STRING, '""')
+    bare = F.regexp_replace(source, _ASIDE, '""')
     return F.array_distinct(F.regexp_extract_all(bare, F.lit(pattern), F.lit(1)))
 
 

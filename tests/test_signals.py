@@ -139,3 +139,16 @@ def test_structural_changes(spark):
         ("/p/m.py", "added", "class", "D"),
         ("/p/m.py", "removed", "class", "C"),
     }
+
+
+def test_long_strings_and_quotes_in_comments(spark):
+    from loregraph.operators.structure import structural_changes
+
+    words = "plain text \\\\ \\' \" and 'quotes' " * 30_000  # about 1 MB
+    old = '# use """ here\ndef a():\n    pass\n'
+    new = old + f"def b():\n    '''{words.replace(chr(39), '')}\ndef hidden():\n'''\n"
+    blobs = spark.createDataFrame(
+        [("/p", "/p/m.py", old, new)], "project string, path string, before string, after string"
+    )
+    got = {(r.action, r.kind, r.name) for r in structural_changes(blobs).collect()}
+    assert got == {("added", "function", "b")}
