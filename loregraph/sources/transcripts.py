@@ -50,7 +50,8 @@ def _envelope(lines: DataFrame) -> DataFrame:
 
 
 def _explicit_null(member: str) -> Column:
-    return F.col("value").rlike(rf'"{member}"\s*:\s*null')
+    """Whether the line itself, not something nested in it, has the member."""
+    return F.coalesce(F.array_contains(F.json_object_keys("value"), member), F.lit(False))
 
 
 def _timestamp() -> Column:
@@ -81,6 +82,10 @@ def _reason() -> Column:
             (data.isNotNull() & ~data.startswith("{")) | (data.isNull() & _explicit_null("data")),
             F.lit("payload is not an object"),
         )
+        .when(
+            data.isNotNull() & F.try_parse_json(data).isNull(),
+            F.lit("payload repeats a member or is too large"),
+        )
     )
 
 
@@ -108,7 +113,7 @@ def parse_events(lines: DataFrame, cwd: Column | str = "/") -> DataFrame:
         F.coalesce("rec.session_id", F.lit("")).alias("session_id"),
         F.when(is_file, place).alias("path"),
         F.when(kind == "tool_use", place).alias("tool_path"),
-        F.parse_json(F.coalesce(data, F.lit("{}"))).alias("data"),
+        F.try_parse_json(F.coalesce(data, F.lit("{}"))).alias("data"),
         *kept,
     )
 

@@ -60,3 +60,17 @@ def test_file_order_is_kept(spark, tmp_path):
     paths = [r.path for r in events.orderBy("pos").collect()]
     assert paths == [f"/p/f{i}" for i in range(50)]
     assert events.first().file.endswith("a.jsonl")
+
+
+def test_nested_nulls_and_repeated_members(spark):
+    lines = [
+        ('{"type":"bash_exec","data":{"timestamp":null,"data":null}}',),
+        ('{"type":"bash_exec","timestamp":4,"data":{"a":1,"a":2}}',),
+        ('{"type":"bash_exec","data":null}',),
+    ]
+    df = spark.createDataFrame(lines, "value string")
+    assert [(r.type, r.timestamp) for r in parse_events(df).collect()] == [("bash_exec", 0)]
+    assert sorted(r.reason for r in rejected_lines(df).collect()) == [
+        "payload is not an object",
+        "payload repeats a member or is too large",
+    ]
