@@ -65,12 +65,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def show(df: DataFrame, as_json: bool) -> None:
-    """Print a report; the rows are streamed, not collected."""
+    """Print a report; all rows are streamed, none are collected or cut."""
     if as_json:
         for line in df.toJSON().toLocalIterator():
             print(line)
     else:
-        df.show(n=1000, truncate=60)
+        print("\t".join(df.columns))
+        for row in df.toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in row))
 
 
 def run(graph: ProjectGraph, args: argparse.Namespace) -> None:
