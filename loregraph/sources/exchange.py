@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loregraph import schema
@@ -10,6 +10,7 @@ from loregraph.functions.models import Embedder, zero_embedder
 from loregraph.functions.text import strip
 from loregraph.operators.filters import filter_nodes
 from loregraph.operators.merge import candidate_id
+from loregraph.session import cut_lineage
 
 # Exported columns by format.
 JSON_COLUMNS = (
@@ -69,26 +70,34 @@ def export(
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(rec VARIANT, pos) for every record of JSON files.
+    """(rec VARIANT, file, pos) for every record of JSON files.
 
-    Files hold either one record per line, which scales, or one JSON array,
-    whose file then is read by one task.
+    A file holds either one record per line, which scales, or one JSON array,
+    and then is read by one task.  Its first sign tells which; each file is
+    judged by itself.
     """
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
-    first = lines.first()
-    if first is not None and first.value.lstrip().startswith("["):
-        whole = spark.read.option("wholetext", True).text(path)
-        array = F.try_parse_json("value")
-        bad = whole.filter(~F.coalesce(F.schema_of_variant(array).startswith("ARRAY"), F.lit(False)))
-        if not bad.isEmpty():
-            raise ValueError("expected a JSON array at the top level")
-        return whole.select(
-            F.posexplode(F.try_variant_get(array, "$", "array<variant>")).alias("pos", "rec")
-        )
-    if first is not None and not first.value.lstrip().startswith("{"):
+    whole = spark.read.option("wholetext", True).text(path)
+    file = F.col("_metadata.file_path").alias("file")
+    lines = spark.read.text(path).select(
+        "value", file, F.monotonically_increasing_id().alias("pos")
+    ).filter(F.length(F.trim("value")) > 0)
+    first = lines.groupBy("file").agg(F.substring(F.trim(F.min_by("value", "pos")), 1, 1).alias("sign"))
+    kinds = cut_lineage(first)
+    if not kinds.filter(~F.col("sign").isin("[", "{")).isEmpty():
         raise ValueError("expected a JSON array at the top level")
-    return lines.select(
-        F.monotonically_increasing_id().alias("pos"), F.try_parse_json("value").alias("rec")
+    arrays, records = (kinds.filter(F.col("sign") == s).select("file") for s in "[{")
+    listed = whole.select("value", file).join(arrays, "file", "left_semi")
+    array = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    # An array that cannot be read fails the import; no record goes missing.
+    sure = F.when(array.isNotNull(), array).otherwise(
+        F.raise_error(F.lit("expected a JSON array at the top level")).cast("array<variant>")
+    )
+    return listed.select("file", F.posexplode(sure).alias("pos", "rec")).select(
+        "rec", "file", F.col("pos").cast("bigint").alias("pos")
+    ).unionByName(
+        lines.join(records, "file", "left_semi").select(
+            F.try_parse_json("value").alias("rec"), "file", "pos"
+        )
     )
 
 
@@ -102,6 +111,9 @@ def import_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """Turn ``records(rec, pos)`` into (new nodes, skipped records).
 
+    An id comes from the project, the time, the file, the text and, where a
+    file has a text more than once, its number among the equal ones.
+
     Skipped are non-objects, blank texts and, on request, texts the project
     already has; duplicates within the records are all imported.  Values that
     are not allowed fall back to the defaults, times are set to ``now`` and
@@ -131,8 +143,14 @@ def import_rows(
         rows = rows.withColumn("known", F.lit(None).cast("boolean"))
     usable = usable & F.col("known").isNull()
     stamp = F.lit(int(now)).cast("bigint")
-    nodes = rows.filter(usable).select(
-        candidate_id(F.lit(project), F.lit("import"), stamp, F.col("pos")).alias("id"),
+    origin = F.col("file") if "file" in records.columns else F.lit("")
+    equal = Window.partitionBy("origin", F.sha2("text", 256)).orderBy("pos")
+    fresh = rows.filter(usable).withColumn("origin", origin)
+    fresh = fresh.withColumn("copy", F.row_number().over(equal))
+    nodes = fresh.select(
+        candidate_id(
+            F.lit(project), F.lit("import"), stamp, F.col("origin"), F.col("text"), F.col("copy")
+        ).alias("id"),
         allowed("type", schema.NODE_TYPES, "observation").alias("type"),
         F.when(get("tier", "int").isin(*schema.TIERS), get("tier", "int"))
         .otherwise(F.lit(1))
