@@ -9,11 +9,11 @@ than the size of the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.functions.text import tokens
-from loregraph.session import cut_lineage, small_side
+from loregraph.session import cut_lineage
 
 # The usual Okapi parameters.
 K1 = 1.5
@@ -134,14 +134,14 @@ def bm25_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, project, id, raw) for documents sharing a term with the query.
 
     Documents without a shared term have raw score 0 and are not listed.  The
-    query terms and the corpus summary are small and used repeatedly, so they
-    are written out first.
+    query terms and the corpus summary are used repeatedly, so they are written
+    out first; their sizes in bytes are then known to adaptive execution, which
+    picks the joins.
     """
     terms = cut_lineage(query_terms(queries))
-    n_terms = terms.count()
-    wanted = small_side(terms.select("project", "term").distinct(), n_terms)
+    wanted = terms.select("project", "term").distinct()
     summary = cut_lineage(corpus_summary(nodes, wanted))
-    weighted = small_side(weighted_terms(terms, summary), n_terms)
+    weighted = weighted_terms(terms, summary)
     tf, dl = F.col("tf"), F.col("dl")
     gain = (
         F.col("qtf")
@@ -163,8 +163,8 @@ def bm25_normalised(hits: DataFrame) -> DataFrame:
     Unlisted documents score 0, so they matter for the maximum only when every
     listed one is negative, and then all scores are 0 anyway.
     """
-    best = hits.groupBy("query_id").agg(F.max("raw").alias("best"))
-    return hits.join(best, "query_id").select(
+    best = F.max("raw").over(Window.partitionBy("query_id"))
+    return hits.withColumn("best", best).select(
         "query_id",
         "project",
         "id",

@@ -3,9 +3,7 @@
 The table-against-table join never forms pairs as rows.  Both sides are cut
 into blocks that meet in one task each, where a matrix product keeps only the
 best ``k`` partners per query; the block winners are then reduced per query.
-Identical node vectors are collapsed first, and with a positive threshold the
-unit sphere is divided among pivot vectors: a query is only sent to those
-cells its threshold radius can reach (bisector bound, so nothing is lost).
+Identical node vectors are collapsed first, by a digest of the vector.
 """
 
 from __future__ import annotations
@@ -19,12 +17,10 @@ from pyspark.sql import functions as F
 
 from loregraph.functions import vectors
 from loregraph.operators.skew import every_lane, lane_counts, own_lane
+from loregraph.session import ship
 
 BLOCK_ROWS = 16_384
-PIVOT_MIN_ROWS = 500_000
-MAX_PIVOTS = 256
 _QUERY_STEP = 512
-_SLACK = 1e-6
 # Scores that agree to this many digits count as tied; beyond them the order of
 # additions decides.
 TIE_DIGITS = 9
@@ -89,58 +85,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length > 0.0, length, 1.0)
 
 
-def choose_pivots(nodes: DataFrame, count: int) -> np.ndarray:
-    """``count`` node vectors picked by hash order (repeatable), as unit rows.
-
-    At most MAX_PIVOTS vectors reach the driver.
-    """
-    picked = (
-        nodes.select("id", "embedding")
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(min(count, MAX_PIVOTS))
-        .collect()
-    )
-    if not picked:
-        return np.zeros((0, 0))
-    return np.unique(_unit(np.array([r.embedding for r in picked], dtype=np.float64)), axis=0)
-
-
-def auto_pivots(nodes: DataFrame, threshold: float) -> np.ndarray | None:
-    """Pivots for large inputs; small ones are not worth the extra pass."""
-    if threshold <= 0.0:
-        return None
-    rows = nodes.count()
-    if rows < PIVOT_MIN_ROWS:
-        return None
-    return choose_pivots(nodes, max(2, rows // PIVOT_MIN_ROWS * 8))
-
-
-def _with_cells(df: DataFrame, pivots: np.ndarray | None, radius: float | None) -> DataFrame:
-    """Add ``cell``: the nearest pivot, or with a radius every reachable one."""
-    if pivots is None or len(pivots) < 2:
-        return df.withColumn("cell", F.lit(0))
-    gaps = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
-    schema = df.withColumn("cell", F.lit(0)).schema
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            near = _unit(_matrix(batch.column("embedding"))) @ pivots.T
-            best = near.argmax(axis=1)
-            if radius is None:
-                rows, cells = np.arange(len(best)), best
-            else:
-                gap = gaps[best]
-                gap[np.arange(len(best)), best] = 1.0
-                reach = (near.max(axis=1, keepdims=True) - near) / gap <= radius + _SLACK
-                rows, cells = np.nonzero(reach)
-            out = batch.take(pa.array(rows))
-            yield out.append_column("cell", pa.array(cells.astype(np.int32)))
-
-    return df.mapInArrow(assign, schema)
-
-
 def _keep_best(sims: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row/column positions of the k best columns per row, first column on ties."""
     level = np.round(sims, TIE_DIGITS)
@@ -161,37 +105,40 @@ def top_matches(
     threshold: float,
     k: int = 1,
     block_rows: int = BLOCK_ROWS,
-    pivots: np.ndarray | None | str = "auto",
+    by_weight: bool = False,
 ) -> DataFrame:
     """Best ``k`` nodes per query within the same project.
 
     ``queries(query_id, project, embedding)`` against ``nodes(id, project,
     embedding)`` gives ``(query_id, id, similarity)``, ties going to the
     smaller id.  Queries without a partner give no row.
+
+    With ``by_weight`` nodes have a ``weight``, too: a negative cosine counts
+    as 0, ties go to the heavier node, and the weight is kept in the result.
     """
     check_threshold(threshold)
     check_limit(k)
     queries = queries.select("query_id", "project", "embedding").filter("embedding is not null")
-    nodes = nodes.select("id", "project", "embedding").filter("embedding is not null")
-    if isinstance(pivots, str):
-        pivots = auto_pivots(nodes, threshold)
-    if threshold <= 0.0:
-        pivots = None
-
+    weight = F.col("weight") if by_weight else F.lit(0.0)
+    nodes = nodes.select("id", "project", "embedding", weight.cast("double").alias("weight"))
+    nodes = nodes.filter("embedding is not null")
+    ship(queries.sparkSession)
+    nodes = nodes.withColumn("digest", F.sha2(F.to_json("embedding"), 256))
     if k == 1:
-        nodes = nodes.groupBy("project", "embedding").agg(F.min("id").alias("id"))
+        nodes = (
+            nodes.groupBy("project", "digest")
+            .agg(F.min(F.struct((-F.col("weight")).alias("light"), "id", "embedding")).alias("m"))
+            .select("project", "m.id", "m.embedding", (-F.col("m.light")).alias("weight"))
+        )
     else:
-        copies = Window.partitionBy("project", "embedding").orderBy("id")
+        copies = Window.partitionBy("project", "digest").orderBy(F.desc("weight"), "id")
         nodes = (
             nodes.withColumn("copy", F.row_number().over(copies))
             .filter(F.col("copy") <= k)
-            .drop("copy")
+            .drop("copy", "digest")
         )
-    radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
-    nodes = _with_cells(nodes, pivots, None)
-    queries = _with_cells(queries, pivots, radius)
 
-    group = ["project", "cell"]
+    group = ["project"]
     lanes = lane_counts(nodes, group, block_rows, "n_lanes").join(
         lane_counts(queries, group, block_rows, "q_lanes"), group
     )
@@ -209,7 +156,7 @@ def top_matches(
     )
     block = group + ["q_lane", "n_lane"]
     # Own column names on the right: both sides may come from one frame.
-    right = right.select("id", "embedding", *[F.col(c).alias(f"n_{c}") for c in block])
+    right = right.select("id", "embedding", "weight", *[F.col(c).alias(f"n_{c}") for c in block])
 
     def multiply(q: pa.Table, n: pa.Table) -> pa.Table:
         empty = pa.table(
@@ -217,15 +164,21 @@ def top_matches(
                 "query_id": q.column("query_id").slice(0, 0),
                 "id": n.column("id").slice(0, 0),
                 "similarity": pa.array([], pa.float64()),
+                "weight": pa.array([], pa.float64()),
             }
         )
         if q.num_rows == 0 or n.num_rows == 0:
             return empty
-        n = n.sort_by("id")
+        n = n.sort_by([("weight", "descending"), ("id", "ascending")])
         qm, nm = _unit(_matrix(q.column("embedding"))), _unit(_matrix(n.column("embedding"))).T
         parts = []
         for start in range(0, len(qm), _QUERY_STEP):
-            sims = qm[start : start + _QUERY_STEP] @ nm
+            q_part = qm[start : start + _QUERY_STEP]
+            # Vectors of different lengths have nothing in common.
+            alike = qm.shape[1] == nm.shape[0]
+            sims = q_part @ nm if alike else np.zeros((len(q_part), nm.shape[1]))
+            if by_weight:
+                sims = np.maximum(sims, 0.0)
             rows, cols = _keep_best(sims, threshold, k)
             parts.append(
                 pa.table(
@@ -233,6 +186,7 @@ def top_matches(
                         "query_id": q.column("query_id").take(pa.array(rows + start)),
                         "id": n.column("id").take(pa.array(cols)),
                         "similarity": pa.array(sims[rows, cols]),
+                        "weight": n.column("weight").take(pa.array(cols)),
                     }
                 )
             )
@@ -244,20 +198,31 @@ def top_matches(
         .cogroup(right.groupBy(*[f"n_{c}" for c in block]))
         .applyInArrow(
             multiply,
-            f"query_id {types[0]['query_id']}, id {types[1]['id']}, similarity double",
+            f"query_id {types[0]['query_id']}, id {types[1]['id']}, similarity double, weight double",
         )
     )
+    if not by_weight:
+        found = found.withColumn("weight", F.lit(0.0))
     if k == 1:
         best = found.groupBy("query_id").agg(
             F.min(
-                F.struct((-F.round("similarity", TIE_DIGITS)).alias("level"), "id", "similarity")
+                F.struct(
+                    (-F.round("similarity", TIE_DIGITS)).alias("level"),
+                    (-F.col("weight")).alias("light"),
+                    "id",
+                    "similarity",
+                    "weight",
+                )
             ).alias("m")
         )
-        return best.select("query_id", "m.id", "m.similarity")
-    rank = Window.partitionBy("query_id").orderBy(tie_rank("similarity"), "id")
-    return (
-        found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).drop("rank")
-    )
+        best = best.select("query_id", "m.id", "m.similarity", "m.weight")
+    else:
+        rank = Window.partitionBy("query_id").orderBy(
+            tie_rank("similarity"), F.desc("weight"), "id"
+        )
+        best = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+        best = best.drop("rank")
+    return best if by_weight else best.drop("weight")
 
 
 def nearest_match(

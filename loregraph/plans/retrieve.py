@@ -14,7 +14,7 @@ from loregraph.functions.models import TokenCounter, word_count_tokens
 from loregraph.operators.assembly import TOKEN_BUDGET, TOP_K, enforce_budget
 from loregraph.operators.bm25 import bm25_hits, bm25_normalised
 from loregraph.operators.graph import hop_scores
-from loregraph.operators.similarity import tie_rank
+from loregraph.operators.similarity import tie_rank, top_matches
 from loregraph.session import cut_lineage
 
 # Channel weights and number of graph seeds.
@@ -93,6 +93,84 @@ def top_fused(fused: DataFrame, k: int = TOP_K) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _order(score: str) -> list:
+    return [tie_rank(score), F.desc("weight"), F.col("id")]
+
+
+def best_by_vector(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(query_id, project, id, weight, vector): the ``k`` best candidates of each query.
+
+    Block products find them, so no row per query and candidate is formed.
+    Candidates without a vector, and all of them for a query without one,
+    score 0: the heaviest ``k`` of each project can be among the best.
+    """
+    found = top_matches(queries, candidates, 0.0, k, by_weight=True).select(
+        "query_id", "id", "weight", F.col("similarity").alias("vector")
+    )
+    heaviest = Window.partitionBy("project").orderBy(F.desc("weight"), "id")
+    light = candidates.select("id", "project", "weight", F.col("embedding").isNull().alias("bare"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(heaviest)).filter(F.col("r") <= k)
+
+    probe = queries.select("query_id", "project", F.col("embedding").isNull().alias("blind"))
+    zero = F.lit(0.0).alias("vector")
+    bare = first(light.filter("bare")).join(probe.filter("not blind"), "project")
+    blind = first(light).join(probe.filter("blind"), "project")
+    rest = bare.unionByName(blind).select("query_id", "id", "weight", zero)
+    w = Window.partitionBy("query_id").orderBy(*_order("vector"))
+    return (
+        found.unionByName(rest)
+        .withColumn("r", F.row_number().over(w))
+        .filter(F.col("r") <= k)
+        .join(probe.select("query_id", "project"), "query_id")
+        .select("query_id", "project", "id", "weight", "vector", "r")
+    )
+
+
+def best_fused(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, project, id, weight, vector, bm25, graph, fused, rank): the best ``k``.
+
+    Only candidates with a keyword or graph score, and the best by vector, can
+    be among them: whoever has neither score and is not among the best ``k``
+    by vector has ``k`` others before it.  A keyword score below 0 may push one
+    of those back, so there are as many more as a query has such scores.
+    """
+    candidates = candidates_of(nodes)
+    keyword = cut_lineage(
+        bm25_normalised(bm25_hits(candidates, queries)).select("query_id", "id", "bm25")
+    )
+    below = keyword.filter("bm25 < 0").groupBy("query_id").count().agg(F.max("count")).first()[0]
+    near = cut_lineage(best_by_vector(queries, candidates, max(k, SEEDS) + (below or 0)))
+    seeds = near.filter(F.col("r") <= SEEDS).select("query_id", "project", "id")
+    graph = cut_lineage(hop_scores(seeds, edges, candidates).select("query_id", "id", "graph"))
+    # Exact vector scores of the few candidates that other channels bring in.
+    listed = keyword.select("query_id", "id").unionByName(graph.select("query_id", "id")).distinct()
+    other = listed.join(near.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    q = queries.select("query_id", "project", F.col("embedding").alias("q"))
+    c = candidates.select("id", "project", "weight", F.col("embedding").alias("e"))
+    cosine = vectors.cosine_from(
+        vectors.dot(F.col("e"), F.col("q")), vectors.norm(F.col("e")), vectors.norm(F.col("q"))
+    )
+    score = F.when(F.col("e").isNull() | F.col("q").isNull(), F.lit(0.0)).otherwise(
+        F.greatest(F.lit(0.0), cosine)
+    )
+    # The last hop of the graph may leave the project.
+    brought = other.join(q, "query_id").join(c, ["id", "project"]).select(
+        "query_id", "project", "id", "weight", score.alias("vector")
+    )
+    v, b, g = F.col("vector"), F.col("bm25"), F.col("graph")
+    fused = (
+        near.drop("r")
+        .unionByName(brought)
+        .join(keyword, ["query_id", "id"], "left")
+        .join(graph, ["query_id", "id"], "left")
+        .fillna(0.0, ["bm25", "graph"])
+        .withColumn("fused", VECTOR_WEIGHT * v + BM25_WEIGHT * b + GRAPH_WEIGHT * g)
+    )
+    return top_fused(fused, k)
+
+
 def convention_tokens(nodes: DataFrame, counter: TokenCounter = word_count_tokens) -> DataFrame:
     """(project, tokens_used) taken up by the conventions of each project."""
     return (
@@ -151,7 +229,7 @@ def retrieve(
     All conventions of the project come with rank 0 (order them by weight),
     whether or not they fit the budget; candidates follow with their rank.
     """
-    top = cut_lineage(top_fused(fused_scores(queries, nodes, edges)))
+    top = cut_lineage(best_fused(queries, nodes, edges))
     picked = with_budget(top, nodes, budget, counter).filter("kept")
     always = conventions_of(nodes).select("project", "id", "tier", "text", "rationale", "weight")
     none = F.lit(None).cast("double")

@@ -98,31 +98,6 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan over all cores when its files give too few partitions.
-
-    A file with one row group is read by one task, which then also does all
-    the per-row work behind it.  Inputs with enough partitions, which is to
-    say all large ones, are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
-BROADCAST_ROWS = 200_000
-
-
-def small_side(side: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint how to join a side whose row count has been checked.
-
-    Up to ``limit`` narrow rows it is broadcast, so the other side need not be
-    shuffled; above that both sides are shuffled and merged.
-    """
-    return F.broadcast(side) if rows <= limit else side.hint("merge")
-
-
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions, for steps that must not be coalesced."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

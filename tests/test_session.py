@@ -32,32 +32,24 @@ def test_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "tables").exists()
 
 
-def test_spread_only_small_scans(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert session.spread(spark.range(9, numPartitions=1), "id").rdd.getNumPartitions() == cores
-    wide = spark.range(9, numPartitions=cores + 1)
-    assert session.spread(wide, "id") is wide
-
-
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_broadcast_only_below_the_limit(spark):
-    big, side = spark.range(100), spark.range(10)
-    assert "BroadcastHashJoin" in _plan(big.join(session.small_side(side, 10), "id"))
-    assert "SortMergeJoin" in _plan(big.join(session.small_side(side, 10, limit=9), "id"))
-
-
-def test_bm25_without_broadcast_is_the_same(spark, make_nodes, monkeypatch):
+def test_bm25_without_broadcast_is_the_same(spark, make_nodes):
     nodes = make_nodes([{"text": t} for t in ("a b c", "a d", "e f", "a a g", "h")])
     queries = spark.createDataFrame(
         [("q", "/p", "a d"), ("r", "/p", "h h")], "query_id string, project string, text string"
     )
     rows = lambda df: sorted((r.query_id, r.id, round(r.raw, 9)) for r in df.collect())
     want = rows(bm25.bm25_hits(nodes, queries))
-    monkeypatch.setattr(bm25, "small_side", lambda df, n: session.small_side(df, n, limit=-1))
-    assert rows(bm25.bm25_hits(nodes, queries)) == want and len(want) == 4
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        assert rows(bm25.bm25_hits(nodes, queries)) == want and len(want) == 4
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_no_text_is_tokenised_twice(spark, make_nodes):
@@ -65,3 +57,9 @@ def test_no_text_is_tokenised_twice(spark, make_nodes):
     wanted = spark.createDataFrame([("/p", "a")], "project string, term string")
     plan = _plan(bm25.postings(make_nodes([{"text": "a b"}]), wanted))
     assert plan.count("split(") == 1
+
+
+def test_workers_find_the_package(spark):
+    session.ship(spark)
+    session.ship(spark)
+    assert any(f.endswith("loregraph.zip") for f in spark.sparkContext._python_includes)

@@ -47,12 +47,10 @@ def brute(n_rows, q_rows, threshold, k):
 
 
 @pytest.mark.parametrize("threshold, k", [(0.9, 1), (0.9, 4), (0.5, 3), (0.0, 1)])
-@pytest.mark.parametrize("pivots", [None, 5])
 @pytest.mark.parametrize("block_rows", [7, 4096])
-def test_top_matches_against_brute_force(clustered, threshold, k, pivots, block_rows):
+def test_top_matches_against_brute_force(clustered, threshold, k, block_rows):
     n, q, n_rows, q_rows = clustered
-    chosen = None if pivots is None else similarity.choose_pivots(n, pivots)
-    out = similarity.top_matches(q, n, threshold, k, block_rows=block_rows, pivots=chosen)
+    out = similarity.top_matches(q, n, threshold, k, block_rows=block_rows)
     rows = out.collect()
     got = {(r.query_id, r.similarity) for r in rows}
     want = brute(n_rows, q_rows, threshold, k)
@@ -62,15 +60,6 @@ def test_top_matches_against_brute_force(clustered, threshold, k, pivots, block_
         assert {(r.query_id, r.id) for r in rows} == {(q, i) for q, i, _ in want}
 
 
-def test_pivots_prune(clustered):
-    """With pivots a query visits only part of the cells."""
-    n, q, _, _ = clustered
-    pivots = similarity.choose_pivots(n, 12)
-    radius = float(np.sqrt(2 - 2 * 0.95))
-    visits = similarity._with_cells(q, pivots, radius).count()
-    assert q.count() <= visits < q.count() * len(pivots)
-
-
 def test_nearest_match_keeps_every_query(clustered):
     n, q, _, _ = clustered
     assert similarity.nearest_match(q, n, 0.99).count() == 60

@@ -471,8 +471,8 @@ def bm25_normalised(spark, sf):
 
 @query
 def fused_topk(spark, sf):
-    fused = retrieve.fused_scores(d.queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf))
-    return retrieve.top_fused(fused).select(
+    best = retrieve.best_fused(d.queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf))
+    return best.select(
         "query_id", "project", "rank", "id", *map(r6, ("vector", "bm25", "graph", "fused"))
     )
 

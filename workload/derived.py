@@ -13,7 +13,7 @@ from loregraph.operators.extraction import place, position
 from loregraph.operators.graph import pairs_to_edges, upsert_edges
 from loregraph.operators.signals import co_occurring_writes
 from loregraph.schema import EDGES
-from loregraph.session import cut_lineage, spread
+from loregraph.session import cut_lineage
 from loregraph.sources.transcripts import parse_events
 
 BASE_TIME = 1_700_000_000
@@ -21,17 +21,8 @@ NOW = 1_702_000_000
 PROJECT = "/work/p"
 
 
-# Tables with per-row work heavy enough to be spread over all cores.
-_SPREAD = {
-    "documents": ("doc_id",),
-    "events": ("event_id",),
-    "conversations": ("conv_id", "turn"),
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, *_SPREAD[name]) if name in _SPREAD else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -78,12 +69,17 @@ def _epoch(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", start, ts.cast("timestamp_ntz"))
 
 
+def _session() -> Column:
+    """A session is a day of fifteen users, so more events make more sessions."""
+    team = F.floor(F.col("user_id") / 15).cast("string")
+    return F.concat_ws("/", F.col("ts").cast("date").cast("string"), team)
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a write of the 'file' named after its user, one session
-    per day."""
+    """Every event as a write of the 'file' named after its user."""
     return table(spark, sf_dir, "events").select(
         F.lit(PROJECT).alias("project"),
-        F.col("ts").cast("date").cast("string").alias("session_id"),
+        _session().alias("session_id"),
         F.concat(
             F.when(F.col("event_type") == "signup", F.lit("new")).otherwise(F.lit("")),
             F.col("user_id").cast("string"),
@@ -100,7 +96,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = co_occurring_writes(activity(spark, sf_dir)).select(
         F.col("path_a").alias("source_id"), F.col("path_b").alias("target_id"), "session_id"
     )
-    day = F.unix_date(F.col("session_id").cast("date")).cast("bigint") * 86400
+    day = F.unix_date(F.substring("session_id", 1, 10).cast("date")).cast("bigint") * 86400
     added = pairs_to_edges(pairs, day)
     # Queries read the edges several times, as they would a stored table.
     return cut_lineage(upsert_edges(spark.createDataFrame([], EDGES), added))
@@ -143,7 +139,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kind,
             ).alias("type"),
             _epoch(F.col("ts")).alias("timestamp"),
-            F.col("ts").cast("date").cast("string").alias("session_id"),
+            _session().alias("session_id"),
             data.alias("data"),
         )
     )
@@ -288,6 +284,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def without_last_word(text: Column) -> Column:
+    """The whole text but what follows its last blank."""
+    last = F.element_at(F.split(text, " "), -1)
+    return F.substring(text, F.lit(1), F.length(text) - F.length(last))
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """Two merge candidates per embedded node: its vector at 8 and at 2 bits."""
     n = nodes.filter(F.col("embedding").isNotNull())
@@ -308,7 +310,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         )
 
     return variant("a", 8, 0, F.concat(F.col("text"), F.lit("!"))).unionByName(
-        variant("b", 2, 1, F.substring("text", 1, 60))
+        variant("b", 2, 1, without_last_word(F.col("text")))
     )
 
 

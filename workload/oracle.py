@@ -88,12 +88,12 @@ RELATIONS = {
         LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "cands": "SELECT * FROM nodes WHERE tier < 3",
     "activity": """
-      SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id,
+      SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || '/' || (user_id // 15) AS session_id,
         CASE WHEN event_type = 'signup' THEN 'new' ELSE '' END || user_id AS path,
         CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events""",
     "edges": f"""
       SELECT path_a AS source_id, path_b AS target_id, CAST(count(*) AS DOUBLE) AS strength,
-        CAST(max(epoch(CAST(session_id AS TIMESTAMP))) AS BIGINT) AS last_seen
+        CAST(max(epoch(CAST(substr(session_id, 1, 10) AS TIMESTAMP))) AS BIGINT) AS last_seen
       FROM ({_pairs('activity')}) GROUP BY 1, 2""",
     "sym": """
       SELECT source_id AS id, target_id AS neighbor_id, * FROM edges
@@ -110,7 +110,7 @@ RELATIONS = {
       FROM conversations GROUP BY conv_id""",
     "log": f"""
       SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t,
-        CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id,
+        CAST(CAST(ts AS DATE) AS VARCHAR) || '/' || (user_id // 15) AS session_id,
         CASE event_type WHEN 'click' THEN 'file_write' WHEN 'view' THEN 'file_read'
           WHEN 'error' THEN 'bash_failure' WHEN 'purchase' THEN 'user_message'
           ELSE event_type END AS type,
@@ -182,7 +182,7 @@ RELATIONS = {
         {_int8_back('embedding')} AS embedding, CAST(id AS BIGINT) AS ord
       FROM nodes WHERE embedding IS NOT NULL
       UNION ALL
-      SELECT 'b' || id, project, substr(text, 1, 60), 'b says ' || rationale,
+      SELECT 'b' || id, project, substr(text, 1, length(text) - length(list_last(string_split(text, ' ')))), 'b says ' || rationale,
         {_ternary_back('embedding')}, 1000000000 + CAST(id AS BIGINT)
       FROM nodes WHERE embedding IS NOT NULL""",
     "decayed": """
