@@ -86,31 +86,122 @@ def key_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, a 128-bit key of the set and a 64-bit part of it."""
+def _sets(read: DataFrame, words: int) -> DataFrame:
+    """doc_id, rid, n, a 128-bit key of the set and a 64-bit part of it."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            found = [shingles(t, words) for t in raw(batch.column(1))]
+            found = [shingles(t, words) for t in raw(batch.column(2))]
             keys = [key_of(s) for s in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    *batch.columns[:2],
                     pa.array([len(s) for s in found], pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(np.frombuffer(b"".join(k[:8] for k in keys), np.int64)),
                 ],
-                names=["doc_id", "n", "key", "node"],
+                names=["doc_id", "rid", "n", "key", "node"],
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, key binary, node long")
+    columns = read.select("doc_id", "rid", "text")
+    return columns.mapInArrow(run, "doc_id long, rid long, n long, key binary, node long")
+
+
+def _shared(read: DataFrame, words: int) -> DataFrame:
+    """rid, c: how many elements of each set another row has, too.
+
+    Elements travel as five bytes besides their bucket, so c may be too large
+    by chance but is never too small.
+    """
+    width = shuffle_width(read.sparkSession)
+    owners = 4 * width
+    most = 60_000
+
+    def local(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches(source):
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
+                rid = batch.column(0).to_numpy()
+                sets = [shingles(t, words) for t in raw(batch.column(1))]
+                token = np.concatenate(sets)
+                doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
+                bucket = (token % np.uint64(width)).astype(np.int64)
+                order = stable_order(bucket)
+                packed = (token // np.uint64(width))[order].view(np.uint8).reshape(-1, 8)[:, :5]
+                doc, cut = doc[order], np.searchsorted(bucket[order], np.arange(width + 1))
+                has = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(has.astype(np.int32)),
+                        pa.array([packed[cut[b] : cut[b + 1]].tobytes() for b in has], pa.binary()),
+                        pa.array([doc[cut[b] : cut[b + 1]].tobytes() for b in has], pa.binary()),
+                        pa.array([rid.tobytes()] * len(has), pa.binary()),
+                    ],
+                    names=["bucket", "c0", "c1", "c2"],
+                )
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in source:
+            for bucket, *c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                if held and bucket != now:
+                    yield from tally(held)
+                    held = []
+                now = bucket
+                held.append(c)
+        if held:
+            yield from tally(held)
+
+    def tally(held: list) -> Iterator[pa.RecordBatch]:
+        five = np.frombuffer(b"".join(h[0] for h in held), np.uint8).reshape(-1, 5)
+        token = np.zeros((len(five), 8), np.uint8)
+        token[:, :5] = five
+        token = token.view(np.uint64).ravel()
+        rid = np.frombuffer(b"".join(h[2] for h in held), np.int64)
+        base = np.cumsum([0, *(len(h[2]) // 8 for h in held[:-1])])
+        doc = np.concatenate([np.frombuffer(h[1], np.uint16) + b for h, b in zip(held, base, strict=True)])
+        order = np.argsort(token)
+        same = token[order[1:]] == token[order[:-1]]
+        twice = np.zeros(len(token), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        c = np.bincount(doc[twice], minlength=len(rid))
+        has = np.flatnonzero(c)
+        yield from _dealt(rid[has] % owners, rid[has], c[has].astype(np.uint32))
+
+    def total(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rid, c in _by_bucket(source, ["i8", "u4"]):
+            names, back = np.unique(rid, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array(np.bincount(back, weights=c).astype(np.int64))],
+                names=["rid", "c"],
+            )
+
+    return (
+        read.select("rid", "text")
+        .mapInArrow(local, "bucket int, c0 binary, c1 binary, c2 binary")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(count, "bucket int, c0 binary, c1 binary")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(total, "rid long, c long")
+    )
+
+
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative numbers, by 16 bits at a time."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(keys) and int(keys.max()) > 0xFFFF:
+        order = order[np.argsort((keys >> 16)[order].astype(np.uint16), kind="stable")]
+    return order
 
 
 def _dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per bucket with the packed numbers that belong there."""
     if not len(bucket):
         return
-    order = np.argsort(bucket, kind="stable")
+    order = stable_order(bucket)
     b = bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     ends = np.append(cut[1:], len(b))
@@ -194,7 +285,7 @@ def _candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     return (
-        texts(docs)
+        docs.select("doc_id", "text")
         .mapInArrow(local, "bucket int, c0 binary, c1 binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
@@ -351,16 +442,26 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     an empty table gives an empty result; columns other than doc_id and text
     are ignored.
 
-    Equal sets are one node.  Sets are cut into parts by their elements'
+    Equal sets are one node.  A set of which other rows have too few elements
+    links with nothing; only the others go on.  Sets are cut into parts by their elements'
     hashes, into more parts than linked sets can differ in, so linked sets have
     an equal part; sets with an equal part form groups that contain all links.
     Only documents in groups of two or more nodes are searched, one per node,
     group by group.  Groups too large for a task are cut into blocks and each
     pair of blocks is one team, so that nothing is left out.
     """
-    read = texts(docs)
-    sets = cut_lineage(_sets(docs, words))
-    groups = connected(_candidate_edges(docs, words, percent), "long")
+    read = texts(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
+    sets = cut_lineage(_sets(read, words))
+    able = (
+        sets.select("rid", "n")
+        .join(_shared(read, words), "rid")
+        .filter(100 * F.col("c") >= percent * F.col("n"))
+        .select("rid")
+        .distinct()
+    )
+    # The same join at every size: few rows remain, but their number is not bounded.
+    read = cut_lineage(read.join(able.hint("merge"), "rid", "left_semi"))
+    groups = connected(_candidate_edges(read, words, percent), "long")
     nodes = cut_lineage(
         sets.filter(F.col("n") > 0)
         .groupBy("key", "node")
@@ -381,7 +482,6 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
         .otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")))
         .alias("team"),
     )
-    # The same join at every size: members are few, but their number is not bounded.
     ready = read.join(teams.hint("merge"), "doc_id").repartition("team").sortWithinPartitions("team")
     links = connected(_search(ready, words, percent), "binary")
     root = F.coalesce(F.col("root"), F.col("key"))

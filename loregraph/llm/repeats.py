@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregraph.llm.common import batches, mix, raw, texts
-from loregraph.llm.jaccard import _by_bucket, _dealt
+from loregraph.llm.jaccard import _by_bucket, _dealt, stable_order
 from loregraph.session import cut_lineage, shuffle_width
 
 LENGTH, GRAM, SYMBOL = 200, 64, 8
@@ -132,14 +132,6 @@ def contexts(text: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return doc, place, first[order], last[order], anchor[order], own[order]
 
 
-def stable_order(keys: np.ndarray) -> np.ndarray:
-    """Stable order of small non-negative numbers, by 16 bits at a time."""
-    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
-    if len(keys) and int(keys.max()) > 0xFFFF:
-        order = order[np.argsort((keys >> 16)[order].astype(np.uint16), kind="stable")]
-    return order
-
-
 class Transforms:
     """Burrows-Wheeler transforms of the contexts of each shard.
 
