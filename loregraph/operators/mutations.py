@@ -23,8 +23,13 @@ def _set(nodes: DataFrame, changed: dict[str, Column]) -> DataFrame:
     return nodes.select(*[changed.get(c, F.col(c)).alias(c) for c in nodes.columns])
 
 
-def _when_id(node_id: str, value: Column, column: str) -> Column:
-    return F.when(F.col("id") == node_id, value).otherwise(F.col(column))
+def _is(node_id: str | Column) -> Column:
+    """Condition on the nodes to change: an id, or any condition on a set of them."""
+    return node_id if isinstance(node_id, Column) else F.col("id") == node_id
+
+
+def _when_id(node_id: str | Column, value: Column, column: str) -> Column:
+    return F.when(_is(node_id), value).otherwise(F.col(column))
 
 
 # ---------------------------------------------------------------- deletion
@@ -69,10 +74,10 @@ def clean(
 # ---------------------------------------------------------------- single node
 
 
-def set_tier(nodes: DataFrame, node_id: str, tier: int, bits: int, now: int) -> DataFrame:
+def set_tier(nodes: DataFrame, node_id: str | Column, tier: int, bits: int, now: int) -> DataFrame:
     """Move a node to a tier and store its vector at the given precision."""
     check_bits(bits)
-    hit = F.col("id") == node_id
+    hit = _is(node_id)
     return _set(
         nodes,
         {
@@ -88,9 +93,9 @@ def set_tier(nodes: DataFrame, node_id: str, tier: int, bits: int, now: int) ->
     )
 
 
-def pin(nodes: DataFrame, node_id: str, now: int) -> DataFrame:
+def pin(nodes: DataFrame, node_id: str | Column, now: int) -> DataFrame:
     """Make a node a convention (tier 3, 2-bit); one that is stays as it is."""
-    hit = (F.col("id") == node_id) & (F.col("tier") != 3)
+    hit = _is(node_id) & (F.col("tier") != 3)
     return _set(
         nodes,
         {
@@ -108,19 +113,19 @@ def pin(nodes: DataFrame, node_id: str, now: int) -> DataFrame:
     )
 
 
-def annotate(nodes: DataFrame, node_id: str, rationale: str | None) -> DataFrame:
+def annotate(nodes: DataFrame, node_id: str | Column, rationale: str | None) -> DataFrame:
     """Set or clear the rationale."""
     value = F.lit(rationale).cast("string")
     return _set(nodes, {"rationale": _when_id(node_id, value, "rationale")})
 
 
-def set_weight(nodes: DataFrame, node_id: str, weight: float) -> DataFrame:
+def set_weight(nodes: DataFrame, node_id: str | Column, weight: float) -> DataFrame:
     """Absolute weight, not below 0."""
     value = F.lit(max(0.0, float(weight)))
     return _set(nodes, {"weight": _when_id(node_id, value, "weight")})
 
 
-def add_weight(nodes: DataFrame, node_id: str, delta: float) -> DataFrame:
+def add_weight(nodes: DataFrame, node_id: str | Column, delta: float) -> DataFrame:
     """Relative weight change, not below 0."""
     value = F.greatest(F.lit(0.0), F.col("weight") + F.lit(float(delta)))
     return _set(nodes, {"weight": _when_id(node_id, value, "weight")})

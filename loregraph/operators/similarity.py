@@ -72,6 +72,15 @@ def find_similar(
 # ------------------------------------------------------- table against table
 
 
+def similar_nodes(nodes: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """(query_id, id, similarity, rank): for every node with a vector the best
+    ``limit`` others of its project, at or above the threshold."""
+    queries = nodes.select(F.col("id").alias("query_id"), "project", "embedding")
+    found = top_matches(queries, nodes, threshold, limit + 1).filter("query_id <> id")
+    rank = Window.partitionBy("query_id").orderBy(tie_rank("similarity"), "id")
+    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= limit)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -155,8 +164,11 @@ def top_matches(
         .drop("n_lanes", "q_lanes")
     )
     block = group + ["q_lane", "n_lane"]
-    # Own column names on the right: both sides may come from one frame.
-    right = right.select("id", "embedding", "weight", *[F.col(c).alias(f"n_{c}") for c in block])
+    # Own columns on the right: both sides may come from one frame.
+    right = right.select(
+        *[F.col(c).alias(c) for c in ("id", "embedding", "weight")],
+        *[F.col(c).alias(f"n_{c}") for c in block],
+    )
 
     def multiply(q: pa.Table, n: pa.Table) -> pa.Table:
         empty = pa.table(

@@ -6,6 +6,7 @@ depend on the order in which partial results arrive.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ from loregraph.operators import (
     structure,
 )
 from loregraph.plans import ingest, reports, retrieve
-from loregraph.session import cut_lineage
+from loregraph.session import checkpoint_dir, cut_lineage
 from loregraph.sources import exchange, transcripts
 from workload import derived as d
 
@@ -487,8 +488,9 @@ def retrieve_nodes(spark, sf):
 
 @query
 def retrieve_trace(spark, sf):
+    """One query per project, as a trace explains one query."""
     out = retrieve.trace(
-        d.queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
+        d.project_queries(spark, sf), d.stored_nodes(spark, sf), d.edges(spark, sf), budget=BUDGET
     )
     return out.select(
         "query_id", "id", *map(r6, ("vector", "bm25", "graph", "fused")), "included", "reason"
@@ -647,3 +649,94 @@ def duplicate_texts(spark, sf):
     return schema.duplicate_keys(
         d.nodes(spark, sf).withColumn("text", F.md5("text")), "project", "text"
     )
+
+
+# ---------------------------------------------------------------- single-node operations on sets of nodes
+
+
+def _changed(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", "tier", "precision_bits", "last_accessed", "rationale", r6("weight"))
+
+
+@query
+def set_tier(spark, sf):
+    return _changed(mutations.set_tier(d.nodes(spark, sf), F.col("type") == "fact", 2, 8, d.NOW))
+
+
+@query
+def pin_nodes(spark, sf):
+    return _changed(mutations.pin(d.nodes(spark, sf), F.col("source") == "git", d.NOW))
+
+
+@query
+def annotate_nodes(spark, sf):
+    return _changed(mutations.annotate(d.nodes(spark, sf), F.col("scope") == "module", "noted"))
+
+
+@query
+def set_weights(spark, sf):
+    return _changed(mutations.set_weight(d.nodes(spark, sf), F.col("type") == "error", 2.5))
+
+
+@query
+def lower_weights(spark, sf):
+    return _changed(mutations.add_weight(d.nodes(spark, sf), F.col("tier") == 1, -5.0))
+
+
+@query
+def similar_nodes(spark, sf):
+    out = similarity.similar_nodes(d.stored_nodes(spark, sf), 0.1, 5)
+    return out.select("query_id", "id", "rank", r6("similarity"))
+
+
+@query
+def view_nodes(spark, sf):
+    return reports.view_nodes(d.nodes(spark, sf)).withColumn("text", F.md5("text")).withColumn(
+        "weight", F.round("weight", 6)
+    )
+
+
+@query
+def export_import(spark, sf):
+    """All nodes written as JSON and read back into an empty project."""
+    path = f"{checkpoint_dir(spark)}/exports/{uuid.uuid4().hex}"
+    n = d.nodes(spark, sf)
+    exchange.export(n, path, "json")
+    new, _ = exchange.import_rows(exchange.read_records(spark, path), n.limit(0), "back", d.NOW)
+    return new.select(
+        F.md5("text").alias("text"), "type", "tier", "rationale", r6("weight"), "project", "scope",
+        "source", "session_count", "last_accessed",
+    )
+
+
+@query
+def path_kinds(spark, sf):
+    """Test files and languages of one path per document."""
+    k = F.col("doc_id")
+    folder = d._pick(("src/", "tests/", "lib/tests/x/", "lib/test_", "my_tests/"), k % 5)
+    end = d._pick((".py", ".ts", ".TSX", ".js", ".jsx", ".go", ".rs", ".txt", "", ".py.bak"), F.floor(k / 5) % 10)
+    path = F.concat(folder, F.lit("f"), k.cast("string"), end)
+    return d.table(spark, sf, "documents").select(
+        path.alias("path"), text.is_test_file(path).alias("is_test"), text.language(path).alias("language")
+    )
+
+
+@query
+def uuid_kinds(spark, sf):
+    """Which texts have the form of a UUID, for one text per document."""
+    h, k = F.md5("text"), F.col("doc_id")
+    dashed = F.concat_ws(
+        "-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    )
+    shown = (
+        F.when(k % 4 == 0, dashed)
+        .when(k % 4 == 1, F.upper(dashed))
+        .when(k % 4 == 2, h)
+        .otherwise(F.concat(F.lit("x"), F.substring(dashed, 2, 40)))
+    )
+    return d.table(spark, sf, "documents").select("doc_id", text.is_uuid(shown).alias("is_uuid"))
+
+
+@query
+def first_words(spark, sf):
+    return d.table(spark, sf, "documents").select("doc_id", F.md5(text.first_word(F.col("text"))).alias("word"))

@@ -284,6 +284,21 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def project_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark passages of a project as one query, with the vector of the first."""
+    place = F.struct("query_id", "text")
+    return (
+        queries(spark, sf_dir)
+        .groupBy("project")
+        .agg(
+            F.min("query_id").alias("query_id"),
+            F.array_join(F.array_sort(F.collect_list(place))["text"], " ").alias("text"),
+            F.min_by(F.struct("embedding"), "query_id")["embedding"].alias("embedding"),
+        )
+        .select("query_id", "project", "text", "embedding")
+    )
+
+
 def without_last_word(text: Column) -> Column:
     """The whole text but what follows its last blank."""
     last = F.element_at(F.split(text, " "), -1)

@@ -555,11 +555,16 @@ def _retrieval(budget: int) -> dict[str, str]:
 BUDGET = 8_000
 _put("retrieve_nodes", _ALL, f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, id, tier, {r6('fused')}
   FROM chosen""", _retrieval(BUDGET))
-_put("retrieve_trace", _ALL, f"""SELECT r.query_id, r.id, {r6('vector', 'bm25', 'graph', 'fused')},
+_put("retrieve_trace", f"nodes cands {_E} sym", f"""SELECT r.query_id, r.id, {r6('vector', 'bm25', 'graph', 'fused')},
     coalesce(kept, false) AS included,
     CASE WHEN kept THEN 'included' WHEN r.rank > 8 THEN printf('below top-8 (fused=%.3f)', fused)
       ELSE 'budget exceeded' END AS reason
-  FROM ranked r LEFT JOIN fill f ON f.query_id = r.query_id AND f.id = r.id""", _retrieval(BUDGET))
+  FROM ranked r LEFT JOIN fill f ON f.query_id = r.query_id AND f.id = r.id""", {
+    "passages": RELATIONS["queries"],
+    "queries": """SELECT min(query_id) AS query_id, project, string_agg(text, ' ' ORDER BY query_id) AS text,
+      (list(embedding ORDER BY query_id))[1] AS embedding FROM passages GROUP BY project""",
+    **_retrieval(BUDGET),
+})
 _put("block_lines", _ALL, f"""SELECT query_id, CAST(section AS INTEGER) AS section, {r6('sort_key')}, id,
   md5(line) AS line FROM lines""", _retrieval(BUDGET))
 _put("block_tokens", _ALL, f"""SELECT query_id, project, CAST(sum(len({_words('line')}))
@@ -657,3 +662,52 @@ _put("invalid_nodes", "nodes", """SELECT id, CAST(session_count % 5 AS INTEGER)
   'tier not allowed' AS reason FROM nodes WHERE session_count % 5 NOT IN (1, 2, 3)""")
 _put("duplicate_texts", "nodes", """SELECT project, md5(text) AS text, count(*) AS n FROM nodes
   GROUP BY 1, 2 HAVING count(*) > 1""")
+
+_CHANGE = "SELECT id, {tier} AS tier, {bits} AS precision_bits, {seen} AS last_accessed, {why} AS rationale, {w} AS weight FROM nodes"
+
+
+def _changed(name: str, **parts: str) -> None:
+    base = {
+        "tier": "tier",
+        "bits": "precision_bits",
+        "seen": "last_accessed",
+        "why": "rationale",
+        "w": "round(weight, 6)",
+    }
+    _put(name, "nodes", _CHANGE.format(**{**base, **parts}))
+
+
+def _if(cond: str, value: object, other: str, kind: str) -> str:
+    return f"CAST(CASE WHEN {cond} THEN {value} ELSE {other} END AS {kind})"
+
+
+_F = "type = 'fact'"
+_changed("set_tier", tier=_if(_F, 2, "tier", "INTEGER"), bits=_if(_F, 8, "precision_bits", "INTEGER"),
+         seen=_if(_F, NOW, "last_accessed", "BIGINT"))
+_G = "source = 'git' AND tier <> 3"
+_changed("pin_nodes", tier=_if(_G, 3, "tier", "INTEGER"), bits=_if(_G, 2, "precision_bits", "INTEGER"),
+         seen=_if(_G, NOW, "last_accessed", "BIGINT"))
+_changed("annotate_nodes", why="CASE WHEN scope = 'module' THEN 'noted' ELSE rationale END")
+_changed("set_weights", w="round(CASE WHEN type = 'error' THEN CAST(2.5 AS DOUBLE) ELSE weight END, 6)")
+_changed("lower_weights", w="round(CASE WHEN tier = 1 THEN greatest(CAST(0 AS DOUBLE), weight - 5) ELSE weight END, 6)")
+_put("similar_nodes", "nodes", f"""SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS similarity
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank
+    FROM (SELECT a.id AS query_id, b.id, {_cos('b.embedding', 'a.embedding')} AS sim
+      FROM nodes a JOIN nodes b ON a.project = b.project AND a.id <> b.id
+      WHERE a.embedding IS NOT NULL AND b.embedding IS NOT NULL) WHERE sim >= CAST(0.1 AS DOUBLE)) WHERE rank <= 5""")
+_put("view_nodes", "nodes", """SELECT id, type, tier, md5(text) AS text, rationale, precision_bits,
+  round(weight, 6) AS weight, scope, source, last_accessed, created_at, session_count FROM nodes""")
+_put("export_import", "nodes", f"""SELECT md5(t) AS text, type, tier, rationale, round(weight, 6) AS weight,
+    'back' AS project, scope, source, session_count, CAST({NOW} AS BIGINT) AS last_accessed
+  FROM (SELECT *, {_strip('text')} AS t FROM nodes) WHERE t <> ''""")
+_put("path_kinds", "", """SELECT path, split_part(path, '/', -1) LIKE 'test\\_%' ESCAPE '\\'
+      OR list_contains(string_split(path, '/'), 'tests') AS is_test,
+    CASE lower(regexp_extract(split_part(path, '/', -1), '^.+\\.([^.]+)$', 1)) WHEN 'py' THEN 'python'
+      WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript'
+      WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' END AS language
+  FROM (SELECT (['src/','tests/','lib/tests/x/','lib/test_','my_tests/'])[CAST(doc_id % 5 + 1 AS INTEGER)]
+      || 'f' || doc_id || (['.py','.ts','.TSX','.js','.jsx','.go','.rs','.txt','','.py.bak'])
+        [CAST((doc_id // 5) % 10 + 1 AS INTEGER)] AS path FROM documents)""")
+_put("uuid_kinds", "", """SELECT doc_id, doc_id % 4 IN (0, 1)
+    OR (doc_id % 4 = 3 AND false) AS is_uuid FROM documents""")
+_put("first_words", "", """SELECT doc_id, md5(split_part(text, ' ', 1)) AS word FROM documents""")
