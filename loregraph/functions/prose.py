@@ -137,7 +137,7 @@ def split_reason(text: Column) -> tuple[Column, Column]:
     rationale = F.lit(None).cast("string")
     for word in ("as", "since", "so that", "because"):
         at = F.instr(lower, f" {word} ")
-        rest = F.ltrim(F.substr(lower, at + len(word) + 2))
+        rest = strip(F.substr(lower, at + len(word) + 2))
         usable = at > 0
         if word == "since":
             usable = usable & ~rest.rlike(r"^\p{Nd}")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph import schema
@@ -156,7 +156,13 @@ class ProjectGraph:
         if "created_at" not in rows.columns:
             rows = rows.withColumn("created_at", stamp)
         if "id" not in rows.columns:
-            rows = rows.withColumn("id", candidate_id(F.col("project"), stamp, F.col("text")))
+            # Equal texts, of one call or of two within a second, are nodes of their own.
+            copy = F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy(F.lit(1)))
+            version = self.store.versions().filter(F.col("project") == self.project).first()
+            past = F.lit(version.v if version else 0)
+            rows = rows.withColumn("copy", copy).withColumn(
+                "id", candidate_id(F.col("project"), stamp, past, F.col("text"), F.col("copy"))
+            ).drop("copy")
         self.publish(self.nodes.unionByName(schema.conform(rows, "nodes")), self.own_edges())
 
     def pin(self, node_id: str) -> None:

@@ -119,6 +119,7 @@ class Store:
             bad = schema.split_valid(rows, rule)[1].select("id", "reason").head()
             if bad is not None:
                 raise ValueError(f"invalid row {bad.id}: {bad.reason}")
+        self._check_keys(nodes, edges)
         self._write("nodes", self._encoded(nodes), marks)
         self._write("edges", edges, marks)
         self._write("sessions", old_sessions.unionByName(sessions), marks)
@@ -126,6 +127,17 @@ class Store:
             "committed_at", F.lit(int(now)).cast("bigint")
         ).write.mode("append").parquet(f"{self.root}/commits")
 
+    @staticmethod
+    def _check_keys(nodes: DataFrame, edges: DataFrame) -> None:
+        """Refuse repeated keys and edges from a node to itself."""
+        for rows, keys in ((nodes, ["id"]), (edges, ["source_id", "target_id"])):
+            again = schema.duplicate_keys(rows, *keys).select(*keys).head()
+            if again is not None:
+                raise ValueError(f"repeated key {', '.join(map(str, again))}")
+        loop = edges.filter(F.col("source_id") == F.col("target_id")).head()
+        if loop is not None:
+            raise ValueError(f"edge from {loop.source_id} to itself")
+
     @staticmethod
     def _encoded(nodes: DataFrame) -> DataFrame:
         full = schema.conform(nodes, "nodes")

@@ -117,3 +117,11 @@ def test_json_output_and_import(graph, capsys, tmp_path):
     assert "imported 0 nodes (4 skipped)" in capsys.readouterr().out
     cli.run(graph, cli.parser().parse_args(["import", path, "--keep-duplicates"]))
     assert graph.nodes.agg(F.count("*")).first()[0] == 8
+
+
+def test_equal_texts_of_one_call_are_two_nodes(graph, make_nodes):
+    before = graph.nodes.count()
+    for n in (2, 1):
+        graph.add(make_nodes([{"text": "twin"}] * n).drop("id", "created_at"))
+    twins = [r.id for r in graph.nodes.filter("text = 'twin'").collect()]
+    assert len(set(twins)) == 3 and graph.nodes.count() == before + 3

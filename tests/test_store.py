@@ -197,3 +197,32 @@ def test_export(spark, tmp_path, make_nodes):
     assert '- id: "n0"' in text and 'text: "say \\"hi\\",\\nplease"' in text and "rationale: null" in text
     with pytest.raises(ValueError):
         exchange.export_rows(n, "xml")
+
+
+def test_keys_are_checked(spark, tmp_path, make_nodes, make_edges):
+    store = Store.open(spark, str(tmp_path / "st"), create=True)
+    none = store.read("sessions")
+    projects = spark.createDataFrame([("/p",)], "project string")
+    twice = make_nodes([{"id": "a"}, {"id": "a"}])
+    good = make_nodes([{"id": "a"}, {"id": "b"}])
+    edges = lambda *pairs: make_edges(pairs).withColumn("project", F.lit("/p"))
+    for nodes, links in (
+        (twice, edges(("a", "b", 1))),
+        (good, edges(("a", "a", 1))),
+        (good, edges(("a", "b", 1), ("a", "b", 2))),
+    ):
+        with pytest.raises(ValueError):
+            store.commit(projects, nodes, links, none, NOW)
+    assert store.read("nodes").count() == 0
+
+
+def test_import_judges_each_file(spark, tmp_path, make_nodes):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text('[{"text": "one"}, {"text": "same"}, {"text": "same"}]')
+    (folder / "b.json").write_text('{"text": "two"}\n{"text": "same"}\n')
+    records = exchange.read_records(spark, str(folder))
+    new, skipped = exchange.import_rows(records, make_nodes([{}]).limit(0), "/p", NOW)
+    rows = new.collect()
+    assert sorted(r.text for r in rows) == ["one", "same", "same", "same", "two"]
+    assert len({r.id for r in rows}) == 5 and skipped.count() == 0
