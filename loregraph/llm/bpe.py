@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,9 +35,11 @@ LETTER, NUMBER, BLANK, SPACE, OTHER, NONE = range(6)
 # Bytes of text between two starting places of the vectors.
 STRETCH = 512
 # Compiled states kept before the tables are built anew.
-MAX_STATES = 250_000
+MAX_STATES = 200_000
 # Noted pairs of entries kept before they are forgotten.
-MAX_NOTES = 400_000
+MAX_NOTES = 150_000
+# Characters worked on at once.
+TOGETHER = 1 << 20
 # Entries below a trie node that are tried one by one.
 WIDE = 48
 NEVER = 1 << 60
@@ -96,24 +100,26 @@ class Transducer:
         for t, i in self.vocab.items():
             self.length[i] = len(t)
         self._trie()
-        self.valid: dict[tuple[int, int], bool] = {}
-        self.use: dict[tuple[int, int], bool] = {}
+        # By two numbers in one: pairs of tokens that stay apart, useful starts.
+        self.valid: dict[int, bool] = {}
+        self.use: dict[int, bool] = {}
         self._fresh()
 
     def _trie(self) -> None:
-        self.child: dict[tuple[int, int], int] = {}
+        self.child: dict[int, int] = {}  # node * 256 + byte
         self.token_at = [-1]
         for text, token in self.vocab.items():
             node = 0
             for b in text:
-                step = self.child.get((node, b))
+                step = self.child.get(node << 8 | b)
                 if step is None:
-                    step = self.child[node, b] = len(self.token_at)
+                    step = self.child[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
                 node = step
             self.token_at[node] = token
         below: list[list[int]] = [[] for _ in self.token_at]
-        for (node, _), step in reversed(self.child.items()):
+        for at, step in reversed(self.child.items()):
+            node = at >> 8
             below[node] += ([self.token_at[step]] if self.token_at[step] >= 0 else []) + below[step]
             if len(below[node]) > WIDE:
                 below[node] = [-1] * (WIDE + 1)
@@ -121,7 +127,8 @@ class Transducer:
 
     def _fresh(self) -> None:
         """Forget compiled states; state 0 is the start of a piece."""
-        start = (-1, ())
+        # A state is the last token and three numbers for each running entry, packed.
+        start = array("i", [-1]).tobytes()
         self.number = {start: 0}
         self.meaning = [start]
         self.column = np.zeros(256, np.int64)
@@ -139,7 +146,7 @@ class Transducer:
         before the next of them would be done instead.  Of equal merges the
         left one goes first.
         """
-        known = self.valid.get((a, b))
+        known = self.valid.get(a << 32 | b)
         if known is not None:
             return known
         left, right = [(a, NEVER)], [(b, NEVER)]
@@ -162,25 +169,26 @@ class Transducer:
                 i -= 1
             else:
                 j -= 1
-        self.valid[a, b] = known
+        self.valid[a << 32 | b] = known
         return known
 
     def _useful(self, node: int, before: int) -> bool:
         """Whether an entry that runs on from ``node`` can follow the token ``before``."""
-        known = self.use.get((node, before))
+        known = self.use.get(node << 32 | before + 1)
         if known is None:
             ahead = self.below[node]
             known = len(ahead) > WIDE or (before < 0 and bool(ahead))
             known = known or any(self._fits(before, t) for t in ahead)
-            self.use[node, before] = known
+            self.use[node << 32 | before + 1] = known
         return known
 
     def compile(self, state: int, byte: int) -> int:
         """The transition of ``state`` on ``byte``, made and noted."""
-        last, threads = self.meaning[state]
+        packed = array("i", self.meaning[state])
+        last, threads = packed[0], packed[1:]
         moved = []
-        for node, before, count in (*threads, (0, last, 0)):
-            step = self.child.get((node, byte))
+        for node, before, count in (*zip(*[iter(threads)] * 3, strict=True), (0, last, 0)):
+            step = self.child.get(node << 8 | byte)
             if step is not None:
                 moved.append((step, before, count))
         for node, before, count in moved:
@@ -190,14 +198,17 @@ class Transducer:
                 break
         else:
             raise AssertionError("each single byte is in the vocabulary")
-        kept = tuple((n, u, c - change) for n, u, c in moved if self._useful(n, u))
-        meaning = (token, kept)
+        kept = array("i", [token])
+        for n, u, c in moved:
+            if self._useful(n, u):
+                kept.extend((n, u, c - change))
+        meaning = kept.tobytes()
         to = self.number.get(meaning)
         if to is None:
             to = self.number[meaning] = len(self.meaning)
             self.meaning.append(meaning)
             if to >= len(self.next):
-                more = len(self.next)
+                more = max(1024, len(self.next) // 3)
                 wide = self.next.shape[1]
                 self.next = np.vstack([self.next, np.full((more, wide), -1, np.int32)])
                 self.delta = np.vstack([self.delta, np.zeros((more, wide), np.int8)])
@@ -304,14 +315,21 @@ class Transducer:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
+        found = [self._counts(t) for t in few(texts)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        return [ids for t in few(texts) for ids in self._ids(t)]
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
         parts, owner, after = self._segments(texts)
         _, _, limits = self.run(parts, False)
         total = np.concatenate([[0], np.cumsum(self.out, dtype=np.int64)])
         each = np.diff(np.concatenate([[0], total[limits]])) + (after >= 0)
         return np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each text."""
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         parts, owner, after = self._segments(texts)
         data, begin, limits = self.run(parts, True)
         token = np.full(len(data), -1, np.int32)
@@ -335,6 +353,19 @@ class Transducer:
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
+def few(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of about a million characters, so that vectors stay small."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def piece_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which code points begin a piece; ``ends``: where the texts end."""
     n = len(points)

@@ -17,7 +17,7 @@ from loregraph.llm.token_count import vocabulary
 
 K1, B = 1.2, 0.75
 # Bytes of text in one shard of the index.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
