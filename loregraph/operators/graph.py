@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loregraph.operators.filters import of_project
-from loregraph.session import cut_lineage, shuffle_width
+from loregraph.session import cut_lineage
 
 # Retrieval scores by distance from a seed.
 HOP1_SCORE = 0.5
@@ -148,13 +148,10 @@ def hop_scores(seeds: DataFrame, edges: DataFrame, candidates: DataFrame) -> Dat
     """
     links = undirected(edges).select("id", "neighbor_id")
     seed_keys = seeds.select("query_id", "id")
-    # The frontier is used twice, so it is written out, and in all partitions
-    # however few bytes it has, since the second hop multiplies its rows.
-    width = shuffle_width(edges.sparkSession)
+    # The frontier is used twice, so it is written out.
     first = cut_lineage(
         seeds.join(links, "id")
         .select("query_id", "project", F.col("neighbor_id").alias("id"))
-        .repartition(width, "query_id", "id")
         .distinct()
         .join(seed_keys, ["query_id", "id"], "left_anti")
     )
