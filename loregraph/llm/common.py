@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,27 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+@lru_cache(1)
+def give_back() -> None:
+    """Let a worker return the memory of large freed vectors at once.
+
+    Workers are used again for later stages; what an allocator keeps for them
+    counts against the executor.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # from this size on, a mapping of its own
+        libc.mallopt(-1, 8 << 20)  # the end of the heap goes back from this size on
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batches(
     source: Iterable[pa.RecordBatch], size: str = "text", limit: int = BATCH_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """Cut and join record batches so that each has about ``limit`` bytes in column ``size``."""
+    give_back()
     held: list[pa.RecordBatch] = []
     have = 0
     for batch in source:

@@ -154,18 +154,23 @@ def _shared(read: DataFrame, words: int) -> DataFrame:
 
     def tally(held: list) -> Iterator[pa.RecordBatch]:
         five = np.frombuffer(b"".join(h[0] for h in held), np.uint8).reshape(-1, 5)
-        token = np.zeros((len(five), 8), np.uint8)
-        token[:, :5] = five
-        token = token.view(np.uint64).ravel()
         rid = np.frombuffer(b"".join(h[2] for h in held), np.int64)
         base = np.cumsum([0, *(len(h[2]) // 8 for h in held[:-1])])
-        doc = np.concatenate([np.frombuffer(h[1], np.uint16) + b for h, b in zip(held, base, strict=True)])
-        order = np.argsort(token)
-        same = token[order[1:]] == token[order[:-1]]
-        twice = np.zeros(len(token), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        c = np.bincount(doc[twice], minlength=len(rid))
+        size = [len(h[1]) // 2 for h in held]
+        doc = np.frombuffer(b"".join(h[1] for h in held), np.uint16) + np.repeat(base.astype(np.int32), size)
+        held.clear()
+        c = np.zeros(len(rid), np.int64)
+        for part in range(8):  # so that few numbers are sorted at a time
+            mine = np.flatnonzero(five[:, 0] & 7 == part)
+            token = np.zeros((len(mine), 8), np.uint8)
+            token[:, :5] = five[mine]
+            token = token.view(np.uint64).ravel()
+            order = np.argsort(token)
+            same = token[order[1:]] == token[order[:-1]]
+            twice = np.zeros(len(token), bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            c += np.bincount(doc[mine[twice]], minlength=len(rid))
         has = np.flatnonzero(c)
         yield from _dealt(rid[has] % owners, rid[has], c[has].astype(np.uint32))
 
