@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -61,10 +62,20 @@ def give_back() -> None:
 
 
 def batches(
-    source: Iterable[pa.RecordBatch], size: str = "text", limit: int = BATCH_BYTES
+    source: Iterable[pa.RecordBatch],
+    size: str = "text",
+    limit: int = BATCH_BYTES,
+    tokenizes: bool = False,
 ) -> Iterator[pa.RecordBatch]:
-    """Cut and join record batches so that each has about ``limit`` bytes in column ``size``."""
+    """Cut and join record batches so that each has about ``limit`` bytes in column ``size``.
+
+    The tables of a tokenizer that an earlier stage left in the worker are
+    dropped unless this stage ``tokenizes``, too.
+    """
     give_back()
+    machines = sys.modules.get("loregraph.llm.bpe")
+    if machines is not None and not tokenizes:
+        machines.transducer.cache_clear()
     held: list[pa.RecordBatch] = []
     have = 0
     for batch in source:

@@ -160,7 +160,7 @@ def pack(
         machine = transducer(vocab or vocabulary())
         number = TaskContext.get().partitionId() << 33
         waiting: list[Item] = []
-        for batch in batches(source, limit=SHARD_BYTES):
+        for batch in batches(source, limit=SHARD_BYTES, tokenizes=True):
             found = machine.ids([t.decode("utf-8", "replace") for t in raw(batch.column(1))])
             waiting += [
                 Item(d, np.append(i, end).astype("<u4"), 0)

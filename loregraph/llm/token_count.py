@@ -34,7 +34,7 @@ def count_tokens(docs: DataFrame, vocab: str | None = None, limit: int = 1024) -
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(vocab or vocabulary())
-        for batch in batches(source):
+        for batch in batches(source, tokenizes=True):
             text = raw(batch.column(1))
             counts = machine.counts([t.decode("utf-8", "replace") for t in text])
             yield pa.RecordBatch.from_arrays(
