@@ -125,6 +125,25 @@ def test_neighbours_share_words():
     assert pure >= len(windows) - 4
 
 
+def test_neighbours_are_found_in_all_files(make_docs):
+    rng = random.Random(7)
+    topics = [[f"{a}{b}{g}" for a in "bcdfghjk" for b in "aeiou"] for g in ("zor", "mip", "lun", "tav", "kex", "wob")]
+    docs = [(100 * k + g, " ".join(rng.choices(t, k=150))) for k in range(12) for g, t in enumerate(topics)]
+    docs.sort(key=lambda x: (x[0] * 7919) % 97)
+    found = []
+    for parts in (1, 6):
+        rows = packing.pack(make_docs(docs, parts)).collect()
+        check_packing(rows, docs)
+        found.append(sorted(map(tuple, rows)))
+        windows = {}
+        for r in rows:
+            windows.setdefault(r["sequence_id"], []).append((r["doc_id"] % 100, r["length"]))
+        tokens = sum(n for w in windows.values() for _, n in w)
+        mixed = sum(sum(n for _, n in w) for w in windows.values() if len({g for g, _ in w}) > 1)
+        assert mixed < tokens / 3
+    assert found[0] == found[1]  # how rows are spread over files does not matter
+
+
 def test_ids_can_be_kept(make_docs):
     r = packing.pack(make_docs([(1, "a b")]), with_ids=True).collect()
     assert [x for p in sorted(r, key=lambda p: p["start"]) for x in p["ids"]] == [*want(["a b"])[0], 0]
