@@ -32,6 +32,28 @@ def words_of(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode().translate(PLAIN).split()
 
 
+def in_order(words: tuple[bytes, ...], passage: list[bytes]) -> int:
+    """Words that are found in the same order in a stretch of the passage that
+    is at most ``SPARE`` words longer: the longest common subsequence, by bits."""
+    bits: dict[bytes, int] = {}
+    for i, w in enumerate(words):
+        bits[w] = bits.get(w, 0) | 1 << i
+    match = [bits.get(w, 0) for w in passage]
+    starts = [i for i, m in enumerate(match) if m]
+    best, everything = 0, (1 << len(words)) - 1
+    for k, at in enumerate(starts):
+        end = at + len(words) + SPARE
+        # No more words are in order than are found at all.
+        if bisect_left(starts, end) - k <= best:
+            continue
+        free = everything
+        for i in starts[k : bisect_left(starts, end)]:
+            hit = free & match[i]
+            free = (free + hit | free - hit) & everything
+        best = max(best, len(words) - free.bit_count())
+    return best
+
+
 class Index:
     """Postings of the test items, by word; weights are shares of an item's own score.
 
@@ -137,8 +159,9 @@ class Index:
 
     def overlap(self, k: int, passage: list[bytes]) -> tuple[float, float]:
         """Shares of the question's and of the answer's words (the first and
-        the second half of an item) in windows of five words that the passage
-        has too."""
+        the second half of an item) that the passage has too: in windows of
+        five words, or in order within a stretch little longer than the half,
+        whichever is more."""
         words = tuple(self.words[k])
         middle = len(words) // 2
         size = min(SHINGLE, len(words))
@@ -147,8 +170,11 @@ class Index:
         for i in range(len(words) - size + 1):
             if words[i : i + size] in have:
                 covered[i : i + size] = True
-        question, answer = covered[:middle], covered[middle:]
-        return float(question.mean()) if len(question) else 1.0, float(answer.mean())
+        question, answer = (
+            max(int(c.sum()), in_order(w, passage)) / len(w) if w else 1.0
+            for w, c in ((words[:middle], covered[:middle]), (words[middle:], covered[middle:]))
+        )
+        return question, answer
 
     def search(self, text: list[bytes], threshold: float, least: float) -> list[tuple]:
         """(text number, item, score, question and answer overlap), best passage of each pair."""
@@ -197,8 +223,10 @@ def find_leaks(
     Each whole text is cut into passages of twice the longest item that overlap
     by half, so an item in it lies whole in one.  All items whose BM25 score
     for a passage is at least ``threshold`` of their own are retrieved; a pair
-    is kept if windows of five words that both have cover ``least`` of the
-    item's first half (question) and of its second half (answer).
+    is kept if the text has ``least`` of the words of the item's first half
+    (question) and of its second half (answer), each in windows of five words
+    or in order within a stretch ``SPARE`` words longer than the half, so that
+    single changed, missing or added words do not hide a leak.
 
     Null and empty texts and items match nothing; an item of fewer words than
     five is one window; equal items match alike; repeated rows give repeated

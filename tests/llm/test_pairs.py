@@ -229,6 +229,53 @@ def test_leaks_match_plain_search(make_docs, spark, none):
     assert decontaminate.find_leaks(make_docs(rows), bench.limit(0)).count() == 0
 
 
+def common_words(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_words_in_order():
+    rng = random.Random(3)
+    for _ in range(150):
+        words = tuple(rng.choices("abcdefghij", k=rng.randint(1, 12)))
+        passage = rng.choices("abcdefghijklmnopqrst", k=rng.randint(0, 60))
+        reach = len(words) + decontaminate.SPARE
+        plain = [common_words(words, passage[i : i + reach]) for i in range(len(passage))]
+        assert decontaminate.in_order(words, passage) == max(plain, default=0)
+
+
+def test_edited_and_truncated_leaks(make_docs, spark):
+    rng = random.Random(11)
+    items = [(i, [f"w{rng.randrange(900)}" for _ in range(39)]) for i in range(30)]
+    rows, expected = [], set()
+    for i, w in items:
+        variants = [
+            [*w[:4], "other", *w[5:]],
+            [*w[:-5], "other", *w[-4:]],
+            w[3:],
+            w[:-3],
+            [*w[:10], "one", "more", *w[10:]],
+            [x if j % 6 != 2 else "other" for j, x in enumerate(w)][:39],
+            rng.sample(w, len(w)),
+            w[:20],
+        ]
+        for k, v in enumerate(variants):
+            before, after = ([f"u{rng.randrange(9999)}" for _ in range(rng.randint(0, 60))] for _ in range(2))
+            rows.append((100 * i + k, " ".join([*before, *v, *after])))
+            # A rule of its own: four fifths of each half's words, in order, in the text.
+            halves = (w[:19], w[19:])
+            if all(common_words(h, [*before, *v, *after]) >= 0.8 * len(h) for h in halves):
+                expected.add((100 * i + k, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(make_docs(rows), bench).collect()}
+    assert got == expected and len(got) >= 5 * len(items)
+
+
 def test_several_indexes_see_all_documents(make_docs, spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 200)
     items = [(i, " ".join(f"q{i}x{j}" for j in range(12))) for i in range(10)]
