@@ -35,6 +35,11 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def row_key() -> Column:
+    """A 64-bit name of a row by its id and text; a null text counts as empty."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+
+
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregraph.llm.common import batches, fold, raw, texts
+from loregraph.llm.common import batches, fold, raw, row_key, texts
 from loregraph.llm.rules import CONTINUATION, SYMBOLS, Words
 from loregraph.session import cut_lineage
 
@@ -148,16 +148,17 @@ class Model:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Statistics of each text: doc_id, x array<double>."""
+    """Statistics of each text: doc_id, row (a name of id and text), x array<double>."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            x = statistics(raw(batch.column(1)))
+            x = statistics(raw(batch.column(2)))
             flat = pa.array(x.ravel())
             rows = pa.FixedSizeListArray.from_arrays(flat, x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], rows], names=["doc_id", "row", "x"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, x array<double>")
+    read = texts(docs).select("doc_id", row_key().alias("row"), "text")
+    return read.mapInArrow(run, "doc_id long, row long, x array<double>")
 
 
 def fit(
@@ -265,8 +266,10 @@ def fit(
     return Model(features, solve(whole), knots, fitted)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Score every whole text: doc_id, held_out, score in 0..1, predicted.
+def classify(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, by_row: bool = False
+) -> DataFrame:
+    """Score every whole text: doc_id, held_out, score in 0..1, predicted; ``by_row`` adds row, its ``row_key``.
 
     Learns from labelled documents whose crc32 fold is not 0; no label,
     language, source or id enters a score.  Null and empty texts get the score
@@ -283,11 +286,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
         for rows in source:
             if len(rows):
                 score = model.score(np.stack(rows["x"].to_numpy()))
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "score": np.clip(score, 0.0, 1.0)})
+                score = np.clip(score, 0.0, 1.0)
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "row": rows["row"], "score": score})
 
-    return measured.mapInPandas(run, "doc_id long, score double").select(
+    return measured.mapInPandas(run, "doc_id long, row long, score double").select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *["row"] * by_row,
     )

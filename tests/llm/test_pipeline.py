@@ -1,5 +1,7 @@
 """The stages, each on the result of the one before, against plain versions."""
 
+import random
+
 import corpus_pipeline
 from loregraph.llm import pii, quality
 from loregraph.llm.common import table
@@ -61,6 +63,33 @@ def test_one_row_of_an_id_stays(make_docs):
     assert sorted(r["doc_id"] for r in keep_one_of_each(docs).collect()) == [1, 2]
 
 
+def test_each_row_is_judged_by_its_own_text(spark, make_docs):
+    from loregraph.llm.curate import keep_good, keep_one_of_each, keep_unleaked
+
+    rng = random.Random(8)
+    fresh = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    item, copied, clean = fresh(), fresh(), fresh()
+    docs = make_docs(
+        [(None, item), (1, item), (1, clean), (2, copied), (3, copied), (3, fresh()), (None, copied), (None, clean + " x")]
+    )
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    rows = texts(docs)
+    assert texts(keep_unleaked(docs, bench)) == [r for r in rows if r[1] != item]
+    stay = [r for r in rows if r not in [(0, item), (3, copied), (0, copied), (0, clean + " x")]]
+    assert texts(keep_one_of_each(docs)) == stay
+    labels = table(spark, SF, "labels")
+    corpus = table(spark, SF, "documents")
+    judged = {r["doc_id"]: r["predicted"] for r in quality.classify(corpus, labels).collect()}
+    have = {r["doc_id"]: r["text"] for r in corpus.collect()}
+    good = next(have[d] for d, p in judged.items() if p)
+    bad = next(have[d] for d, p in judged.items() if not p)
+    extra = make_docs([(None, good), (None, bad), (10**7, good), (10**7, bad)]).select(*COLUMNS)
+    mixed = corpus.select(*COLUMNS).unionByName(extra)
+    left = texts(keep_good(mixed, labels))
+    assert {(0, good), (10**7, good)} <= set(left) and not {(0, bad), (10**7, bad)} & set(left)
+
+
 def test_all_queries_are_registered():
     import __spark_entry__ as entry
 
