@@ -23,6 +23,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+# Signs of an account number by its country.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_OF = {
+    country: re.compile(rf"(?:\x20?[A-Z0-9]){{{size - 4}}}(?![A-Za-z0-9])")
+    for size, countries in IBAN_SIZES.items()
+    for country in countries.split()
+}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{3,4}[\x20-])[0-9]{3}[\x20-]?[0-9]{4}(?![0-9-])")
 CREDENTIAL = re.compile(
@@ -75,6 +88,21 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers of the length their country fixes, else the longest run, if the checksum holds."""
+    end = 0
+    for head in IBAN_HEAD.finditer(text):
+        start = head.start()
+        if start < end:
+            continue
+        body = IBAN_OF.get(text[start : start + 2])
+        for m in (body and body.match(text, head.end()), IBAN.match(text, start)):
+            if m and mod97(text[start : m.end()]):
+                end = m.end()
+                yield start, end
+                break
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -101,12 +129,11 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
                 if 9 <= len(_digits(m[0])) <= 15:
                     found.append(("phone", *m.span(), True))
         base = [(s, e) for _, s, e, _ in found]
-        more = [("iban", m) for m in IBAN.finditer(text) if mod97(m[0])]
-        more += [("national_id", m) for m in NATIONAL.finditer(text)]
-        more += [("local_phone", m) for m in LOCAL_PHONE.finditer(text)]
-        more += [("credential", m) for m in CREDENTIAL.finditer(text)]
-        for kind, m in more:
-            s, e = m.span()
+        more = [("iban", span) for span in ibans(text)]
+        more += [("national_id", m.span()) for m in NATIONAL.finditer(text)]
+        more += [("local_phone", m.span()) for m in LOCAL_PHONE.finditer(text)]
+        more += [("credential", m.span()) for m in CREDENTIAL.finditer(text)]
+        for kind, (s, e) in more:
             if not any(s < b and a < e for a, b in base):
                 found.append((kind, s, e, False))
     elif CREDENTIAL_HINT.search(text):

@@ -129,6 +129,15 @@ def test_checks_and_context():
     assert kinds("password=abcdef1234") == ["credential"]
 
 
+def test_ibans_end_where_their_country_says():
+    found = lambda t: [t[x[1] : x[2]] for x in pii.spans(t) if x[0] == "iban"]
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    assert found(f"{de} BIC COBADEFFXXX") == [de]
+    assert found(f"PAY {de} 12345 TODAY OR {gb} 7 TIMES") == [de, gb]
+    assert found(f"XX12 AB {de} {gb}") == [de, gb]
+    assert found(f"{de}1 and {de}X and {gb[:-1]}3 BIC") == []
+
+
 def test_digest_and_mask(make_docs, odd, none):
     import hashlib
 
