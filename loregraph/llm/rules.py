@@ -171,7 +171,7 @@ def quality_rules(
     A text passes if it has at least 50 words, at most half of its words lie
     in 3-word windows found more than once, the maximal repeats of at least
     ``least`` words cover at most ``most_covered`` of its words, and the
-    longest of them has at most ``longest`` words or ``longest_share`` of the
+    longest of them has at most ``longest`` words and ``longest_share`` of the
     text.  Null and empty texts have no words and fail; repeated rows are
     judged row by row; an empty table gives an empty result; columns other
     than doc_id and text are ignored.  No shuffle; a task holds one batch.
@@ -191,7 +191,7 @@ def quality_rules(
             n = w.count
             failed = (n < 50) | (100 * again > 50 * n)
             kept = ~failed & (covered <= most_covered * n)
-            kept &= (most <= longest) | (most <= longest_share * n)
+            kept &= (most <= longest) & (most <= longest_share * n)
             lines = [[x for x in t.split(b"\n") if x and not x.isspace()] for t in text]
             yield pa.RecordBatch.from_arrays(
                 [

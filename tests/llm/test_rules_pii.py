@@ -87,6 +87,17 @@ def test_the_verdict(make_docs):
     assert got[2]["longest_repeat"] == 40 and got[2]["repeat_words"] == 80
 
 
+def test_a_long_repeat_fails_in_a_long_text(make_docs):
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for k, (copied, rest) in enumerate([(1900, 6200), (61, 900), (60, 900), (31, 90), (20, 90)]):
+        passage = fresh(copied)
+        rows.append((k, f"{passage} {fresh(rest)} {passage}"))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(make_docs(rows)).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: False, 4: True}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
