@@ -383,8 +383,8 @@ def pack(
 
     Document frequencies and the mean length are those of all rows.  Every
     document looks for its best neighbour in the whole corpus, among those
-    that share one of its strongest terms (two, if the terms are frequent), by
-    BM25 over all terms.  Documents that best neighbours connect are brought
+    that have one of its strongest terms among theirs (two, if the terms are
+    frequent), by BM25 over all terms.  Documents that best neighbours connect are brought
     together, whatever file they come from, and windows are filled from what
     then lies in one shard of bounded size; what does not fill a window moves
     on to the next shard.  Sequences are full but for those at the end of a
