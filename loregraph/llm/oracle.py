@@ -1,6 +1,7 @@
 """The operators that SQL can express, in SQL over the same tables."""
 
 from loregraph.llm.chat import CHAT_SQL
+from loregraph.llm.exact import EXACT_SQL
 
 # Pairs that share a shingle, their overlaps, links, and the smallest id reached.
 JACCARD_SQL = r"""
@@ -32,4 +33,8 @@ select n.doc_id, n.n as n_shingles, min(r.root) as component_id
 from n join r on r.doc_id = n.doc_id group by 1, 2
 """
 
-ORACLE = {"op3_chat_format": CHAT_SQL, "op10_ngram_jaccard_join": JACCARD_SQL}
+ORACLE = {
+    "op3_chat_format": CHAT_SQL,
+    "op10_ngram_jaccard_join": JACCARD_SQL,
+    "op11_exact_dedup": EXACT_SQL,
+}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loregraph.llm.chat import collapse_snapshots
-from loregraph.llm.common import table
+from loregraph.llm.common import fold, table
 from loregraph.llm.decontaminate import find_leaks
+from loregraph.llm.exact import exact_dedup
 from loregraph.llm.hmm import score_texts
 from loregraph.llm.jaccard import jaccard_join
 from loregraph.llm.oracle import ORACLE
@@ -60,6 +61,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The half of the rows whose ids have an even crc32 is the history, the other half arrives."""
+    docs = table(spark, sf_dir, "documents")
+    return exact_dedup(docs, fold(docs["doc_id"], 2) == 0).drop("seen")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
