@@ -16,6 +16,7 @@ from loregraph.llm.oracle import ORACLE
 from loregraph.llm.packing import pack
 from loregraph.llm.pii import find_pii, pii_digest
 from loregraph.llm.quality import classify
+from loregraph.llm.repair import damaged, repair_conversations
 from loregraph.llm.repeats import remove_repeats
 from loregraph.llm.rules import quality_rules
 from loregraph.llm.token_count import count_tokens
@@ -67,6 +68,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, fold(docs["doc_id"], 2) == 0).drop("seen")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_conversations(damaged(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
