@@ -2,7 +2,7 @@
 
 from loregraph.llm.chat import CHAT_SQL
 from loregraph.llm.exact import EXACT_SQL
-from loregraph.llm.oracle_conversations import REPAIR_SQL
+from loregraph.llm.oracle_conversations import REPAIR_SQL, TRIE_SQL
 
 # Pairs that share a shingle, their overlaps, links, and the smallest id reached.
 JACCARD_SQL = r"""
@@ -39,4 +39,5 @@ ORACLE = {
     "op10_ngram_jaccard_join": JACCARD_SQL,
     "op11_exact_dedup": EXACT_SQL,
     "op12_conversation_repair": REPAIR_SQL,
+    "op13_conversation_trie": TRIE_SQL,
 }

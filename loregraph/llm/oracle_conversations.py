@@ -105,3 +105,35 @@ left join counts c on c.conv_id is not distinct from o.conv_id
 left join plan p on p.conv_id is not distinct from o.conv_id
 left join fixed x on x.conv_id is not distinct from o.conv_id
 """
+
+TRIE_SQL = rf"""
+with {CRC_TABLE},
+own as (
+  select conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))
+                       order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+  from conversations where conv_id is not null group by conv_id),
+h as (select conv_id, turns, conv_id::varchar as k from own),
+cut as (select conv_id, turns, {crc32('k')} % 4 as h from h, crc_table),
+built as (
+  select c.conv_id, list_concat(coalesce(list_slice(b.turns, 1, c.h), list_slice(c.turns, 1, 0)),
+                                list_slice(c.turns, c.h + 1, greatest(len(c.turns), c.h))) as turns
+  from cut c left join own b on b.conv_id = c.conv_id - c.conv_id % 20),
+member as (
+  select conv_id, len(turns) as n, d as depth, list_slice(turns, 1, d) as node,
+         case when d > 0 then list_slice(turns, 1, d - 1) end as parent, turns[d].x as last
+  from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from built)),
+node as (
+  select node, depth, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) as ends_sha256,
+         (count(*) - 1) * coalesce(len(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+')), 0) as saved
+  from member group by node, depth),
+child as (select parent as node, count(*) as n from node where depth > 0 group by parent),
+full_node as (select node.*, coalesce(child.n, 0) as n_children from node left join child using (node)),
+up as (
+  select list_slice(node, 1, d) as node, saved, n_children = 0 as leaf
+  from (select node, saved, n_children, unnest(range(0, depth + 1)) as d from full_node)),
+total as (
+  select node, sum(saved)::bigint as saved_tokens, count(*) filter (leaf) as n_leaves from up group by node)
+select a.conv_id, a.depth, p.conv_id as parent_conv_id, a.n_convs, a.n_children, t.n_leaves, t.saved_tokens, a.ends_sha256
+from full_node a join total t using (node) left join full_node p on a.parent = p.node
+"""

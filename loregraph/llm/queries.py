@@ -20,6 +20,7 @@ from loregraph.llm.repair import damaged, repair_conversations
 from loregraph.llm.repeats import remove_repeats
 from loregraph.llm.rules import quality_rules
 from loregraph.llm.token_count import count_tokens
+from loregraph.llm.trie import conversation_trie
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(conversations), conversations)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
