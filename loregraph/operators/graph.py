@@ -195,16 +195,21 @@ def upsert_edges(edges: DataFrame, additions: DataFrame) -> DataFrame:
     )
 
 
-def link(edges: DataFrame, nodes: DataFrame, a: str, b: str, now: int) -> DataFrame:
-    """Upsert one edge; both nodes must exist and differ."""
+def new_link(nodes: DataFrame, a: str, b: str, now: int) -> DataFrame:
+    """One edge of strength 1; both nodes must exist and differ."""
     if a == b:
         raise ValueError("an edge needs two different nodes")
     found = nodes.filter(F.col("id").isin(a, b)).select("id").distinct().count()
     if found != 2:
         raise ValueError(f"unknown node in ({a}, {b})")
-    spark: SparkSession = edges.sparkSession
+    spark: SparkSession = nodes.sparkSession
     pair = spark.createDataFrame([(a, b)], "source_id string, target_id string")
-    return upsert_edges(edges, pairs_to_edges(pair, now))
+    return pairs_to_edges(pair, now)
+
+
+def link(edges: DataFrame, nodes: DataFrame, a: str, b: str, now: int) -> DataFrame:
+    """Upsert one edge; both nodes must exist and differ."""
+    return upsert_edges(edges, new_link(nodes, a, b, now))
 
 
 def unlink(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -105,8 +105,9 @@ def ingest_wave(
     """
     events = cut_lineage(events)
     projects = cut_lineage(events.select("project").distinct())
-    nodes = store.read("nodes").join(projects, "project", "left_semi")
-    owned = store.edges_with_project().join(projects, "project", "left_semi")
+    view = store.view()
+    nodes = view.read("nodes").join(projects, "project", "left_semi")
+    owned = view.edges_with_project().join(projects, "project", "left_semi")
 
     candidates = cut_lineage(
         candidates_with_ids(events, settings, blobs, commits, commit_files)

@@ -1,7 +1,9 @@
 """One project of a store: every read, report and change under one object.
 
-Reads return frames.  Changes compute the project's new content from the
-present one and publish it with a single commit.  Times come from ``now``.
+Reads return frames; what a report reads belongs to one moment.  Changes to
+nodes and edges publish only themselves, with a single commit; what ages or
+replaces everything publishes the project's new content.  Times come from
+``now``.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from pyspark.sql import functions as F
 
 from loregraph import schema
 from loregraph.functions.models import Embedder, TokenCounter, word_count_tokens, zero_embedder
-from loregraph.operators import assembly, filters, graph, mutations, retention
+from loregraph.operators import assembly, changes, filters, graph, mutations, retention
 from loregraph.operators.merge import candidate_id
 from loregraph.plans import reports, retrieve
 from loregraph.plans.ingest import Settings, ingest
 from loregraph.session import cut_lineage
 from loregraph.sources import exchange, transcripts
-from loregraph.sources.store import Store
+from loregraph.sources.store import Store, View
 
 
 class ProjectGraph:
@@ -32,43 +34,74 @@ class ProjectGraph:
         now: Callable[[], int],
         embed: Embedder = zero_embedder(),
         counter: TokenCounter = word_count_tokens,
+        view: View | None = None,
     ) -> None:
         self.store, self.project, self.now = store, project, now
+        self.pinned = view
         self.embed, self.counter = embed, counter
         self.spark = store.spark
 
     # ------------------------------------------------------------ reading
 
+    def at(self, version: int | None = None, time: int | None = None) -> ProjectGraph:
+        """The project as of now, an older version of it or a time, for reading.
+
+        Whatever is read through it belongs to that moment, also if others
+        commit meanwhile.
+        """
+        if self.pinned is not None and version is None and time is None:
+            return self
+        versions = None if version is None else {self.project: version}
+        view = self.store.view(versions=versions, at=time)
+        return ProjectGraph(self.store, self.project, self.now, self.embed, self.counter, view)
+
+    def _read(self, table: str, all_projects: bool = False) -> DataFrame:
+        if self.pinned is not None:
+            return self.pinned.read(table, None if all_projects else self.project)
+        return self.store.read(table, None if all_projects else self.project)
+
     @property
     def nodes(self) -> DataFrame:
-        return self.store.read("nodes", self.project)
+        return self._read("nodes")
+
+    @property
+    def all_nodes(self) -> DataFrame:
+        """Nodes of all projects, which edges may lead to."""
+        return self._read("nodes", True)
 
     @property
     def edges(self) -> DataFrame:
         """All edges: they are not bound to one project at both ends."""
-        return self.store.read("edges")
+        return self._read("edges", True)
 
     @property
     def sessions(self) -> DataFrame:
-        return self.store.read("sessions", self.project)
+        return self._read("sessions")
+
+    def version(self) -> int:
+        return (self.pinned or self.store.view(self.project)).version(self.project)
 
     def node(self, node_id: str) -> DataFrame:
         return filters.node_by_id(self.nodes, node_id)
 
     def status(self) -> dict[str, DataFrame]:
-        return reports.status(self.nodes, self.sessions)
+        g = self.at()
+        return reports.status(g.nodes, g.sessions)
 
     def recent(self, limit: int = 10) -> DataFrame:
         return reports.recent(self.nodes, limit)
 
     def overview(self, limit: int = 20) -> DataFrame:
-        return reports.overview(self.nodes, self.edges, limit).orderBy("position", "neighbor_rank")
+        g = self.at()
+        return reports.overview(g.nodes, g.edges, limit).orderBy("position", "neighbor_rank")
 
     def inspect(self, node_id: str) -> tuple[DataFrame, DataFrame]:
-        return reports.inspect(self.store.read("nodes"), self.edges, node_id)
+        g = self.at()
+        return reports.inspect(g.all_nodes, g.edges, node_id)
 
     def neighbors(self, node_id: str) -> DataFrame:
-        return reports.neighbors_of(self.store.read("nodes"), self.edges, node_id)
+        g = self.at()
+        return reports.neighbors_of(g.all_nodes, g.edges, node_id)
 
     def similar(self, node_id: str, threshold: float = 0.5, limit: int = 5) -> DataFrame:
         return reports.similar(self.nodes, node_id, threshold, limit)
@@ -86,7 +119,8 @@ class ProjectGraph:
         return reports.sessions(self.sessions, limit).orderBy("rank")
 
     def stats(self) -> DataFrame:
-        return reports.stats(self.nodes, self.sessions)
+        g = self.at()
+        return reports.stats(g.nodes, g.sessions)
 
     def query(self, text: str) -> DataFrame:
         """A one-row query frame for this project."""
@@ -102,12 +136,14 @@ class ProjectGraph:
         return reports.search(self.nodes, self.query(text), limit, **conditions).orderBy("rank")
 
     def explain(self, text: str, budget: int = assembly.TOKEN_BUDGET) -> DataFrame:
-        return reports.explain(self.query(text), self.nodes, self.edges, budget).orderBy(
+        g = self.at()
+        return reports.explain(self.query(text), g.nodes, g.edges, budget).orderBy(
             F.desc("fused"), "id"
         )
 
     def retrieve(self, text: str, budget: int = assembly.TOKEN_BUDGET) -> DataFrame:
-        return retrieve.retrieve(self.query(text), self.nodes, self.edges, budget, self.counter)
+        g = self.at()
+        return retrieve.retrieve(self.query(text), g.nodes, g.edges, budget, self.counter)
 
     def preview_decay(self) -> DataFrame:
         return reports.decay_preview(self.nodes, self.now()).orderBy(
@@ -118,35 +154,49 @@ class ProjectGraph:
         exchange.export(self.nodes, path, fmt, tier=tier)
 
     def snapshot(self) -> tuple[DataFrame, DataFrame]:
-        return reports.view_snapshot(self.nodes, self.edges, self.project)
+        g = self.at()
+        return reports.view_snapshot(g.nodes, g.edges, self.project)
 
     # ------------------------------------------------------------ changing
 
+    def _one(self, node_id: str) -> DataFrame:
+        return self.spark.createDataFrame([(node_id, self.project)], "id string, project string")
+
     def publish(self, nodes: DataFrame, edges: DataFrame) -> None:
         """Make these the project's nodes and (source-side) edges.
 
         Edges of other projects that pointed at removed nodes are left to
         ``gc``.
         """
-        mine = self.spark.createDataFrame([(self.project,)], "project string")
         filed = edges.select("source_id", "target_id", "strength", "last_seen").withColumn(
             "project", F.lit(self.project)
         )
-        self.store.commit(mine, nodes, filed, self.sessions.limit(0), self.now())
+        self.store.commit(self.project, nodes, filed, self.sessions.limit(0), self.now())
+
+    def change(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
+        """Publish changes (``operators.changes``); now and then they are folded into the rest."""
+        self.store.change(self.project, nodes, edges, now=self.now())
 
     def own_edges(self) -> DataFrame:
         """Edges filed under this project."""
-        return self.store.read("edges", self.project)
+        return (self.pinned or self.store.view(self.project)).edges_with_project(self.project).drop("project")
 
     def update(self, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Change nodes only."""
+        """Change nodes in any way; rewrites them."""
         self.publish(change(self.nodes), self.own_edges())
 
+    def _filed(self, edges: DataFrame) -> DataFrame:
+        return edges.withColumn("project", F.lit(self.project))
+
     def _removed(self, gone: DataFrame) -> int:
-        gone = cut_lineage(gone.select("id"))
-        nodes, edges = mutations.delete_nodes(self.nodes, self.own_edges(), gone)
-        self.publish(nodes, edges)
-        return gone.count()
+        gone = cut_lineage(gone.select("id", "project"))
+        n = gone.count()
+        if n:
+            own = self.own_edges()
+            kept = graph.without_nodes(own, gone.select("id"))
+            lost = own.join(kept, ["source_id", "target_id"], "left_anti")
+            self.change(changes.delete_ids(gone), changes.delete_edges(self._filed(lost)))
+        return n
 
     def add(self, nodes: DataFrame) -> None:
         """Insert nodes (missing columns take their defaults, ids are derived
@@ -157,28 +207,35 @@ class ProjectGraph:
             rows = rows.withColumn("created_at", stamp)
         if "id" not in rows.columns:
             # Equal texts, of one call or of two within a second, are nodes of their own.
-            copy = F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy(F.lit(1)))
-            version = self.store.versions().filter(F.col("project") == self.project).first()
-            past = F.lit(version.v if version else 0)
+            copy = F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy(*rows.columns))
+            past = F.lit(self.version())
             rows = rows.withColumn("copy", copy).withColumn(
                 "id", candidate_id(F.col("project"), stamp, past, F.col("text"), F.col("copy"))
             ).drop("copy")
-        self.publish(self.nodes.unionByName(schema.conform(rows, "nodes")), self.own_edges())
+        else:
+            known = self.nodes.select("id").join(rows.select("id"), "id", "left_semi").head()
+            if known is not None:
+                raise ValueError(f"repeated key {known.id}")
+        self.change(changes.put_nodes(rows))
 
     def pin(self, node_id: str) -> None:
-        self.update(lambda n: mutations.pin(n, node_id, self.now()))
+        row = cut_lineage(mutations.pin(self.node(node_id).filter("tier <> 3"), node_id, self.now()))
+        if not row.isEmpty():
+            self.change(changes.put_nodes(row))
 
     def annotate(self, node_id: str, rationale: str | None) -> None:
-        self.update(lambda n: mutations.annotate(n, node_id, rationale))
+        self.change(changes.annotate(self._one(node_id), rationale))
 
     def bump(self, node_id: str, amount: float) -> None:
-        self.update(lambda n: mutations.bump(n, node_id, amount))
+        if amount <= 0:
+            raise ValueError(f"amount must be positive, got {amount}")
+        self.change(changes.add_weight(self._one(node_id), amount))
 
     def set_weight(self, node_id: str, weight: float) -> None:
-        self.update(lambda n: mutations.set_weight(n, node_id, weight))
+        self.change(changes.set_weight(self._one(node_id), weight))
 
     def touch(self, ids: DataFrame) -> None:
-        self.update(lambda n: mutations.touch(n, ids, self.now()))
+        self.change(changes.touch_ids(ids.select("id", F.lit(self.project).alias("project")), self.now()))
 
     def prune(self, node_id: str) -> int:
         return self._removed(self.node(node_id))
@@ -189,21 +246,27 @@ class ProjectGraph:
         )
 
     def reset(self) -> int:
-        return self._removed(self.nodes)
+        nodes = self.nodes
+        gone = nodes.count()
+        self.publish(nodes.limit(0), self.own_edges().limit(0))
+        return gone
 
     def link(self, a: str, b: str) -> None:
-        new = graph.link(self.own_edges(), self.store.read("nodes"), a, b, self.now())
-        self.publish(self.nodes, new)
+        new = graph.new_link(self.all_nodes, a, b, self.now())
+        self.change(edges=changes.add_edges(self._filed(new)))
 
     def unlink(self, a: str, b: str) -> None:
-        self.publish(self.nodes, graph.unlink(self.own_edges(), a, b))
+        own = self.own_edges()
+        lost = own.join(graph.unlink(own, a, b), ["source_id", "target_id"], "left_anti")
+        self.change(edges=changes.delete_edges(self._filed(lost)))
 
     def gc(self) -> int:
         """Drop edges with a missing endpoint; returns how many."""
-        edges = self.own_edges()
-        kept = cut_lineage(graph.drop_dangling(edges, self.store.read("nodes")))
-        gone = edges.count() - kept.count()
-        self.publish(self.nodes, kept)
+        g = self.at()
+        lost = cut_lineage(graph.dangling_edges(g.own_edges(), g.all_nodes))
+        gone = lost.count()
+        if gone:
+            self.change(edges=changes.delete_edges(self._filed(lost)))
         return gone
 
     def decay(self) -> DataFrame:
@@ -222,7 +285,7 @@ class ProjectGraph:
         )
         new = cut_lineage(new)
         counts = new.count(), skipped.count()
-        self.publish(self.nodes.unionByName(new), self.own_edges())
+        self.change(changes.put_nodes(new))
         return counts
 
     def ingest(self, path: str | list[str]) -> int:

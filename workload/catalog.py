@@ -32,6 +32,7 @@ from loregraph.plans import ingest, reports, retrieve
 from loregraph.session import checkpoint_dir, cut_lineage
 from loregraph.sources import exchange, transcripts
 from workload import derived as d
+from workload import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -740,3 +741,6 @@ def uuid_kinds(spark, sf):
 @query
 def first_words(spark, sf):
     return d.table(spark, sf, "documents").select("doc_id", F.md5(text.first_word(F.col("text"))).alias("word"))
+
+
+QUERIES.update(stores.QUERIES)

@@ -6,6 +6,7 @@ ones it needs.
 
 from __future__ import annotations
 
+from workload import oracle_stores
 from workload.derived import BASE_TIME, NOW, PROJECT, REPLACEMENTS
 
 _WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -711,3 +712,9 @@ _put("path_kinds", "", """SELECT path, split_part(path, '/', -1) LIKE 'test\\_%'
 _put("uuid_kinds", "", """SELECT doc_id, doc_id % 4 IN (0, 1)
     OR (doc_id % 4 = 3 AND false) AS is_uuid FROM documents""")
 _put("first_words", "", """SELECT doc_id, md5(split_part(text, ' ', 1)) AS word FROM documents""")
+
+_STORE = {"linked": oracle_stores.LINKED}
+for _name, _steps in (("pending_nodes", 6), ("compacted_nodes", 6), ("older_nodes", 3)):
+    _put(_name, f"nodes {_E}", oracle_stores._nodes(_steps), _STORE)
+_put("pending_edges", f"nodes {_E}", oracle_stores.EDGES, {**_STORE, "kept": oracle_stores.KEPT})
+_put("stored_sessions", "sessions", "SELECT * FROM sessions")
