@@ -19,6 +19,9 @@ Transitions are compiled when first met and kept for the life of the worker.
 A piece resets the machine, so the state map of a stretch of text that begins
 with a piece is constant: stretches run side by side in vectors, and their
 counts are put together by a prefix sum.
+
+Where ids are wanted, equal pieces are read once: the ids of short pieces are
+kept under their bytes, and only pieces not met before pass the machine.
 """
 
 from __future__ import annotations
@@ -30,12 +33,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
+
+from loregraph.llm.common import mix
 
 LETTER, NUMBER, BLANK, SPACE, OTHER, NONE = range(6)
 # Bytes of text between two starting places of the vectors.
 STRETCH = 512
 # Compiled states kept before the tables are built anew.
 MAX_STATES = 200_000
+# Places for pieces of at most 15 bytes (as a power of two), and ids kept for
+# them before all are forgotten.
+PLACES = 19
+KEPT_IDS = 3 << 20
+SHORT = 15
 # Noted pairs of entries kept before they are forgotten.
 MAX_NOTES = 150_000
 # Characters worked on at once.
@@ -43,10 +54,22 @@ TOGETHER = 1 << 20
 # Entries below a trie node that are tried one by one.
 WIDE = 48
 NEVER = 1 << 60
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 # Vectors shorter than this are run by a plain loop.
 FEW_LANES = 12
 
 
+def _heads() -> np.ndarray:
+    """For each number of bytes the bits that the first ones have in two 64-bit numbers."""
+    rows = np.zeros((SHORT + 1, 16), np.uint8)
+    for n in range(SHORT + 1):
+        rows[n, :n] = 255
+    return rows.view("<u8")
+
+
+HEADS = _heads()
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -104,6 +127,7 @@ class Transducer:
         self.valid: dict[int, bool] = {}
         self.use: dict[int, bool] = {}
         self._fresh()
+        self._forget()
 
     def _trie(self) -> None:
         self.child: dict[int, int] = {}  # node * 256 + byte
@@ -131,12 +155,62 @@ class Transducer:
         start = array("i", [-1]).tobytes()
         self.number = {start: 0}
         self.meaning = [start]
-        self.column = np.zeros(256, np.int64)
-        self.columns = 0
-        self.known: set[int] = set()
-        self.next = np.full((1024, 0), -1, np.int32)
-        self.delta = np.zeros((1024, 0), np.int8)
         self.last = np.full(1024, -1, np.int32)
+        self.steps = 0
+        self._table(12)
+
+    def _table(self, bits: int) -> None:
+        """An empty table of transitions: state and byte in one number, or -1; where to, and the change."""
+        self.bits = bits
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.next = np.zeros(1 << bits, np.int32)
+        self.delta = np.zeros(1 << bits, np.int8)
+
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each transition or the free one where it belongs, and which ones are there."""
+        slot = (key.astype(np.uint64) * GOLDEN >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.key[slot]
+        off = np.flatnonzero((there != key) & (there >= 0))
+        while len(off):
+            slot[off] = slot[off] + 1 & (1 << self.bits) - 1
+            there[off] = self.key[slot[off]]
+            off = off[(there[off] != key[off]) & (there[off] >= 0)]
+        return slot, there == key
+
+    def _slot(self, key: int) -> int:
+        """The same for one transition; -1 when it is not there."""
+        slot = (key * int(GOLDEN) & (1 << 64) - 1) >> 64 - self.bits
+        while (there := self.key[slot]) != key:
+            if there < 0:
+                return -1
+            slot = slot + 1 & (1 << self.bits) - 1
+        return slot
+
+    def _add(self, key: int, to: int, change: int) -> None:
+        if 2 * self.steps >= len(self.key):
+            had = self.key >= 0
+            keys, nexts, deltas = self.key[had], self.next[had], self.delta[had]
+            self._table(self.bits + 1)
+            # In rounds: of those that want one free slot the last one gets it.
+            left = np.arange(len(keys))
+            while len(left):
+                slot, _ = self._find(keys[left])
+                self.key[slot] = keys[left]
+                won = self.key[slot] == keys[left]
+                self.next[slot[won]], self.delta[slot[won]] = nexts[left[won]], deltas[left[won]]
+                left = left[~won]
+        slot = (key * int(GOLDEN) & (1 << 64) - 1) >> 64 - self.bits
+        while self.key[slot] >= 0:
+            slot = slot + 1 & (1 << self.bits) - 1
+        self.key[slot], self.next[slot], self.delta[slot] = key, to, change
+        self.steps += 1
+
+    def _forget(self) -> None:
+        """Forget the ids of pieces.  A place holds one piece: its bytes, and where its ids are."""
+        self.held = np.zeros((1 << PLACES, 2), np.uint64)
+        self.place = np.zeros(1 << PLACES, np.int64)
+        self.size = np.zeros(1 << PLACES, np.int64)
+        self.pool = np.zeros(0, np.int32)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether BPE leaves the text of two tokens as these two.
@@ -207,15 +281,10 @@ class Transducer:
         if to is None:
             to = self.number[meaning] = len(self.meaning)
             self.meaning.append(meaning)
-            if to >= len(self.next):
-                more = max(1024, len(self.next) // 3)
-                wide = self.next.shape[1]
-                self.next = np.vstack([self.next, np.full((more, wide), -1, np.int32)])
-                self.delta = np.vstack([self.delta, np.zeros((more, wide), np.int8)])
-                self.last = np.concatenate([self.last, np.full(more, -1, np.int32)])
+            if to >= len(self.last):
+                self.last = np.concatenate([self.last, np.full(len(self.last) // 2, -1, np.int32)])
             self.last[to] = token
-        self.next[state, self.column[byte]] = to
-        self.delta[state, self.column[byte]] = change
+        self._add(state << 8 | byte, to, change)
         return to
 
     def _segments(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -238,6 +307,12 @@ class Transducer:
 
     def run(self, parts: list[str], want_states: bool):
         """Bytes, piece starts, and per byte the count change or the state."""
+        data, begin, limits = self._cut(parts)
+        self._drive(data, begin, want_states)
+        return data, begin, limits
+
+    def _cut(self, parts: list[str]):
+        """Bytes of the texts, which of them begin a piece (and the end), where each text ends."""
         joined = "".join(parts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         data = np.frombuffer(joined.encode(), np.uint8)
@@ -251,22 +326,20 @@ class Transducer:
         begin = np.zeros(len(data) + 1, bool)
         begin[place[starts]] = True
         begin[-1] = True
-        self._drive(data, begin, want_states)
         return data, begin, limits
 
-    def _drive(self, data: np.ndarray, begin: np.ndarray, want_states: bool) -> None:
+    def _drive(self, data: np.ndarray, begin: np.ndarray, want_states: bool, stretch: int = STRETCH) -> None:
         if len(self.meaning) > MAX_STATES:
             self._fresh()
         for notes in (self.valid, self.use):
             if len(notes) > MAX_NOTES:
                 notes.clear()
         n = len(data)
-        self._widen(data)
         self.out = np.zeros(n, np.int32 if want_states else np.int8)
         if not n:
             return
         first = np.flatnonzero(begin)
-        lanes = np.unique(first[np.searchsorted(first, np.arange(0, n, STRETCH))])
+        lanes = np.unique(first[np.searchsorted(first, np.arange(0, n, stretch))]) if stretch > 1 else first
         lanes = lanes[lanes < n]
         length = np.diff(np.append(lanes, n))
         order = np.argsort(-length, kind="stable")
@@ -280,38 +353,27 @@ class Transducer:
             if active <= FEW_LANES:
                 break
             pos = at[:active] + step
-            col = self.column[data[pos]]
-            now = np.where(begin[pos], 0, state[:active])
-            to = self.next[now, col]
-            if (to < 0).any():
-                for k in np.flatnonzero(to < 0):
-                    if self.next[now[k], col[k]] < 0:
-                        self.compile(int(now[k]), int(data[pos[k]]))
-                to = self.next[now, col]
-            self.out[pos] = to if want_states else self.delta[now, col]
+            key = np.where(begin[pos], 0, state[:active]) << 8 | data[pos]
+            slot, there = self._find(key)
+            if not there.all():
+                for k in np.unique(key[~there]).tolist():
+                    self.compile(k >> 8, k & 255)
+                slot, _ = self._find(key)
+            to = self.next[slot]
+            self.out[pos] = to if want_states else self.delta[slot]
             state[:active] = to
             step += 1
         for k in range(active):
             s = int(state[k])
             for pos in range(int(at[k]) + step, int(at[k]) + int(length[k])):
                 s = 0 if begin[pos] else s
-                b = int(self.column[data[pos]])
-                to = int(self.next[s, b])
-                if to < 0:
-                    to = self.compile(s, int(data[pos]))
-                self.out[pos] = to if want_states else self.delta[s, b]
-                s = to
-
-    def _widen(self, data: np.ndarray) -> None:
-        """A column of the tables for each byte value that occurs."""
-        new = [b for b in np.flatnonzero(np.bincount(data, minlength=256)) if b not in self.known]
-        if new:
-            self.column[new] = np.arange(self.columns, self.columns + len(new))
-            self.known.update(new)
-            self.columns += len(new)
-            rows, more = len(self.next), max(0, self.columns - self.next.shape[1])
-            self.next = np.hstack([self.next, np.full((rows, more), -1, np.int32)])
-            self.delta = np.hstack([self.delta, np.zeros((rows, more), np.int8)])
+                key = s << 8 | int(data[pos])
+                slot = self._slot(key)
+                if slot < 0:
+                    self.compile(s, key & 255)
+                    slot = self._slot(key)
+                s = int(self.next[slot])
+                self.out[pos] = s if want_states else self.delta[slot]
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
@@ -331,18 +393,11 @@ class Transducer:
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         parts, owner, after = self._segments(texts)
-        data, begin, limits = self.run(parts, True)
-        token = np.full(len(data), -1, np.int32)
-        pos = np.flatnonzero(begin[1:])
-        while len(pos):
-            here = self.last[self.out[pos]]
-            token[pos] = here
-            pos = pos - self.length[here]
-            done = begin[pos + 1]
-            pos = pos[~done]
-        where = np.flatnonzero(token >= 0)
-        token = token[where]
-        cut = np.searchsorted(where, limits)
+        data, begin, limits = self._cut(parts)
+        first = np.flatnonzero(begin)
+        token, size = self._piece_ids(data, first[:-1], np.diff(first))
+        total = np.concatenate([[0], np.cumsum(size)])
+        cut = total[np.searchsorted(first, limits)]
         out: list[list[np.ndarray]] = [[] for _ in texts]
         at = 0
         for k, to, special in zip(owner.tolist(), cut.tolist(), after.tolist(), strict=True):
@@ -352,6 +407,58 @@ class Transducer:
             at = to
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
+    def _piece_ids(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after the other, and how many each has."""
+        place, size = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        # Up to 15 bytes and their number, as two numbers.
+        short = np.flatnonzero(length <= SHORT)
+        window = sliding_window_view(np.append(data, np.zeros(SHORT + 1, np.uint8)), SHORT + 1)
+        word = window[start[short]].view("<u8") & HEADS[length[short]]
+        word[:, 1] |= length[short].astype(np.uint64) << np.uint64(56)
+        code = mix(word[:, 0] ^ (word[:, 1] * GOLDEN))
+        at = (code >> np.uint64(64 - PLACES)).astype(np.int64)
+        held = self.held[at]
+        same = (held[:, 0] == word[:, 0]) & (held[:, 1] == word[:, 1])
+        hit = at[same]
+        place[short[same]], size[short[same]] = self.place[hit], self.size[hit]
+        new, word, code = short[~same], word[~same], code[~same]
+        _, one, which = np.unique(code, return_index=True, return_inverse=True)
+        # Pieces of equal hash and other bytes are read by themselves.
+        like = (word[one][which] == word).all(1)
+        todo = np.concatenate([new[one], new[~like], np.flatnonzero(length > SHORT)])
+        ids, sizes = self._read(data, start[todo], length[todo])
+        place[todo] = len(self.pool) + np.cumsum(sizes) - sizes
+        size[todo] = sizes
+        first = new[one][which]
+        place[new[like]], size[new[like]] = place[first[like]], size[first[like]]
+        pool = np.concatenate([self.pool, ids])
+        if len(pool) > KEPT_IDS:
+            self._forget()
+        else:
+            at = (code[one] >> np.uint64(64 - PLACES)).astype(np.int64)
+            self.held[at], self.place[at], self.size[at] = word[one], place[new[one]], size[new[one]]
+            self.pool = pool
+        end = np.cumsum(size)
+        return pool[np.repeat(place - (end - size), size) + np.arange(end[-1] if len(end) else 0)], size
+
+    def _read(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given pieces by the machine, each from its start, and how many each has."""
+        end = np.cumsum(length)
+        n = int(end[-1]) if len(end) else 0
+        data = data[np.repeat(start - (end - length), length) + np.arange(n)]
+        begin = np.zeros(n + 1, bool)
+        begin[end - length] = begin[-1] = True
+        self._drive(data, begin, True, 1)
+        token = np.full(n, -1, np.int32)
+        pos = np.flatnonzero(begin[1:])
+        while len(pos):
+            here = self.last[self.out[pos]]
+            token[pos] = here
+            pos = pos - self.length[here]
+            pos = pos[~begin[pos + 1]]
+        where = token >= 0
+        return token[where], np.diff(np.concatenate([[0], np.cumsum(where)])[np.concatenate([[0], end])])
+
 
 def few(texts: list[str]) -> Iterator[list[str]]:
     """The texts in lists of about a million characters, so that vectors stay small."""
