@@ -125,7 +125,7 @@ def main(argv: list[str] | None = None) -> None:
     project = os.path.abspath(args.project)
     spark = build_session("loregraph")
     root = args.store or config.store_path(project)
-    store = Store.open(spark, root, create=args.command in ("import", "ingest"))
+    store = Store.open(spark, root, create=args.command in ("import", "ingest"), indexed=True)
     if store is None:
         raise SystemExit(f"no store at {root}")
     run(ProjectGraph(store, project, lambda: int(time.time())), args)

@@ -53,7 +53,11 @@ def corpus_summary(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFra
     other terms together (term NULL), and one row with the corpus size, the
     only one with ``n_tokens``.  Small, whatever the size of the vocabulary.
     """
-    counts = term_counts(nodes)
+    return summarise(term_counts(nodes), wanted)
+
+
+def summarise(counts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The summary of ``term_counts``, however they were come by."""
     kept = F.lit(None).cast("string")
     if wanted is not None:
         counts = counts.join(wanted.withColumn("wanted", F.lit(True)), ["project", "term"], "left")
@@ -141,7 +145,11 @@ def bm25_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     terms = cut_lineage(query_terms(queries))
     wanted = terms.select("project", "term").distinct()
     summary = cut_lineage(corpus_summary(nodes, wanted))
-    weighted = weighted_terms(terms, summary)
+    return score_hits(postings(nodes, wanted), weighted_terms(terms, summary))
+
+
+def score_hits(found: DataFrame, weighted: DataFrame) -> DataFrame:
+    """(query_id, project, id, raw) from postings and the weighted terms of queries."""
     tf, dl = F.col("tf"), F.col("dl")
     gain = (
         F.col("qtf")
@@ -150,8 +158,7 @@ def bm25_hits(nodes: DataFrame, queries: DataFrame) -> DataFrame:
         / (tf + K1 * (1.0 - B + B * dl / F.col("avgdl")))
     )
     return (
-        postings(nodes, wanted)
-        .join(weighted, ["project", "term"])
+        found.join(weighted, ["project", "term"])
         .groupBy("query_id", "project", "id")
         .agg(F.sum(gain).alias("raw"))
     )

@@ -14,8 +14,10 @@ from loregraph.functions.models import TokenCounter, word_count_tokens
 from loregraph.operators.assembly import TOKEN_BUDGET, TOP_K, enforce_budget
 from loregraph.operators.bm25 import bm25_hits, bm25_normalised
 from loregraph.operators.graph import hop_scores
+from loregraph.operators.index import indexed_hits
 from loregraph.operators.similarity import tie_rank, top_matches
 from loregraph.session import cut_lineage
+from loregraph.sources.store import View
 
 # Channel weights and number of graph seeds.
 VECTOR_WEIGHT = 0.5
@@ -290,15 +292,12 @@ def tokens_used(selected: DataFrame, counter: TokenCounter = word_count_tokens)
     )
 
 
-def search(
-    queries: DataFrame, nodes: DataFrame, limit: int = 10
-) -> DataFrame:
-    """Keyword search: best positive raw BM25 scores per query, all tiers."""
-    hits = bm25_hits(nodes, queries).filter(F.col("raw") > 0.0)
+def best_hits(hits: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
+    """The best positive raw scores per query with the facts of their nodes."""
     w = Window.partitionBy("query_id").orderBy(tie_rank("raw"), "id")
-    best = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = hits.filter(F.col("raw") > 0.0).withColumn("rank", F.row_number().over(w))
     facts = nodes.select("id", "project", "type", "tier", "text", "weight")
-    return best.join(facts, ["id", "project"]).select(
+    return ranked.filter(F.col("rank") <= limit).join(facts, ["id", "project"]).select(
         "query_id",
         "project",
         "rank",
@@ -309,3 +308,14 @@ def search(
         "weight",
         F.round("raw", 6).alias("score"),
     )
+
+
+def search(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
+    """Keyword search: best positive raw BM25 scores per query, all tiers."""
+    return best_hits(bm25_hits(nodes, queries), nodes, limit)
+
+
+def search_store(queries: DataFrame, view: View, limit: int = 10) -> DataFrame:
+    """The same over a store with an index: texts are read of the best nodes only."""
+    hits = indexed_hits(view.read_index("postings"), view.read_index("vocabulary"), queries)
+    return best_hits(hits, view.read("nodes"), limit)

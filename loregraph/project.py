@@ -133,6 +133,9 @@ class ProjectGraph:
         from loregraph.operators.bm25 import check_query
 
         check_query(text)
+        if not any(conditions.values()) and self.store.indexed:
+            view = self.pinned or self.store.view(self.project)
+            return retrieve.search_store(self.query(text), view, limit).orderBy("rank")
         return reports.search(self.nodes, self.query(text), limit, **conditions).orderBy("rank")
 
     def explain(self, text: str, budget: int = assembly.TOKEN_BUDGET) -> DataFrame:

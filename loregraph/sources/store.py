@@ -3,7 +3,9 @@
 A commit writes its files under ``<table>/commit=.../project=...`` and then
 appends one row per project to ``commits``.  It holds either a project's whole
 content (a base) or changes to it (see ``operators.changes``), which are folded
-into the newest base on read.  A job that dies half-way leaves nothing visible,
+into the newest base on read.  A store with an index keeps the postings of all
+texts in the order of their terms (see ``operators.index``); a commit adds those
+of the texts that it changes.  A job that dies half-way leaves nothing visible,
 and its name is never used again.  When a project has many or large pending
 changes, the next commit is a base; ``vacuum`` deletes what no reader needs.
 
@@ -25,12 +27,13 @@ from pyspark.sql import types as T
 from loregraph import schema
 from loregraph.functions.vectors import decode, pack
 from loregraph.operators import changes as ch
+from loregraph.operators import index
 from loregraph.session import cut_lineage
 
 SCHEMA_VERSION = 3
 COMMITS = (
     "project string, v bigint, base boolean, sessions_base boolean, commit string, "
-    "n_nodes bigint, n_edges bigint, n_sessions bigint, schema_version int, committed_at bigint"
+    "n_nodes bigint, n_edges bigint, n_sessions bigint, n_terms bigint, schema_version int, committed_at bigint"
 )
 # Pending commits of a project, and changed rows for each row of its base, from
 # which on the next commit is a base.
@@ -40,6 +43,8 @@ MAX_SHARE = 0.5
 
 def _stored(table: str) -> T.StructType:
     """File schema: quantised vectors are kept as codes, not as floats."""
+    if table in ("postings", "vocabulary"):
+        return T.StructType.fromDDL(index.POSTINGS if table == "postings" else index.VOCABULARY)
     shapes = {"node_changes": ch.NODE_CHANGES, "edge_changes": ch.EDGE_CHANGES}
     shape = shapes[table] if table in shapes else schema.TABLES[table]
     fields = [f for f in shape.fields if f.name != "project"]
@@ -68,8 +73,18 @@ READS = {
     "node_changes": "not base and v > base_v",
     "edge_changes": "not base and v > base_v",
     "sessions": "v >= sessions_v",
+    "postings": "v >= base_v",
+    "vocabulary": "v >= base_v",
+}
+COUNTS = {
+    "nodes": "n_nodes",
+    "edges": "n_edges",
+    "node_changes": "n_nodes",
+    "edge_changes": "n_edges",
+    "sessions": "n_sessions",
+    "postings": "n_terms",
+    "vocabulary": "n_terms",
 }
-COUNTS = {"nodes": "n_nodes", "edges": "n_edges", "node_changes": "n_nodes", "edge_changes": "n_edges", "sessions": "n_sessions"}
 LIVE = "v >= base_v or (v >= sessions_v and n_sessions > 0) or v = sessions_v"
 
 
@@ -123,6 +138,8 @@ class View:
             "node_changes": not r.base and r.v > r.base_v,
             "edge_changes": not r.base and r.v > r.base_v,
             "sessions": r.v >= r.sessions_v,
+            "postings": r.v >= r.base_v,
+            "vocabulary": r.v >= r.base_v,
         }
         return state[table] and r[COUNTS[table]] > 0
 
@@ -220,6 +237,13 @@ class View:
             rows = rows if pending is None else ch.apply_nodes(rows, _decoded(pending))
         return schema.conform(rows, table)
 
+    def read_index(self, table: str) -> DataFrame:
+        """Postings or vocabulary of all live commits, with ``project``; see ``operators.index``."""
+        rows = self._files(table, self.project)
+        if rows is None:
+            rows = self.spark.createDataFrame([], _stored(table)).withColumn("project", F.lit(None).cast("string"))
+        return rows.drop("v")
+
     def edges_with_project(self, project: str | None = None) -> DataFrame:
         """Edges with the project they are filed under, without any join to nodes."""
         rows = self._edges(project if project is not None else self.project)
@@ -238,16 +262,27 @@ class Store:
         self.root = root.rstrip("/")
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, create: bool = False) -> Store | None:
-        """Open a store; None when there is none and it is not to be created."""
+    def open(
+        cls, spark: SparkSession, root: str, create: bool = False, indexed: bool = False
+    ) -> Store | None:
+        """Open a store; None when there is none and it is not to be created.
+
+        ``indexed``: a new store keeps an index of its texts.
+        """
         store = cls(spark, root)
         if store._fs().exists(store._path("commits")):
             return store
         if not create:
             return None
+        if indexed:
+            store._fs().mkdirs(store._path("postings"))
         spark.createDataFrame([], COMMITS).write.mode("append").parquet(f"{store.root}/commits")
         return store
 
+    @property
+    def indexed(self) -> bool:
+        return self._fs().exists(self._path("postings"))
+
     def _path(self, folder: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
 
@@ -363,6 +398,8 @@ class Store:
             tables = {**tables, "sessions": old.unionByName(schema.conform(sessions, "sessions"))}
         counts = {t: self._write(t, rows, marks, name) for t, rows in tables.items()}
         self._check(view, name, counts, marks if base else None)
+        if self.indexed:
+            counts["postings"] = self._index(view, name, counts, marks, base)
         n = lambda *names: F.lit(sum(counts.get(t, 0) for t in names)).cast("bigint")
         marks.select(
             "project",
@@ -373,10 +410,11 @@ class Store:
             n("nodes", "node_changes").alias("n_nodes"),
             n("edges", "edge_changes").alias("n_edges"),
             n("sessions").alias("n_sessions"),
+            n("postings").alias("n_terms"),
             F.lit(SCHEMA_VERSION).alias("schema_version"),
             F.lit(int(now)).cast("bigint").alias("committed_at"),
         ).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
-        return view, sum(counts.values())
+        return view, sum(counts.get(t, 0) for t in ("node_changes", "edge_changes"))
 
     def _write(self, table: str, rows: DataFrame, marks: DataFrame, name: str) -> int:
         """Write rows and judge each of them in the same pass; returns their number."""
@@ -451,6 +489,33 @@ class Store:
         if new is not None:
             raise ValueError(f"edge from {new.source_id} to {new.target_id} has no node at one end")
 
+    def _index(self, view: View, name: str, counts: dict[str, int], marks: DataFrame, base: bool) -> int:
+        """Write the postings that the commit's texts add and take back; returns their number."""
+        written = self._written("nodes" if base else "node_changes", name, counts)
+        if written is None:
+            return 0
+        keys = ("project", "id", "text")
+        if base:
+            rows = index.signed_postings(written, 1)
+        else:
+            put = written.filter(F.col("op") == ch.PUT).select(*keys)
+            hit = written.filter(F.col("op") != ch.SET).select("project", "id")
+            old = view.read("nodes").join(hit, ["project", "id"], "left_semi").select(*keys)
+            rows = index.replaced_postings(old, put)
+        marks = marks.select("project", "v")
+        order = ["project", "term", "id"]
+        # Ranges of terms, so that a file has few of them and a frequent one may have several files.
+        sorted_ = rows.join(marks, "project").repartitionByRange(*order).sortWithinPartitions(*order)
+        folder = f"{self.root}/{{}}/commit={name}"
+        names = [f.name for f in _stored("postings").fields]
+        sorted_.select(*names, "project").write.partitionBy("project").parquet(folder.format("postings"))
+        shape = T.StructType([*_stored("postings").fields, T.StructField("project", T.StringType())])
+        stored = self.spark.read.schema(shape).parquet(folder.format("postings"))
+        words = index.vocabulary(stored).join(marks, "project").hint("rebalance", "project")
+        names = [f.name for f in _stored("vocabulary").fields]
+        words.select(*names, "project").write.partitionBy("project").parquet(folder.format("vocabulary"))
+        return stored.count()
+
     # ------------------------------------------------------------ cleaning up
 
     def vacuum(self, now: int, keep_seconds: int = 7 * 86_400) -> int:
@@ -474,7 +539,7 @@ class Store:
         # Of a row that stays for its sessions alone, the content is no longer there.
         content = F.col("content")
         kept = rows.filter(LIVE).withColumn("base", F.col("base") & content)
-        for c in ("n_nodes", "n_edges"):
+        for c in ("n_nodes", "n_edges", "n_terms"):
             kept = kept.withColumn(c, F.when(content, F.col(c)).otherwise(0))
         kept = kept.select(*self.commits().columns)
         kept.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")

@@ -14,7 +14,8 @@ from loregraph.functions.text import absolute_path
 from loregraph.schema import EVENT_TYPES
 
 SKIPPED_TYPE = "user_message"
-_ENVELOPE = "type string, timestamp string, session_id string, data string, bad string"
+_ENVELOPE = "type string, timestamp string, session_id string, data string"
+_STRICT = {"allowSingleQuotes": "false"}
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -44,9 +45,24 @@ def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _envelope(lines: DataFrame) -> DataFrame:
-    """Add the members of each line as ``rec``; blank lines are left out."""
-    rec = F.from_json("value", _ENVELOPE, {"columnNameOfCorruptRecord": "bad"})
-    return _computed_once(lines, "rec", rec).filter(F.col("value").rlike(r"(?U)[^\s]"))
+    """Add the members of each line as ``rec``, NULL if it is not one JSON object; blank lines are left out.
+
+    The parser stops behind the first value, so each line is read as the only
+    element of an array: what follows the object breaks the array or makes it
+    longer.  Only a line with a closing bracket of its own could end the array
+    before that; those are read as a member of an object as well, where the
+    bracket has no place.
+    """
+    value = F.col("value")
+    rows = F.from_json(F.concat(F.lit("["), value, F.lit("]")), f"array<struct<{_columns()}>>", _STRICT)
+    member = F.from_json(F.concat(F.lit('{"x":'), value, F.lit("}")), "x string", _STRICT)
+    whole = F.when(value.rlike(r"\}\s*\]"), member["x"].isNotNull()).otherwise(F.lit(True))
+    rec = F.when((F.size(rows) == 1) & whole, rows[0])
+    return _computed_once(lines, "rec", rec).filter(value.rlike(r"(?U)[^\s]"))
+
+
+def _columns() -> str:
+    return ", ".join(": ".join(field.split()) for field in _ENVELOPE.split(", "))
 
 
 def _explicit_null(member: str) -> Column:
@@ -69,7 +85,7 @@ def _reason() -> Column:
     ts, data = F.col("rec.timestamp"), F.col("rec.data")
     return (
         F.when(~is_object & F.try_parse_json("value").isNotNull(), F.lit("not an object"))
-        .when(F.col("rec.bad").isNotNull() | ~is_object, F.lit("not JSON"))
+        .when(F.col("rec").isNull() | ~is_object, F.lit("not JSON"))
         .when(
             ~F.coalesce(F.col("rec.type").isin(*EVENT_TYPES), F.lit(False)), F.lit("unknown type")
         )

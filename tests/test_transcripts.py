@@ -74,3 +74,25 @@ def test_nested_nulls_and_repeated_members(spark):
         "payload is not an object",
         "payload repeats a member or is too large",
     ]
+
+
+def test_lines_are_read_strictly(spark):
+    good = [
+        '{"type":"bash_exec","data":{"a":[{"b":1}]}}',
+        ' {"type":"bash_exec","data":{"a":"}] \\"x"}} \t',
+        '{"type":"bash_exec","session_id":"]}, {"}',
+    ]
+    bad = [
+        '{"type":"file_write","data":{"path":"q"}} trailing',
+        "{'type':'file_write'}",
+        '{"type":"bash_exec"}{"type":"bash_exec"}',
+        '{"type":"bash_exec"},{"type":"bash_exec"}',
+        '{"type":"bash_exec"}], [{"type":"bash_exec"}',
+        '{"type":"bash_exec"}]',
+        '{"type":"bash_exec"',
+        '{"type":"bash_exec",}',
+        '"{"',
+    ]
+    df = spark.createDataFrame([(x,) for x in good + bad], "value string")
+    assert parse_events(df).count() == len(good)
+    assert {r.value for r in rejected_lines(df).collect()} == set(bad)

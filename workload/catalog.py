@@ -265,6 +265,14 @@ def transcript_rejects(spark, sf):
     return rejects.select("event_id", "reason")
 
 
+@query
+def broken_lines(spark, sf):
+    """Accepted lines with no reason, rejected ones with theirs."""
+    lines = d.damaged_lines(spark, sf)
+    good = transcripts.parse_events(lines, d.PROJECT).select("event_id", F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(transcripts.rejected_lines(lines).select("event_id", "reason"))
+
+
 @query
 def json_props(spark, sf):
     doc = F.try_parse_json("props")

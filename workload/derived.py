@@ -151,6 +151,21 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines, five in eight of them broken in one way or another."""
+    value, k = F.col("value"), F.col("event_id") % 8
+    broken = (
+        F.when(k == 0, F.concat(value, F.lit(" trailing")))
+        .when(k == 1, F.replace(value, F.lit('"'), F.lit("'")))
+        .when(k == 2, F.concat(value, F.lit(","), value))
+        .when(k == 3, F.expr("substring(value, 1, length(value) - 1)"))
+        .when(k == 4, F.concat(F.lit("["), value, F.lit("]")))
+        .when(k == 5, F.concat(F.lit("  "), value, F.lit("\t")))
+        .otherwise(value)
+    )
+    return transcript_lines(spark, sf_dir).withColumn("value", broken)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed events parsed from the JSON lines."""
     return parse_events(transcript_lines(spark, sf_dir), PROJECT)

@@ -391,6 +391,9 @@ _put("transcript_events", "log", f"""SELECT event_id, type, t AS timestamp, sess
 _put("transcript_rejects", "log", f"""SELECT event_id,
   CASE type WHEN 'signup' THEN 'unknown type' ELSE 'user message' END AS reason FROM log
   WHERE NOT ({_GOOD})""")
+_put("broken_lines", "log", f"""SELECT event_id, CASE WHEN event_id % 8 < 4 THEN 'not JSON'
+  WHEN event_id % 8 = 4 THEN 'not an object' WHEN {_GOOD} THEN NULL
+  WHEN type = 'signup' THEN 'unknown type' ELSE 'user message' END AS reason FROM log""")
 _put("json_props", "", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 _HOT = """SELECT session_id, path, count(*) AS n_writes, min(event_id) AS first_event
   FROM writes GROUP BY 1, 2 HAVING count(*) >= 3"""
@@ -718,3 +721,4 @@ for _name, _steps in (("pending_nodes", 6), ("compacted_nodes", 6), ("older_node
     _put(_name, f"nodes {_E}", oracle_stores._nodes(_steps), _STORE)
 _put("pending_edges", f"nodes {_E}", oracle_stores.EDGES, {**_STORE, "kept": oracle_stores.KEPT})
 _put("stored_sessions", "sessions", "SELECT * FROM sessions")
+ORACLE["indexed_search"] = ORACLE["bm25_search"]

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loregraph import schema
 from loregraph.operators import changes, graph, mutations
+from loregraph.plans import retrieve
 from loregraph.session import checkpoint_dir, cut_lineage
 from loregraph.sources.store import Store
 from workload import derived as d
@@ -113,4 +115,23 @@ def stored_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("sessions")
 
 
-QUERIES = {q.__name__: q for q in (pending_nodes, pending_edges, older_nodes, compacted_nodes, stored_sessions)}
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword search in a store with an index: a commit with half of the nodes, some
+    with other texts, then one that puts the rest and the right texts and deletes a copy."""
+    root = f"{checkpoint_dir(spark)}/stores/{uuid.uuid4().hex}"
+    store, nodes = Store.open(spark, root, create=True, indexed=True), d.stored_nodes(spark, sf)
+    projects = cut_lineage(nodes.select("project").distinct().coalesce(1))
+    k = F.col("id").cast("bigint")
+    other = F.when(k % 10 == 0, F.concat(F.lit("other words "), "text")).otherwise(F.col("text"))
+    extra = nodes.filter(k % 7 == 0).withColumn("id", F.concat(F.lit("x"), "id"))
+    first = nodes.filter(k % 2 == 0).withColumn("text", other).unionByName(extra)
+    none = spark.createDataFrame([], schema.EDGES).withColumn("project", F.lit(""))
+    store.commit(projects, first, none, d.sessions(spark, sf).limit(0), d.NOW)
+    right = nodes.filter((k % 2 == 1) | (k % 10 == 0))
+    gone = changes.delete_ids(extra).unionByName(changes.put_nodes(right))
+    store.change(projects, gone, now=d.NOW + 1)
+    found = retrieve.search_store(d.queries(spark, sf), store.view())
+    return found.select("query_id", "rank", "id", "tier", "score")
+
+
+QUERIES = {q.__name__: q for q in (pending_nodes, pending_edges, older_nodes, compacted_nodes, stored_sessions, indexed_search)}
