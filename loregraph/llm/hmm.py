@@ -25,8 +25,6 @@ FREQUENT, ENDINGS = 8192, 2048
 END = FREQUENT + ENDINGS
 CLASSES = END + 1
 BLOCK_BYTES = 12 << 20
-# Frequent words are looked for among the first of each bucket of words.
-BUCKET_TOP = 512
 STATES, ROUNDS, SEGMENT = 6, 4, 256
 MARKS = b".,!?;:*#$%&|<>\"')]}"
 
@@ -166,8 +164,9 @@ def _frequent(counted: DataFrame) -> list[bytes]:
             for words, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 c = np.frombuffer(counts, np.int64)
                 w = np.array(words.split(), object)
-                top = sorted(np.argsort(-c, kind="stable")[: 2 * BUCKET_TOP].tolist(), key=lambda i: (-c[i], w[i]))
-                top = top[:BUCKET_TOP]
+                # Of a bucket no more can be among the most frequent of all.
+                least = np.partition(c, -FREQUENT)[-FREQUENT] if len(c) > FREQUENT else 0
+                top = sorted(np.flatnonzero(c >= least).tolist(), key=lambda i: (-c[i], w[i]))[:FREQUENT]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(w[top].tolist(), pa.binary()), pa.array(c[top])], names=["word", "many"]
                 )
