@@ -94,10 +94,19 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length > 0.0, length, 1.0)
 
 
-def _keep_best(sims: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row/column positions of the k best columns per row, first column on ties."""
+def _keep_best(
+    sims: np.ndarray, threshold: float, k: int, more: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row/column positions of the k best columns per row, first column on ties.
+
+    ``more``: how many beyond k each row keeps.
+    """
     level = np.round(sims, TIE_DIGITS)
-    if k == 1:
+    if more is not None:
+        order = np.argsort(-level, axis=1, kind="stable")[:, : k + int(more.max(initial=0))]
+        rows, place = np.nonzero(np.arange(order.shape[1]) < k + more[:, None])
+        best = order[rows, place]
+    elif k == 1:
         best = level.argmax(axis=1)
         rows = np.arange(len(best))
     else:
@@ -115,6 +124,7 @@ def top_matches(
     k: int = 1,
     block_rows: int = BLOCK_ROWS,
     by_weight: bool = False,
+    more: bool = False,
 ) -> DataFrame:
     """Best ``k`` nodes per query within the same project.
 
@@ -124,16 +134,19 @@ def top_matches(
 
     With ``by_weight`` nodes have a ``weight``, too: a negative cosine counts
     as 0, ties go to the heavier node, and the weight is kept in the result.
+    With ``more`` queries have a column of that name: so many beyond ``k`` are
+    kept of each.
     """
     check_threshold(threshold)
     check_limit(k)
-    queries = queries.select("query_id", "project", "embedding").filter("embedding is not null")
+    columns = ["query_id", "project", "embedding", *["more"] * more]
+    queries = queries.select(*columns).filter("embedding is not null")
     weight = F.col("weight") if by_weight else F.lit(0.0)
     nodes = nodes.select("id", "project", "embedding", weight.cast("double").alias("weight"))
     nodes = nodes.filter("embedding is not null")
     ship(queries.sparkSession)
     nodes = nodes.withColumn("digest", F.sha2(F.to_json("embedding"), 256))
-    if k == 1:
+    if k == 1 and not more:
         nodes = (
             nodes.groupBy("project", "digest")
             .agg(F.min(F.struct((-F.col("weight")).alias("light"), "id", "embedding")).alias("m"))
@@ -141,11 +154,13 @@ def top_matches(
         )
     else:
         copies = Window.partitionBy("project", "digest").orderBy(F.desc("weight"), "id")
-        nodes = (
-            nodes.withColumn("copy", F.row_number().over(copies))
-            .filter(F.col("copy") <= k)
-            .drop("copy", "digest")
-        )
+        nodes = nodes.withColumn("copy", F.row_number().over(copies))
+        most = F.lit(k)
+        if more:
+            # A project's queries need no more copies than the most wanting of them.
+            wants = queries.groupBy("project").agg(F.max("more").alias("most"))
+            nodes, most = nodes.join(wants, "project"), F.lit(k) + F.col("most")
+        nodes = nodes.filter(F.col("copy") <= most).drop("copy", "digest", "most")
 
     group = ["project"]
     lanes = lane_counts(nodes, group, block_rows, "n_lanes").join(
@@ -184,6 +199,7 @@ def top_matches(
         n = n.sort_by([("weight", "descending"), ("id", "ascending")])
         qm, nm = _unit(_matrix(q.column("embedding"))), _unit(_matrix(n.column("embedding"))).T
         parts = []
+        beyond = q.column("more").to_numpy() if more else None
         for start in range(0, len(qm), _QUERY_STEP):
             q_part = qm[start : start + _QUERY_STEP]
             # Vectors of different lengths have nothing in common.
@@ -191,7 +207,8 @@ def top_matches(
             sims = q_part @ nm if alike else np.zeros((len(q_part), nm.shape[1]))
             if by_weight:
                 sims = np.maximum(sims, 0.0)
-            rows, cols = _keep_best(sims, threshold, k)
+            extra = None if beyond is None else beyond[start : start + _QUERY_STEP]
+            rows, cols = _keep_best(sims, threshold, k, extra)
             parts.append(
                 pa.table(
                     {
@@ -215,7 +232,7 @@ def top_matches(
     )
     if not by_weight:
         found = found.withColumn("weight", F.lit(0.0))
-    if k == 1:
+    if k == 1 and not more:
         best = found.groupBy("query_id").agg(
             F.min(
                 F.struct(
@@ -232,8 +249,12 @@ def top_matches(
         rank = Window.partitionBy("query_id").orderBy(
             tie_rank("similarity"), F.desc("weight"), "id"
         )
-        best = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-        best = best.drop("rank")
+        best = found.withColumn("rank", F.row_number().over(rank))
+        if more:
+            best = best.join(queries.select("query_id", "more"), "query_id").filter(F.col("rank") <= k + F.col("more"))
+        else:
+            best = best.filter(F.col("rank") <= k)
+        best = best.drop("rank", "more")
     return best if by_weight else best.drop("weight")
 
 

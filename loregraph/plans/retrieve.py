@@ -100,32 +100,38 @@ def _order(score: str) -> list:
 
 
 def best_by_vector(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(query_id, project, id, weight, vector): the ``k`` best candidates of each query.
+    """(query_id, project, id, weight, vector, r): the ``k`` best candidates of each query.
 
+    ``queries`` may have a column ``more``: how many beyond ``k`` a query gets.
     Block products find them, so no row per query and candidate is formed.
     Candidates without a vector, and all of them for a query without one,
     score 0: the heaviest ``k`` of each project can be among the best.
     """
-    found = top_matches(queries, candidates, 0.0, k, by_weight=True).select(
+    if "more" not in queries.columns:
+        queries = queries.withColumn("more", F.lit(0).cast("bigint"))
+    found = top_matches(queries, candidates, 0.0, k, by_weight=True, more=True).select(
         "query_id", "id", "weight", F.col("similarity").alias("vector")
     )
     heaviest = Window.partitionBy("project").orderBy(F.desc("weight"), "id")
     light = candidates.select("id", "project", "weight", F.col("embedding").isNull().alias("bare"))
+    wants = queries.groupBy("project").agg((F.lit(k) + F.max("more")).alias("most"))
 
     def first(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("r", F.row_number().over(heaviest)).filter(F.col("r") <= k)
+        ranked = rows.withColumn("r", F.row_number().over(heaviest)).join(wants, "project")
+        return ranked.filter(F.col("r") <= F.col("most")).drop("most")
 
-    probe = queries.select("query_id", "project", F.col("embedding").isNull().alias("blind"))
+    probe = queries.select("query_id", "project", "more", F.col("embedding").isNull().alias("blind"))
+    fits = F.col("r") <= F.lit(k) + F.col("more")
     zero = F.lit(0.0).alias("vector")
-    bare = first(light.filter("bare")).join(probe.filter("not blind"), "project")
-    blind = first(light).join(probe.filter("blind"), "project")
+    bare = first(light.filter("bare")).join(probe.filter("not blind"), "project").filter(fits)
+    blind = first(light).join(probe.filter("blind"), "project").filter(fits)
     rest = bare.unionByName(blind).select("query_id", "id", "weight", zero)
     w = Window.partitionBy("query_id").orderBy(*_order("vector"))
     return (
         found.unionByName(rest)
         .withColumn("r", F.row_number().over(w))
-        .filter(F.col("r") <= k)
-        .join(probe.select("query_id", "project"), "query_id")
+        .join(probe.select("query_id", "project", "more"), "query_id")
+        .filter(fits)
         .select("query_id", "project", "id", "weight", "vector", "r")
     )
 
@@ -136,14 +142,15 @@ def best_fused(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int =
     Only candidates with a keyword or graph score, and the best by vector, can
     be among them: whoever has neither score and is not among the best ``k``
     by vector has ``k`` others before it.  A keyword score below 0 may push one
-    of those back, so there are as many more as a query has such scores.
+    of those back, so each query gets as many more as it has such scores.
     """
     candidates = candidates_of(nodes)
     keyword = cut_lineage(
         bm25_normalised(bm25_hits(candidates, queries)).select("query_id", "id", "bm25")
     )
-    below = keyword.filter("bm25 < 0").groupBy("query_id").count().agg(F.max("count")).first()[0]
-    near = cut_lineage(best_by_vector(queries, candidates, max(k, SEEDS) + (below or 0)))
+    below = keyword.filter("bm25 < 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("more"))
+    wanting = queries.join(below, "query_id", "left").fillna(0, ["more"])
+    near = cut_lineage(best_by_vector(wanting, candidates, max(k, SEEDS)))
     seeds = near.filter(F.col("r") <= SEEDS).select("query_id", "project", "id")
     graph = cut_lineage(hop_scores(seeds, edges, candidates).select("query_id", "id", "graph"))
     # Exact vector scores of the few candidates that other channels bring in.

@@ -751,4 +751,60 @@ def first_words(spark, sf):
     return d.table(spark, sf, "documents").select("doc_id", F.md5(text.first_word(F.col("text"))).alias("word"))
 
 
+# ---------------------------------------------------------------- one node or edge
+
+
+@query
+def get_node(spark, sf):
+    return filters.node_by_id(d.nodes(spark, sf), "40").select("id", "project", "tier", r6("weight"))
+
+
+@query
+def edges_of_node(spark, sf):
+    return graph.edges_of(d.edges(spark, sf), "40")
+
+
+@query
+def edge_between(spark, sf):
+    return graph.edge_between(d.edges(spark, sf), "13", "0")
+
+
+@query
+def delete_node(spark, sf):
+    return mutations.delete_node(d.nodes(spark, sf), d.edges(spark, sf), "40")[1]
+
+
+@query
+def delete_edge(spark, sf):
+    return graph.unlink(d.edges(spark, sf), "13", "0")
+
+
+@query
+def inspect_node(spark, sf):
+    nodes = d.stored_nodes(spark, sf)
+    found, near = reports.inspect(nodes, d.edges(spark, sf), "40")
+    return near.select("id", "neighbor_id", "strength").join(found.select("id", "tier"), "id")
+
+
+@query
+def view_edges(spark, sf):
+    return reports.view_edges(d.nodes(spark, sf), d.edges(spark, sf))
+
+
+@query
+def view_snapshot(spark, sf):
+    """Edges drawn between the nodes of one project, a project being a tier here."""
+    nodes = d.stored_nodes(spark, sf).withColumn("project", F.concat(F.lit("t"), F.col("tier")))
+    return reports.view_snapshot(nodes, d.edges(spark, sf), "t1")[1]
+
+
+@query
+def export_yaml(spark, sf):
+    """Lines of the YAML export, how often each is there; texts and numbers with fractions apart."""
+    path = f"{checkpoint_dir(spark)}/exports/{uuid.uuid4().hex}"
+    exchange.export(d.nodes(spark, sf), path, "yaml")
+    lines = spark.read.text(path).filter(~F.col("value").rlike("^  (text|rationale|weight): "))
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES.update(stores.QUERIES)

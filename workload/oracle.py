@@ -722,3 +722,20 @@ for _name, _steps in (("pending_nodes", 6), ("compacted_nodes", 6), ("older_node
 _put("pending_edges", f"nodes {_E}", oracle_stores.EDGES, {**_STORE, "kept": oracle_stores.KEPT})
 _put("stored_sessions", "sessions", "SELECT * FROM sessions")
 ORACLE["indexed_search"] = ORACLE["bm25_search"]
+
+_put("get_node", "nodes", f"SELECT id, project, tier, {r6('weight')} FROM nodes WHERE id = '40'")
+_put("edges_of_node", _E, "SELECT * FROM edges WHERE source_id = '40' OR target_id = '40'")
+_put("edge_between", _E, "SELECT * FROM edges WHERE (source_id, target_id) IN (('13', '0'), ('0', '13'))")
+_put("delete_node", _E, "SELECT * FROM edges WHERE source_id <> '40' AND target_id <> '40'")
+_put("delete_edge", _E, "SELECT * FROM edges WHERE (source_id, target_id) NOT IN (('13', '0'), ('0', '13'))")
+_put("inspect_node", f"nodes {_E} sym", """SELECT s.id, s.neighbor_id, s.strength, n.tier FROM sym s
+  JOIN nodes n ON n.id = s.id WHERE s.id = '40'""")
+_put("view_edges", f"nodes {_E}", "SELECT n.project, e.* FROM edges e JOIN nodes n ON n.id = e.source_id")
+_put("view_snapshot", f"nodes {_E}", """SELECT e.* FROM edges e
+  WHERE source_id IN (SELECT id FROM nodes WHERE tier = 1)
+    AND target_id IN (SELECT id FROM nodes WHERE tier = 1)""")
+_YAML = {c: f"'{'- ' if c == 'id' else '  '}{c}: ' || " + (f"'\"' || {c} || '\"'" if text else c) for c, text in (
+    ("id", True), ("type", True), ("tier", False), ("session_count", False), ("scope", True), ("source", True),
+    ("project", True), ("last_accessed", False), ("created_at", False))}
+_put("export_yaml", "nodes", "SELECT line, count(*) AS n FROM ("
+     + " UNION ALL ".join(f"SELECT {v} AS line FROM nodes" for v in _YAML.values()) + ") GROUP BY 1")
