@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph import schema
+from loregraph.session import cut_lineage, shuffle_width
 
+# From this position on pages are found by counts of ranges instead of one sort.
+DEEP = 10_000
 PAGE_SORTS = ("weight", "created_at", "last_accessed")
 
 
@@ -115,10 +118,34 @@ def node_page(
     if offset < 0:
         raise ValueError(f"offset must be >= 0, got {offset}")
     rows = filter_nodes(slim(nodes), **conditions)
-    page = rows.orderBy(F.desc(sort), "id").offset(offset).limit(limit)
+    if offset + limit > DEEP:
+        page = deep_page(rows, sort, limit, offset)
+    else:
+        page = rows.orderBy(F.desc(sort), "id").offset(offset).limit(limit)
     return page, rows.agg(F.count(F.lit(1)).alias("total"))
 
 
+def deep_page(rows: DataFrame, sort: str, limit: int, offset: int) -> DataFrame:
+    """The same page, without bringing all rows before it to one task.
+
+    Sort keys and ids are dealt by ranges of their order; the number of rows in
+    each range tells which ones hold the page, and only those are sorted.
+    """
+    order = [F.desc(sort), F.col("id")]
+    keys = rows.select(sort, "id").repartitionByRange(shuffle_width(rows.sparkSession), *order)
+    dealt = cut_lineage(keys.withColumn("part", F.spark_partition_id()))
+    # A row per range for the driver.
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    before, parts, skip = 0, [], 0
+    for r in counts:
+        if before + r.n > offset and before < offset + limit:
+            skip = skip if parts else offset - before
+            parts.append(r.part)
+        before += r.n
+    picked = dealt.filter(F.col("part").isin(parts)).orderBy(*order).offset(skip).limit(limit)
+    return rows.join(picked.select("id"), "id", "left_semi").orderBy(*order)
+
+
 def session_exists(sessions: DataFrame, transcript_path: str) -> bool:
     """Whether a transcript was processed before, in any project."""
     return not sessions.filter(F.col("transcript_path") == transcript_path).isEmpty()

@@ -71,6 +71,12 @@ def node_page(spark, sf):
     return page.select("id", "tier", "last_accessed")
 
 
+@query
+def deep_page(spark, sf):
+    """Nodes from place 150 on, found by counts of ranges."""
+    return filters.deep_page(filters.slim(d.nodes(spark, sf)), "weight", 25, 150).select("id", r6("weight"))
+
+
 @query
 def node_page_total(spark, sf):
     return filters.node_page(d.nodes(spark, sf), "weight", 20, 0, tier=2)[1]

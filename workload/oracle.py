@@ -739,3 +739,4 @@ _YAML = {c: f"'{'- ' if c == 'id' else '  '}{c}: ' || " + (f"'\"' || {c} || '\"'
     ("project", True), ("last_accessed", False), ("created_at", False))}
 _put("export_yaml", "nodes", "SELECT line, count(*) AS n FROM ("
      + " UNION ALL ".join(f"SELECT {v} AS line FROM nodes" for v in _YAML.values()) + ") GROUP BY 1")
+_put("deep_page", "nodes", f"SELECT id, {r6('weight')} FROM nodes ORDER BY nodes.weight DESC, id LIMIT 25 OFFSET 150")
