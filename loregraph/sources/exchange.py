@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +72,11 @@ def export(
         rows.select(F.concat_ws("\n", *items).alias("value")).write.mode("errorifexists").text(path)
 
 
+def _literal(path: str) -> str:
+    """A file's name as a path pattern that means this file only."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(path))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(rec VARIANT, file, pos) for every record of JSON files.
 
@@ -76,7 +84,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     and then is read by one task.  Its first sign tells which; each file is
     judged by itself.
     """
-    whole = spark.read.option("wholetext", True).text(path)
     file = F.col("_metadata.file_path").alias("file")
     lines = spark.read.text(path).select(
         "value", file, F.monotonically_increasing_id().alias("pos")
@@ -85,8 +92,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     kinds = cut_lineage(first)
     if not kinds.filter(~F.col("sign").isin("[", "{")).isEmpty():
         raise ValueError("expected a JSON array at the top level")
-    arrays, records = (kinds.filter(F.col("sign") == s).select("file") for s in "[{")
-    listed = whole.select("value", file).join(arrays, "file", "left_semi")
+    records = kinds.filter("sign = '{'").select("file")
+    # Only files that hold an array are read as wholes; the driver has their names.
+    arrays = [_literal(r.file) for r in kinds.filter("sign = '['").collect()]
+    lines = lines.join(records, "file", "left_semi").select(
+        F.try_parse_json("value").alias("rec"), "file", "pos"
+    )
+    if not arrays:
+        return lines
+    listed = spark.read.text(arrays, wholetext=True).select("value", file)
     array = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
     # An array that cannot be read fails the import; no record goes missing.
     sure = F.when(array.isNotNull(), array).otherwise(
@@ -94,11 +108,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     )
     return listed.select("file", F.posexplode(sure).alias("pos", "rec")).select(
         "rec", "file", F.col("pos").cast("bigint").alias("pos")
-    ).unionByName(
-        lines.join(records, "file", "left_semi").select(
-            F.try_parse_json("value").alias("rec"), "file", "pos"
-        )
-    )
+    ).unionByName(lines)
 
 
 def import_rows(

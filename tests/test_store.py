@@ -226,3 +226,17 @@ def test_import_judges_each_file(spark, tmp_path, make_nodes):
     rows = new.collect()
     assert sorted(r.text for r in rows) == ["one", "same", "same", "same", "two"]
     assert len({r.id for r in rows}) == 5 and skipped.count() == 0
+
+
+def test_only_arrays_are_read_as_wholes(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a b [1]%20{x}.json").write_text('[{"text": "one"},\n {"text": "two"}]')
+    (folder / "lines.json").write_text('{"text": "three"}\n{"text": "four"}\n')
+    records = exchange.read_records(spark, str(folder))
+    texts = records.select(F.try_variant_get("rec", "$.text", "string").alias("t")).collect()
+    assert sorted(r.t for r in texts) == ["four", "one", "three", "two"]
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 2 and "lines.json" not in plan.split("Union")[0]
+    (folder / "a b [1]%20{x}.json").unlink()
+    assert exchange.read_records(spark, str(folder)).count() == 2
