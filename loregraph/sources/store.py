@@ -160,9 +160,11 @@ class View:
         """(project, v, all_sessions): the next version, and whether it should have all sessions anew."""
         if self.project is not None:
             late = sum(r.v > r.sessions_v and r.n_sessions > 0 for r in self.rows) >= MAX_PENDING
-            row = (self.project, self.version(self.project) + 1, late or not self.rows)
-            one = self.spark.range(1)
-            return one.select(*[F.lit(x).alias(n) for x, n in zip(row, ("project", "v", "all_sessions"), strict=True)])
+            return self.spark.range(1).select(
+                F.lit(self.project).alias("project"),
+                F.lit(self.version(self.project) + 1).cast("bigint").alias("v"),
+                F.lit(late or not self.rows).alias("all_sessions"),
+            )
         behind = self.live.groupBy("project").agg(
             F.max("v").alias("old"),
             F.expr(f"count_if(v > sessions_v and n_sessions > 0) >= {MAX_PENDING}").alias("late"),
