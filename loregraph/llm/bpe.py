@@ -386,9 +386,11 @@ class Transducer:
 
     def _counts(self, texts: list[str]) -> np.ndarray:
         parts, owner, after = self._segments(texts)
-        _, _, limits = self.run(parts, False)
-        total = np.concatenate([[0], np.cumsum(self.out, dtype=np.int64)])
-        each = np.diff(np.concatenate([[0], total[limits]])) + (after >= 0)
+        data, begin, limits = self._cut(parts)
+        first = np.flatnonzero(begin)
+        _, size = self._piece_ids(data, first[:-1], np.diff(first))
+        total = np.concatenate([[0], np.cumsum(size)])
+        each = np.diff(np.concatenate([[0], total[np.searchsorted(first, limits)]])) + (after >= 0)
         return np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
