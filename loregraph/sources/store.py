@@ -503,11 +503,13 @@ class Store:
             put = written.filter(F.col("op") == ch.PUT).select(*keys)
             hit = written.filter(F.col("op") != ch.SET).select("project", "id")
             old = view.read("nodes").join(hit, ["project", "id"], "left_semi").select(*keys)
-            rows = index.replaced_postings(old, put)
+            # Texts are brought together by project, not their many postings.
+            moved = index.replaced_texts(old, put).hint("rebalance", "project")
+            rows = index.signed_postings(moved, F.col("sign"))
         marks = marks.select("project", "v")
         order = ["project", "term", "id"]
-        # Ranges of terms, so that a file has few of them and a frequent one may have several files.
-        sorted_ = rows.join(marks, "project").repartitionByRange(*order).sortWithinPartitions(*order)
+        # Each file has the terms of its texts in order; a frequent one is in every file.
+        sorted_ = rows.join(marks, "project").sortWithinPartitions(*order)
         folder = f"{self.root}/{{}}/commit={name}"
         names = [f.name for f in _stored("postings").fields]
         sorted_.select(*names, "project").write.partitionBy("project").parquet(folder.format("postings"))
