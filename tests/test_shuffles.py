@@ -2,7 +2,11 @@
 
 from collections import Counter
 
+import pytest
+
 from loregraph.operators import index
+from loregraph.sources import store as stores
+from workload import stores as queries
 
 
 def plan_of(df):
@@ -27,3 +31,13 @@ def test_texts_that_stay_have_no_postings(spark):
     new = spark.createDataFrame([("/p", "a", "x"), ("/p", "b", "yy"), ("/p", "d", "w")], shape)
     moved = {tuple(r) for r in index.replaced_texts(old, new).collect()}
     assert moved == {("/p", "b", "y", -1), ("/p", "b", "yy", 1), ("/p", "c", "z", -1), ("/p", "d", "w", 1)}
+
+
+def test_the_store_of_the_queries_is_the_only_copy_of_the_texts(spark, monkeypatch):
+    written, whole = [], queries.cut_lineage
+    monkeypatch.setattr(queries, "cut_lineage", lambda df: written.append(df.columns) or whole(df))
+    monkeypatch.setattr(queries.d, "cut_lineage", lambda df: written.append(df.columns) or whole(df))
+    monkeypatch.setattr(stores.Store, "commit", lambda self, *_: (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        queries.changed_store(spark, "/root/testdata/sf0.001")
+    assert written and not [c for c in written if "text" in c]

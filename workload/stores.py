@@ -28,15 +28,16 @@ def new_store(spark: SparkSession) -> Store:
 def changed_store(spark: SparkSession, sf: str) -> Store:
     """All nodes and edges in one commit, then six commits of changes, a second apart."""
     store, now = new_store(spark), d.NOW
-    nodes = d.stored_nodes(spark, sf)
-    edges = cut_lineage(filed_edges(spark, sf, nodes))
-    projects = cut_lineage(nodes.select("project").distinct().coalesce(1))
+    nodes = d.nodes(spark, sf)
+    # The store is the written copy of the texts; of the rest this is used again.
+    keys = cut_lineage(nodes.select("id", "project", "type", "tier", "scope", "source"))
+    edges = cut_lineage(filed_edges(spark, sf, keys))
+    projects = cut_lineage(keys.select("project").distinct().coalesce(1))
     store.commit(projects, nodes, edges, d.sessions(spark, sf).limit(0), now)
 
     def change(step: int, nodes: DataFrame, edges: DataFrame | None = None) -> None:
         store.change(projects, nodes, edges, now=now + step)
 
-    keys = nodes.select("id", "project", "type", "tier", "scope", "source")
     change(1, changes.annotate(keys.filter("scope = 'module'"), "noted"))
     change(2, changes.add_weight(keys.filter("tier = 1"), -5.0))
     linked = keys.join(edges.select(F.col("source_id").alias("id")), "id", "left_semi")
