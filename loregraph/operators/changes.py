@@ -149,12 +149,16 @@ def _folded(changes: DataFrame, keys: list[str], start: Column, step) -> DataFra
 def fold_nodes(changes: DataFrame) -> DataFrame:
     """(id, project, f): what all changes of a node come to.
 
-    ``f.replaced``: what was stored before does not count; ``f.put``: the row
-    that stands instead, if any; the rest applies to it or to the stored row.
+    ``f.replaced``: what was stored before does not count; ``f.put_v``: the
+    commit whose row stands instead, if any; the rest applies to it or to the
+    stored row.  Texts and vectors of put rows are not collected.
     """
-    fields = [f.name for f in _NODE]
-    put_type = T.StructType([T.StructField(f.name, f.dataType) for f in _NODE])
-    none = F.lit(None).cast(put_type)
+    told = F.col("has_rationale") & (F.col("op") == SET)
+    changes = changes.select(
+        "id", "project", "v", "op", "shift", "floor", "more_sessions", "last_accessed", "has_rationale",
+        F.when(told, F.col("rationale")).alias("rationale"),
+    )
+    none = F.lit(None).cast("bigint")
     clean = {
         "shift": F.lit(0.0),
         "floor": F.lit(LOWEST),
@@ -166,18 +170,17 @@ def fold_nodes(changes: DataFrame) -> DataFrame:
 
     def state(replaced: Column, put: Column, values: dict[str, Column]) -> Column:
         return F.struct(
-            replaced.alias("replaced"), put.alias("put"), *[values[k].alias(k) for k in clean]
+            replaced.alias("replaced"), put.alias("put_v"), *[values[k].alias(k) for k in clean]
         )
 
     start = state(F.lit(False), none, clean)
 
     def step(acc: Column, x: Column) -> Column:
-        row = F.struct(*[x[c].alias(c) for c in fields])
-        put = state(F.lit(True), row, clean)
+        put = state(F.lit(True), x["v"], clean)
         gone = state(F.lit(True), none, clean)
         changed = state(
             acc["replaced"],
-            acc["put"],
+            acc["put_v"],
             {
                 "shift": acc["shift"] + x["shift"],
                 "floor": F.greatest(x["floor"], acc["floor"] + x["shift"]),
@@ -213,12 +216,15 @@ def apply_nodes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """Nodes with changes (``NODE_CHANGES`` and ``v``) folded in.
 
     Stored rows are joined with one small row per changed node and stay where
-    they are when that side is broadcast; new rows come from the changes.
+    they are when that side is broadcast; new rows are those changes that put
+    the row which stands, so readers get their columns only.
     """
     folded = fold_nodes(changes)
     known = nodes.join(folded, ["id", "project"], "left")
     kept = known.filter(F.col("f").isNull() | ~F.col("f.replaced"))
-    new = folded.filter(F.col("f.put").isNotNull()).select("id", "project", "f", "f.put.*")
+    key = ["id", "project", "v"]
+    put = changes.filter(F.col("op") == PUT).select(*key, *[f.name for f in _NODE])
+    new = put.join(folded.select("id", "project", F.col("f.put_v").alias("v"), "f"), key)
     return _with_parts(kept).unionByName(_with_parts(new))
 
 

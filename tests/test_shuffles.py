@@ -3,8 +3,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from loregraph.operators import index
+from loregraph.operators import changes, index
 from loregraph.sources import store as stores
 from workload import stores as queries
 
@@ -41,3 +42,10 @@ def test_the_store_of_the_queries_is_the_only_copy_of_the_texts(spark, monkeypat
     with pytest.raises(InterruptedError):
         queries.changed_store(spark, "/root/testdata/sf0.001")
     assert written and not [c for c in written if "text" in c]
+
+
+def test_folding_collects_no_texts(spark):
+    rows = spark.createDataFrame([], changes.NODE_CHANGES).withColumn("v", F.lit(1).cast("bigint"))
+    used = changes.fold_nodes(rows)._jdf.queryExecution().optimizedPlan().toString()
+    collected = next(line for line in used.splitlines() if "collect_list" in line)
+    assert "text" not in collected and "embedding" not in collected
