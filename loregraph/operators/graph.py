@@ -11,6 +11,8 @@ from loregraph.session import cut_lineage
 # Retrieval scores by distance from a seed.
 HOP1_SCORE = 0.5
 HOP2_SCORE = 0.25
+# Shown nodes of an overview that are handed to the scan of the texts as a list.
+LISTED = 2_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -113,27 +115,47 @@ def strongest_neighbors(
     """Adjacency overview: the heaviest ``limit`` nodes per project, each with
     up to ``shown`` neighbours of the same project, strongest first."""
     top = Window.partitionBy("project").orderBy(F.desc("weight"), "id")
-    heads = (
-        nodes.select("project", "id", "tier", "weight", F.substring("text", 1, 50).alias("label"))
+    # The few nodes shown are found without any text and written out; the edges
+    # and texts of all others then stay where they are.
+    heads = cut_lineage(
+        nodes.select("project", "id", "tier", "weight")
         .withColumn("position", F.row_number().over(top))
         .filter(F.col("position") <= limit)
     )
     near = Window.partitionBy("id").orderBy(F.desc("strength"), "neighbor_id")
-    names = nodes.select(
-        F.col("id").alias("neighbor_id"),
-        "project",
-        F.substring("text", 1, 28).alias("neighbor_label"),
-    )
-    links = (
+    names = nodes.select(F.col("id").alias("neighbor_id"), "project")
+    links = cut_lineage(
         undirected(edges)
         .select("id", "neighbor_id", "strength")
         .join(heads.select("id", "project"), "id")
         .join(names, ["neighbor_id", "project"])
         .withColumn("neighbor_rank", F.row_number().over(near))
         .filter(F.col("neighbor_rank") <= shown)
-        .drop("project")
     )
-    return heads.join(links, "id", "left")
+    shown_ids = cut_lineage(
+        heads.select("id", "project").unionByName(links.select(F.col("neighbor_id").alias("id"), "project")).distinct()
+    )
+    texts = nodes.select(F.col("id").alias("of"), F.col("project").alias("owner"), "text")
+    listed = [r.id for r in shown_ids.select("id").limit(LISTED + 1).collect()]
+    if len(listed) <= LISTED:
+        # Unlike the join below, a list goes down to the scan, under joins that nodes may come from.
+        texts = texts.filter(F.col("of").isin(listed) | F.col("of").isNull())
+    is_shown = F.col("of").eqNullSafe(F.col("id")) & F.col("owner").eqNullSafe(F.col("project"))
+    texts = cut_lineage(
+        texts.join(shown_ids, is_shown, "left_semi")
+        .select("of", "owner", F.substring("text", 1, 50).alias("label"))
+        .distinct()
+    )
+    names = texts.select(
+        F.col("of").alias("neighbor_id"),
+        F.col("owner").alias("project"),
+        F.substring("label", 1, 28).alias("neighbor_label"),
+    )
+    return (
+        heads.join(texts, is_shown)
+        .select("project", "id", "tier", "weight", "label", "position")
+        .join(links.join(names, ["neighbor_id", "project"]).drop("project"), "id", "left")
+    )
 
 
 # ---------------------------------------------------------------- expansion

@@ -85,7 +85,8 @@ def co_occurring_writes(
     and two in adjacent buckets do when the later one's earliest time is close
     enough to the earlier one's latest.  The rest is an equi-join on the
     bucket; crowded buckets are cut into lanes.  The reduced rows are used
-    three times and therefore written out.
+    three times and therefore written out, and so are the few crowded
+    buckets: of a known size, they move no row of the others.
     """
     key = [*SESSION, "bucket"]
     slots = cut_lineage(
@@ -93,7 +94,7 @@ def co_occurring_writes(
         .groupBy(*key, "path")
         .agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))
     )
-    crowded = lane_counts(slots, key, lane_rows, "lanes").filter(F.col("lanes") > 1)
+    crowded = cut_lineage(lane_counts(slots, key, lane_rows, "lanes").filter(F.col("lanes") > 1))
     lanes = F.coalesce("lanes", F.lit(1))
 
     early = (

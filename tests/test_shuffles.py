@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loregraph.operators import changes, index
+from loregraph.operators import changes, graph, index, signals
 from loregraph.sources import store as stores
 from workload import stores as queries
 
@@ -49,3 +49,36 @@ def test_folding_collects_no_texts(spark):
     used = changes.fold_nodes(rows)._jdf.queryExecution().optimizedPlan().toString()
     collected = next(line for line in used.splitlines() if "collect_list" in line)
     assert "text" not in collected and "embedding" not in collected
+
+
+def test_only_shown_nodes_have_their_texts_read(spark, make_nodes, monkeypatch):
+    nodes = make_nodes([{"id": f"n{i}", "weight": float(i), "text": f"text {i} " + "x" * 90} for i in range(30)])
+    edges = spark.createDataFrame(
+        [("n29", "n3", 2.0, 1), ("n4", "n29", 5.0, 1), ("n7", "n8", 9.0, 1)],
+        "source_id string, target_id string, strength double, last_seen bigint",
+    )
+    plans, whole = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append((df.columns, plan_of(df))) or whole(df))
+    rows = graph.strongest_neighbors(nodes, edges, 2).collect()
+    assert [c for c, _ in plans if "text" in c or "label" in c] == [["of", "owner", "label"]]
+    assert " IN (" in plans[-1][1]
+    got = {(r.id, r.position, r.label[:8], r.neighbor_id, r.neighbor_rank, r.neighbor_label) for r in rows}
+    x = "x" * 21
+    assert got == {
+        ("n29", 1, "text 29 ", "n4", 1, f"text 4 {x}"),
+        ("n29", 1, "text 29 ", "n3", 2, f"text 3 {x}"),
+        ("n28", 2, "text 28 ", None, None, None),
+    }
+
+
+def test_crowded_buckets_move_no_row_of_the_others(spark, monkeypatch):
+    written, whole = [], signals.cut_lineage
+    monkeypatch.setattr(signals, "cut_lineage", lambda df: written.append(df.columns) or whole(df))
+    writes = spark.createDataFrame(
+        [("/p", "s", f"f{i % 5}", i * 20) for i in range(40)], "project string, session_id string, path string, timestamp bigint"
+    )
+    pairs = signals.co_occurring_writes(writes)
+    # Of a known size, they are brought to the others.
+    assert ["project", "session_id", "bucket", "lanes"] in written
+    assert plan_of(pairs).count("Exchange hashpartitioning") <= 3
+    assert pairs.count() == 10
