@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregraph.operators.skew import LANE_ROWS, every_lane, lane_counts, own_lane
-from loregraph.session import cut_lineage
+from loregraph.session import cut_lineage, shuffle_width
 
 HOTSPOT_WRITES = 3
 CO_OCCURRENCE_SECONDS = 60
 CHURN_LOOKBACK = 10
 CHURN_SHARE = 0.6
+# Commits that one word of bits stands for.
+BITS = 63
 SESSION = ["project", "session_id"]
 
 
@@ -158,6 +160,13 @@ def latest_commits(commits: DataFrame, n: int) -> DataFrame:
     return commits.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= n)
 
 
+def _seen_bits(first: int) -> Column:
+    """How many commits of the ages from ``first`` on, one word of bits, a group has."""
+    place = (F.col("age") - first).cast("int")
+    bit = F.when(place.between(0, BITS - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
+    return F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint")))
+
+
 def file_churn(
     commits: DataFrame,
     commit_files: DataFrame,
@@ -170,15 +179,20 @@ def file_churn(
     file counts once per commit.  The denominator is the number of commits
     there are, which may be fewer than ``lookback``.
     """
-    last = latest_commits(commits, lookback).select("project", "sha")
+    last = latest_commits(commits, lookback).select("project", "sha", "age")
     totals = last.groupBy("project").agg(F.count(F.lit(1)).alias("n_commits"))
+    # One bit per commit instead of a set of (project, sha, path), and partitions
+    # that are not coalesced: short rows repeat themselves, so that a partition
+    # which is small when compressed takes up a lot of a task's memory.
+    width = shuffle_width(commits.sparkSession)
+    bits = [_seen_bits(first) for first in range(1, max(lookback, 1) + 1, BITS)]
+    once = last.groupBy("project", "sha").agg(F.min("age").alias("age"))
     return (
         commit_files.select("sha", "path")
-        .join(last, "sha")
-        .select("project", "sha", "path")
-        .distinct()
+        .repartition(width, "sha")
+        .join(once.repartition(width, "sha"), "sha")
         .groupBy("project", "path")
-        .agg(F.count(F.lit(1)).alias("n_changes"))
+        .agg(sum(bits[1:], bits[0]).cast("bigint").alias("n_changes"))
         .join(totals, "project")
         .withColumn("churn", F.col("n_changes") / F.col("n_commits"))
         .filter(F.col("churn") >= share)

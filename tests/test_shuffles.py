@@ -82,3 +82,18 @@ def test_crowded_buckets_move_no_row_of_the_others(spark, monkeypatch):
     assert ["project", "session_id", "bucket", "lanes"] in written
     assert plan_of(pairs).count("Exchange hashpartitioning") <= 3
     assert pairs.count() == 10
+
+
+def test_churn_counts_commits_without_sets_of_them(spark):
+    n = 130
+    commits = spark.createDataFrame(
+        [("/p", f"c{i}", i) for i in range(n)] + [("/p", "c129", 500)], "project string, sha string, committed_at bigint"
+    )
+    files = [(f"c{i}", "all") for i in range(n)] * 2 + [(f"c{i}", "odd") for i in range(1, n, 2)]
+    files = spark.createDataFrame(files, "sha string, path string")
+    got = signals.file_churn(commits, files, lookback=100, share=0.1)
+    plan = plan_of(got)
+    assert "REPARTITION_BY_NUM" in plan and "keys=[project#" in plan
+    assert not any("path#" in line and "sha#" in line for line in plan.splitlines() if "HashAggregate(keys" in line)
+    # The last hundred rows are c31 to c129 and c129 again: 99 commits.
+    assert {r.path: (r.n_changes, r.n_commits) for r in got.collect()} == {"all": (99, 100), "odd": (50, 100)}
