@@ -41,11 +41,11 @@ def least_overlap(n: np.ndarray | int, percent: int):
 
 
 def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest size of each class of sizes up to ``most``, and its number of parts.
+    """Smallest size of each class of sizes up to ``most``, and the least number of its parts.
 
     A partner of a set is in the set's class or a neighbouring one.  Linked
-    sets, the smaller in class k, differ by fewer elements than class k has
-    parts, so in one part they do not differ at all.
+    sets, the smaller in class k, differ by fewer elements than this number
+    of class k, so of that many parts there is one in which they do not differ.
     """
     low, parts = [1], []
     while low[-1] <= most:
@@ -55,10 +55,28 @@ def size_classes(most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low[:-1], np.int64), np.array(parts, np.int64)
 
 
+def part_numbers(low: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Into how many parts sets of each class are cut, so that ``need`` of them hold an element almost surely."""
+    out = need.copy()
+    while True:
+        empty = out * (1 - 1 / out) ** low
+        few = (out - empty - 3 * np.sqrt(empty) < need) & (out < 2 * need)
+        if not few.any():
+            return out
+        out[few] += 1 + out[few] // 16
+
+
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of each set, by its own class and the one below: (hash, set number)."""
+    """Hashes of the parts of each set, by its own class and the one below: (hash, set number).
+
+    Linked sets differ in fewer parts than ``size_classes`` gives.  If that
+    many parts of one of them hold an element, one of these is equal in both;
+    otherwise both sets keep their empty parts, too.  Empty parts of the other
+    sets are left out: they are equal in sets that share nothing.
+    """
     size = np.array([len(s) for s in sets], np.int64)
-    low, parts = size_classes(int(size.max(initial=1)), percent)
+    low, need = size_classes(int(size.max(initial=1)), percent)
+    parts = part_numbers(low, need)
     own = np.searchsorted(low, size, "right") - 1
     token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     value = mix(token)
@@ -69,13 +87,18 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         n = np.where((size > 0) & (kind >= 0), parts[np.maximum(kind, 0)], 0)
         first = np.cumsum(n) - n
         total = np.zeros(int(n.sum()), np.uint64)
+        held = np.zeros(len(total), bool)
         use = n[doc] > 0
         at = first[doc[use]] + (token[use] % n[doc[use]].astype(np.uint64)).astype(np.int64)
         np.add.at(total, at, value[use])
+        held[at] = True
         number = np.arange(len(total)) - np.repeat(first, n)
         where = np.repeat(kind, n) * 1_000_003 + number
-        out.append(mix(total + mix(where.astype(np.uint64) + SALT)))
-        owner.append(np.repeat(np.arange(len(sets)), n))
+        of = np.repeat(np.arange(len(sets)), n)
+        short = np.bincount(of[held], minlength=len(sets)) < need[np.maximum(kind, 0)]
+        held |= short[of]
+        out.append(mix(total + mix(where.astype(np.uint64) + SALT))[held])
+        owner.append(of[held])
     return np.concatenate(out), np.concatenate(owner)
 
 
@@ -450,7 +473,8 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     Equal sets are one node.  A set of which other rows have too few elements
     links with nothing; only the others go on.  Sets are cut into parts by their elements'
     hashes, into more parts than linked sets can differ in, so linked sets have
-    an equal part; sets with an equal part form groups that contain all links.
+    an equal part, one with elements if enough parts have some; sets with an
+    equal part form groups that contain all links.
     Only documents in groups of two or more nodes are searched, one per node,
     group by group.  Groups too large for a task are cut into blocks and each
     pair of blocks is one team, so that nothing is left out.

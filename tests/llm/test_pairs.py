@@ -64,6 +64,17 @@ def test_linked_sets_have_an_equal_part(percent):
             assert set(part[owner == 0].tolist()) & set(part[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unrelated_sets_have_no_equal_part(percent):
+    rng = random.Random(percent)
+    sets = [np.array(sorted(rng.getrandbits(64) for _ in range(n)), np.uint64) for n in [200, 210, 300, 310, 900] * 20]
+    part, owner = jaccard.signatures(sets, percent)
+    owners = {}
+    for p, o in zip(part.tolist(), owner.tolist(), strict=True):
+        owners.setdefault(p, set()).add(o)
+    assert max(map(len, owners.values())) == 1
+
+
 def join_plainly(rows, words, percent):
     sets = []
     for _, t in rows:
