@@ -21,7 +21,9 @@ with a piece is constant: stretches run side by side in vectors, and their
 counts are put together by a prefix sum.
 
 Where ids are wanted, equal pieces are read once: the ids of short pieces are
-kept under their bytes, and only pieces not met before pass the machine.
+kept under their bytes, and only pieces not met before pass the machine.  Where
+very many pieces are new, ``Merger`` does the merges of all of them at once
+instead of compiling transitions for each.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from numpy.lib.stride_tricks import sliding_window_view
 
 from loregraph.llm.common import mix
 
@@ -44,16 +45,19 @@ STRETCH = 512
 MAX_STATES = 200_000
 # Places for pieces of at most 15 bytes (as a power of two), and ids kept for
 # them before all are forgotten.
-PLACES = 19
-KEPT_IDS = 3 << 20
+PLACES = 20
+KEPT_IDS = 8 << 20
 SHORT = 15
+# Bytes of the longest pieces whose merges are done side by side.
+MERGED = 64
 # Noted pairs of entries kept before they are forgotten.
 MAX_NOTES = 150_000
-# Characters worked on at once.
-TOGETHER = 1 << 20
+# Characters worked on at once, so that most vectors stay in the cache.
+TOGETHER = 1 << 18
 # Entries below a trie node that are tried one by one.
 WIDE = 48
 NEVER = 1 << 60
+UNRANKED = np.int32((1 << 31) - 1)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 # Vectors shorter than this are run by a plain loop.
 FEW_LANES = 12
@@ -64,7 +68,7 @@ def _heads() -> np.ndarray:
     rows = np.zeros((SHORT + 1, 16), np.uint8)
     for n in range(SHORT + 1):
         rows[n, :n] = 255
-    return rows.view("<u8")
+    return np.ascontiguousarray(rows.view("<u8").T)
 
 
 HEADS = _heads()
@@ -207,10 +211,11 @@ class Transducer:
 
     def _forget(self) -> None:
         """Forget the ids of pieces.  A place holds one piece: its bytes, and where its ids are."""
-        self.held = np.zeros((1 << PLACES, 2), np.uint64)
-        self.place = np.zeros(1 << PLACES, np.int64)
-        self.size = np.zeros(1 << PLACES, np.int64)
-        self.pool = np.zeros(0, np.int32)
+        self.held = np.zeros((2, 1 << PLACES), np.uint64)
+        self.place = np.zeros(1 << PLACES, np.int32)
+        self.size = np.zeros(1 << PLACES, np.uint8)
+        self.pool = np.zeros(1 << 16, np.int32)
+        self.used = 0
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether BPE leaves the text of two tokens as these two.
@@ -319,10 +324,8 @@ class Transducer:
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         ends = np.cumsum(sizes)
         starts = piece_starts(points, ends)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        place = np.cumsum(width) - width
-        limits = np.concatenate([np.cumsum(width), [0]])[ends - 1] if len(points) else ends * 0
-        limits = np.where(ends > 0, limits, 0)
+        place = np.flatnonzero(data & 0xC0 != 0x80)
+        limits = np.append(place, len(data))[ends]
         begin = np.zeros(len(data) + 1, bool)
         begin[place[starts]] = True
         begin[-1] = True
@@ -414,32 +417,38 @@ class Transducer:
         place, size = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         # Up to 15 bytes and their number, as two numbers.
         short = np.flatnonzero(length <= SHORT)
-        window = sliding_window_view(np.append(data, np.zeros(SHORT + 1, np.uint8)), SHORT + 1)
-        word = window[start[short]].view("<u8") & HEADS[length[short]]
-        word[:, 1] |= length[short].astype(np.uint64) << np.uint64(56)
-        code = mix(word[:, 0] ^ (word[:, 1] * GOLDEN))
+        padded = np.append(data, np.zeros(SHORT + 1, np.uint8))
+        eight = np.ndarray(len(data) + SHORT - 6, "<u8", padded, strides=(1,))
+        at, n = start[short], length[short]
+        low = eight[at] & HEADS[0][n]
+        high = eight[at + 8] & HEADS[1][n] | n.astype(np.uint64) << np.uint64(56)
+        code = mix(low ^ (high * GOLDEN))
         at = (code >> np.uint64(64 - PLACES)).astype(np.int64)
-        held = self.held[at]
-        same = (held[:, 0] == word[:, 0]) & (held[:, 1] == word[:, 1])
-        hit = at[same]
-        place[short[same]], size[short[same]] = self.place[hit], self.size[hit]
-        new, word, code = short[~same], word[~same], code[~same]
+        same = (self.held[0][at] == low) & (self.held[1][at] == high)
+        hit, known = at[same], short[same]
+        place[known], size[known] = self.place[hit], self.size[hit]
+        fresh = np.flatnonzero(~same)
+        new, low, high, code = short[fresh], low[fresh], high[fresh], code[fresh]
         _, one, which = np.unique(code, return_index=True, return_inverse=True)
         # Pieces of equal hash and other bytes are read by themselves.
-        like = (word[one][which] == word).all(1)
+        like = (low[one][which] == low) & (high[one][which] == high)
         todo = np.concatenate([new[one], new[~like], np.flatnonzero(length > SHORT)])
         ids, sizes = self._read(data, start[todo], length[todo])
-        place[todo] = len(self.pool) + np.cumsum(sizes) - sizes
+        end = self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(end, np.int32))
+        self.pool[self.used : end] = ids
+        place[todo] = self.used + np.cumsum(sizes) - sizes
         size[todo] = sizes
         first = new[one][which]
         place[new[like]], size[new[like]] = place[first[like]], size[first[like]]
-        pool = np.concatenate([self.pool, ids])
-        if len(pool) > KEPT_IDS:
+        pool, self.used = self.pool, end
+        if end > KEPT_IDS:
             self._forget()
         else:
             at = (code[one] >> np.uint64(64 - PLACES)).astype(np.int64)
-            self.held[at], self.place[at], self.size[at] = word[one], place[new[one]], size[new[one]]
-            self.pool = pool
+            self.held[0][at], self.held[1][at] = low[one], high[one]
+            self.place[at], self.size[at] = place[new[one]], size[new[one]]
         end = np.cumsum(size)
         return pool[np.repeat(place - (end - size), size) + np.arange(end[-1] if len(end) else 0)], size
 
@@ -462,8 +471,107 @@ class Transducer:
         return token[where], np.diff(np.concatenate([[0], np.cumsum(where)])[np.concatenate([[0], end])])
 
 
+class Merger(Transducer):
+    """The same ids, those of short pieces by doing the merges of all of them side by side.
+
+    Pieces of invented words are new again and again; each would have the
+    transducer compile transitions that are not used afterwards.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        text = {i: t for t, i in self.vocab.items()}
+        self.nothing = max(self.vocab.values()) + 1
+        self.byte = np.array([self.vocab[bytes([b])] for b in range(256)], np.int64)
+        pairs = np.array(list(self.merges), np.int64).reshape(-1, 2)
+        self.rank_of = np.array(list(self.merges.values()), np.int32)
+        self.becomes = np.zeros(int(self.rank_of.max(initial=0)) + 1, np.int64)
+        self.becomes[self.rank_of] = [self.vocab[text[x] + text[y]] for x, y in self.merges]
+        self.pairs = pairs[:, 0] * (self.nothing + 1) + pairs[:, 1]
+        # Four places or more for each pair; a place has the number of its pair.
+        self.shift = np.uint64(64 - max(10, (4 * len(pairs)).bit_length()))
+        self.seat = np.full(1 << 64 - int(self.shift), -1, np.int64)
+        self.rank = np.full(len(self.seat), UNRANKED, np.int32)
+        left = np.arange(len(pairs))
+        slot = self._slots(self.pairs)
+        while len(left):
+            free = self.seat[slot] < 0
+            self.seat[slot[free]] = self.pairs[left[free]]
+            won = self.seat[slot] == self.pairs[left]
+            self.rank[slot[won]] = self.rank_of[left[won]]
+            left, slot = left[~won], slot[~won] + 1 & len(self.seat) - 1
+
+    def _slots(self, pair: np.ndarray) -> np.ndarray:
+        return (pair.astype(np.uint64) * GOLDEN >> self.shift).astype(np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each two tokens; ``UNRANKED`` where there is none."""
+        pair = a * (self.nothing + 1) + b
+        slot = self._slots(pair)
+        there = self.seat[slot]
+        out = np.where(there == pair, self.rank[slot], UNRANKED)
+        off = np.flatnonzero((there != pair) & (there >= 0))
+        while len(off):
+            slot[off] = slot[off] + 1 & len(self.seat) - 1
+            there = self.seat[slot[off]]
+            met = there == pair[off]
+            out[off[met]] = self.rank[slot[off[met]]]
+            off = off[~met & (there >= 0)]
+        return out
+
+    def _read(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, of, size = [], [], np.zeros(len(start), np.int64)
+        # Rows of about the same width are merged together; very long pieces pass the machine.
+        for least, most, read in ((0, SHORT, self._merged), (SHORT, MERGED, self._merged), (MERGED, NEVER, super()._read)):
+            mine = np.flatnonzero((length > least) & (length <= most))
+            if len(mine):
+                found, size[mine] = read(data, start[mine], length[mine])
+                ids.append(found)
+                of.append(np.repeat(mine, size[mine]))
+        if len(ids) < 2:
+            return ids[0] if ids else np.zeros(0, np.int32), size
+        return np.concatenate(ids)[np.argsort(np.concatenate(of), kind="stable")], size
+
+    def _merged(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces: of each, the first of the lowest merges is done, until none is left.
+
+        A row has the tokens of a piece between two columns of nothing; a
+        token that a merge takes away becomes nothing and is skipped by the
+        numbers of the columns before and after.
+        """
+        wide = int(length.max()) + 2
+        column = np.arange(wide)
+        real = (column > 0) & (column <= length[:, None])
+        place = np.minimum(start[:, None] + column - 1, len(data) - 1)
+        token = np.where(real, self.byte[data[np.maximum(place, 0)]], self.nothing)
+        rank = np.full(token.shape, UNRANKED, np.int32)
+        both = real[:, :-1] & real[:, 1:]
+        rank[:, :-1][both] = self._ranks(token[:, :-1][both], token[:, 1:][both])
+        before = np.tile(column - 1, len(start))
+        after = np.tile(column + 1, len(start))
+        tokens, ranks = token.reshape(-1), rank.reshape(-1)
+        row = np.arange(len(start)) * wide
+        while len(row):
+            best = rank.argmin(1) if len(row) == len(rank) else rank[row // wide].argmin(1)
+            at = row + best
+            least = ranks[at]
+            more = least < UNRANKED
+            row, at, least = row[more], at[more], least[more]
+            new = self.becomes[least]
+            gone = row + after[at]
+            far = after[gone]
+            tokens[at], tokens[gone], ranks[gone] = new, self.nothing, UNRANKED
+            after[at] = far
+            before[row + far] = at - row
+            ranks[at] = self._ranks(new, tokens[row + far])
+            left = row + before[at]
+            ranks[left] = self._ranks(tokens[left], new)
+        held = token != self.nothing
+        return token[held].astype(np.int32), held.sum(1)
+
+
 def few(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in lists of about a million characters, so that vectors stay small."""
+    """The texts in lists of about ``TOGETHER`` characters, so that vectors stay small."""
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -512,6 +620,6 @@ def piece_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(4)
-def transducer(path: str) -> Transducer:
-    """The machine of a vocabulary file, compiled once per worker."""
-    return Transducer(path)
+def transducer(path: str, merges: bool = False) -> Transducer:
+    """The machine of a vocabulary file, compiled once per worker; one that merges new short pieces if wanted."""
+    return Merger(path) if merges else Transducer(path)

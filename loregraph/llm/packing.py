@@ -161,15 +161,17 @@ def halves(items: list[Item], size: int) -> list[list[tuple[Item, int, int]]]:
 def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens in order, and how often each occurs."""
     found = np.sort(ids, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    return found[at], np.diff(np.append(at, len(found)))
+    first = np.ones(len(found) + 1, bool)
+    np.not_equal(found[1:], found[:-1], out=first[1:-1])
+    at = first.nonzero()[0]
+    return found[at[:-1]], at[1:] - at[:-1]
 
 
 def _tokens(docs: DataFrame, vocab: str | None, end: int) -> DataFrame:
     """doc_id, node (64 bits of the text), n, raw, ids: the packed tokens and their bytes before packing."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, codec = transducer(vocab or vocabulary()), pa.Codec("zstd")
+        machine, codec = transducer(vocab or vocabulary(), True), pa.Codec("zstd")
         for batch in batches(source, tokenizes=True):
             found = machine.ids([t.decode("utf-8", "replace") for t in raw(batch.column(2))])
             every = [np.append(i, end) for i in found]
@@ -236,14 +238,18 @@ def _routes(tokens: DataFrame, shared) -> DataFrame:
                 term, tf = terms_of(ids)
                 useful = (idf[term] > 0) & (df[term] > 1)
                 term, tf = term[useful].astype(np.int64), tf[useful]
-                weight = idf[term] * tf / (tf + K1 * (1 - B + B * n / corpus.mean))
-                top = term[np.lexsort((term, -weight))[:STRONGEST]]
+                less = -(idf[term] * tf / (tf + K1 * (1 - B + B * n / corpus.mean)))
+                # Of equal weights the smaller term counts; terms are in order.
+                at = np.flatnonzero(less <= np.partition(less, STRONGEST)[STRONGEST]) if len(less) > STRONGEST else slice(None)
+                top = term[at][np.argsort(less[at], kind="stable")[:STRONGEST]]
                 hot = np.sort(top[df[top] > HOT]).tolist()
                 keys = [-1 - t for t in top[df[top] <= HOT].tolist()]
                 keys += [x << 32 | y for i, x in enumerate(hot) for y in hot[i + 1 :]]
                 if keys or hot:
-                    plain = np.concatenate([np.diff(term, prepend=0), tf]).astype("<u4").view(np.uint8)
-                    packed = codec.compress(plain.reshape(-1, 4).T.tobytes(), asbytes=True)
+                    plain = np.empty(2 * len(term), "<u4")
+                    plain[: len(term)], plain[len(term) :] = term, tf
+                    plain[1 : len(term)] -= term[:-1].astype("<u4")
+                    packed = codec.compress(plain.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
                     out += [(k, node, n, len(term), packed) for k in keys or [-1 - hot[0]]]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [*[pa.int64()] * 4, pa.binary()]
@@ -264,27 +270,36 @@ class Vectors:
         self.place = np.zeros(len(self.idf), np.int64)
         self.codec = pa.Codec("zstd")
 
-    def read(self, n: int, terms: int, vector: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a document and their BM25 weights."""
-        plain = np.frombuffer(self.codec.decompress(vector, 8 * terms, asbytes=True), np.uint8)
-        both = plain.reshape(4, -1).T.copy().view("<u4").ravel()
-        term, tf = np.cumsum(both[:terms], dtype=np.int64), both[terms:].astype(np.float32)
-        norm = np.float32(K1 * (1 - B + B * n / self.mean))
-        return term, self.idf[term] * tf * np.float32(K1 + 1) / (tf + norm)
-
-    def scores(self, seeds: list[tuple], others: list[tuple]) -> np.ndarray:
+    def read(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of documents, one after the other, their BM25 weights, and how many each has."""
+        size = np.array([r[3] for r in rows], np.int64)
+        plain = [self.codec.decompress(r[4], 8 * r[3], asbytes=True) for r in rows]
+        data = np.frombuffer(b"".join(plain), np.uint8)
+        # Four planes of bytes for each document, each of its terms' differences and their numbers.
+        before, span = np.cumsum(size) - size, np.repeat(size, size)
+        at = np.arange(len(span)) + np.repeat(7 * before, size)
+        step, tf = data[at].astype(np.int64), data[at + span].astype(np.int64)
+        for shift in (8, 16, 24):
+            at += 2 * span
+            step |= data[at].astype(np.int64) << shift
+            tf |= data[at + span].astype(np.int64) << shift
+        total = np.concatenate([[0], np.cumsum(step)])
+        term, tf = total[1:] - np.repeat(total[before], size), tf.astype(np.float32)
+        n = np.array([r[2] for r in rows], np.int64)
+        norm = np.repeat((K1 * (1 - B + B * n / self.mean)).astype(np.float32), size)
+        return term, self.idf[term] * tf * np.float32(K1 + 1) / (tf + norm), size
+
+    def scores(self, seeds: tuple, others: tuple) -> np.ndarray:
         """BM25 of each of the others for all terms of each seed."""
-        term = np.concatenate([t for t, _ in others])
+        term, weight, size = others
         names = np.flatnonzero(np.bincount(term, minlength=len(self.place)))
         self.place[:] = -1
         self.place[names] = np.arange(len(names))
-        have = np.zeros((len(others), len(names)), np.float32)
-        have[np.repeat(np.arange(len(others)), [len(t) for t, _ in others]), self.place[term]] = np.concatenate(
-            [w for _, w in others]
-        )
-        asked = self.place[np.concatenate([t for t, _ in seeds])]
-        row = np.repeat(np.arange(len(seeds)), [len(t) for t, _ in seeds])
-        want = np.zeros((len(seeds), len(names)), np.float32)
+        have = np.zeros((len(size), len(names)), np.float32)
+        have[np.repeat(np.arange(len(size)), size), self.place[term]] = weight
+        asked = self.place[seeds[0]]
+        row = np.repeat(np.arange(len(seeds[2])), seeds[2])
+        want = np.zeros((len(seeds[2]), len(names)), np.float32)
         want[row[asked >= 0], asked[asked >= 0]] = 1
         return want @ have.T
 
@@ -320,15 +335,15 @@ def _nearest(routes: DataFrame, shared) -> DataFrame:
         of = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
         top = np.full(len(rows), -1.0, np.float32)
         to = np.zeros(len(rows), np.int64)
-        read = [space.read(*r[2:]) for r in rows] if len(rows) <= LARGE else None
+        read = space.read(rows) if 0 < len(rows) <= LARGE else None
         for i in range(0, len(rows), LARGE):
             seeds = slice(i, i + LARGE)
-            ours = read or [space.read(*r[2:]) for r in rows[seeds]]
+            ours = read or space.read(rows[seeds])
             for j in range(0, len(rows), LARGE):
                 others = slice(j, j + LARGE)
                 if of[i] > of[others][-1] or of[seeds][-1] < of[j]:
                     continue
-                score = space.scores(ours, read or [space.read(*r[2:]) for r in rows[others]])
+                score = space.scores(ours, read or space.read(rows[others]))
                 score[of[seeds, None] != of[others]] = -1
                 score[node[seeds, None] == node[others]] = -1
                 at = score.argmax(1)

@@ -69,6 +69,26 @@ def test_tables_are_built_anew(monkeypatch):
         assert machine.counts([text]).tolist() == [len(x) for x in want([text])]
 
 
+def test_new_pieces_are_merged_side_by_side():
+    machine, rng = transducer(vocabulary(), True), random.Random(7)
+    words = ["".join(rng.choices("tionghershandé", k=rng.randint(1, 30))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    texts += ["", " ", "a" * 63, "b" * 64, "c" * 65, "=" * 15 + "\n" * 16, "aaaa" * 4, "日本語 テスト <|endoftext|>", "x" * 5000]
+    for _ in range(2):
+        assert [x.tolist() for x in machine.ids(texts)] == want(texts)
+    # Only what is longer than a row of the merges compiled transitions.
+    before = machine.steps
+    machine.ids(["".join(rng.choices("qzvkwj", k=20)) for _ in range(500)])
+    assert machine.steps == before
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=8))
+def test_any_strings_merged(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    assert [x.tolist() for x in transducer(vocabulary(), True).ids(texts)] == want(texts)
+
+
 def test_count_tokens(odd, none):
     got = sorted((r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in count_tokens(odd).collect())
     texts = [t or "" for _, t in ODD]
