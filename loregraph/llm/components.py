@@ -11,22 +11,35 @@ from pyspark.sql import functions as F
 from loregraph.session import cut_lineage
 
 
+# Edges of a task that are reduced together.
+TOGETHER = 200_000
+
+
 def _forest(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges of a batch of rows, reduced to one edge per node."""
-    for rows in source:
-        parent: dict = {}
+    """Edges of many batches of rows, reduced to one edge per node."""
 
-        def find(x, parent=parent):
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent.setdefault(up, up)
-            return x
+    def find(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
 
+    def out() -> pd.DataFrame:
+        pairs = [(x, r) for x in parent if (r := find(x)) != x]
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    parent: dict = {}
+    held = 0
+    for rows in source:
         for a, b in zip(rows["a"], rows["b"], strict=True):
             ra, rb = find(a), find(b)
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
-        pairs = [(x, r) for x in parent if (r := find(x)) != x]
-        yield pd.DataFrame(pairs, columns=["a", "b"])
+        held += len(rows)
+        if held >= TOGETHER:
+            yield out()
+            parent, held = {}, 0
+    if parent:
+        yield out()
 
 
 def connected(edges: DataFrame, kind: str) -> DataFrame:

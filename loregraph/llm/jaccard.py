@@ -490,7 +490,8 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     )
     # The same join at every size: few rows remain, but their number is not bounded.
     read = cut_lineage(read.join(able.hint("merge"), "rid", "left_semi"))
-    groups = connected(_candidate_edges(read, words, percent), "long")
+    # The shuffle puts edges into tasks by their bytes, so that few tasks hold them and reduce them together.
+    groups = connected(_candidate_edges(read, words, percent).distinct(), "long")
     nodes = cut_lineage(
         sets.filter(F.col("n") > 0)
         .groupBy("key", "node")

@@ -75,6 +75,17 @@ def test_unrelated_sets_have_no_equal_part(percent):
     assert max(map(len, owners.values())) == 1
 
 
+def test_batches_of_edges_are_reduced_together():
+    import pandas as pd
+
+    from loregraph.llm.components import _forest
+
+    # Each batch connects the same nodes by another chain.
+    batches = [pd.DataFrame({"a": range(0, 100 - k), "b": range(k, 100)}) for k in (1, 2, 3, 5)]
+    found = pd.concat(_forest(iter(batches)))
+    assert len(found) == 99 and set(found["b"]) == {0}
+
+
 def join_plainly(rows, words, percent):
     sets = []
     for _, t in rows:
