@@ -50,7 +50,9 @@ def connected(edges: DataFrame, kind: str) -> DataFrame:
     logarithm of the longest path.  Every round is a written table, so a lost
     executor costs one round at most.
     """
-    now = cut_lineage(edges.select("a", "b").filter("a <> b").mapInPandas(_forest, f"a {kind}, b {kind}"))
+    # What the edges were found from is shuffled no more.
+    reduced = edges.select("a", "b").filter("a <> b").mapInPandas(_forest, f"a {kind}, b {kind}")
+    now = cut_lineage(reduced, free=True)
     before = None
     while True:
         # a > b from here on.
@@ -71,7 +73,7 @@ def connected(edges: DataFrame, kind: str) -> DataFrame:
             .unionByName(low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        now = cut_lineage(small)
+        now = cut_lineage(small, free=True)
         state = now.agg(
             F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")
         ).first()

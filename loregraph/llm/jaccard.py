@@ -15,6 +15,8 @@ from loregraph.session import cut_lineage, shuffle_width
 
 # Set elements that one task searches at a time; larger groups are cut into blocks.
 BLOCK_TOKENS = 800_000
+# Set elements and rows whose elements a task sends together; a row's number among them has two bytes.
+SHARE_TOKENS, SHARE_ROWS = 1_000_000, 60_000
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,93 +132,155 @@ def _sets(read: DataFrame, words: int) -> DataFrame:
     return columns.mapInArrow(run, "doc_id long, rid long, n long, key binary, node long")
 
 
-def _shared(read: DataFrame, words: int) -> DataFrame:
-    """rid, c: how many elements of each set another row has, too.
+def planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: high bytes, mostly equal, are compressed away."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
 
-    Elements travel as five bytes besides their bucket, so c may be too large
-    by chance but is never too small.
+
+def from_planes(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _shares(source: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """rid and sets of so many rows as are sent together."""
+    rid: list[int] = []
+    sets: list[np.ndarray] = []
+    held = 0
+    for batch in batches(source):
+        for one, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+            rid.append(one)
+            sets.append(shingles(text, words))
+            held += len(sets[-1])
+            if held >= SHARE_TOKENS or len(sets) == SHARE_ROWS:
+                yield np.array(rid, np.int64), sets
+                rid, sets, held = [], [], 0
+    if sets:
+        yield np.array(rid, np.int64), sets
+
+
+def _groups(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """Rows with the same number in the first column, which they are sorted by, without that column."""
+    now, held = None, []
+    for batch in source:
+        for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and key != now:
+                yield now, held
+                held = []
+            now = key
+            held.append(row)
+    if held:
+        yield now, held
+
+
+SENT = ["bucket", "name", "open", "c0", "c1"]
+
+
+def _elements(read: DataFrame, words: int, width: int) -> DataFrame:
+    """The elements of the rows of a share, by bucket, and from ``width`` on the rows themselves.
+
+    An element is four bytes besides its bucket and the number of its row in
+    the share, so what is sent does not depend on the number of buckets; only
+    one row of each share has the rid and size of its sets.  A share's name
+    comes from its rids.  ``open`` is the number of its buckets in that row, -1 in theirs.
     """
-    width = shuffle_width(read.sparkSession)
-    owners = 4 * width
-    most = 60_000
 
-    def local(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches(source):
-            for at in range(0, whole.num_rows, most):
-                batch = whole.slice(at, most)
-                rid = batch.column(0).to_numpy()
-                sets = [shingles(t, words) for t in raw(batch.column(1))]
-                token = np.concatenate(sets)
-                doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
-                bucket = (token % np.uint64(width)).astype(np.int64)
-                order = stable_order(bucket)
-                packed = (token // np.uint64(width))[order].view(np.uint8).reshape(-1, 8)[:, :5]
-                doc, cut = doc[order], np.searchsorted(bucket[order], np.arange(width + 1))
-                has = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(has.astype(np.int32)),
-                        pa.array([packed[cut[b] : cut[b + 1]].tobytes() for b in has], pa.binary()),
-                        pa.array([doc[cut[b] : cut[b + 1]].tobytes() for b in has], pa.binary()),
-                        pa.array([rid.tobytes()] * len(has), pa.binary()),
-                    ],
-                    names=["bucket", "c0", "c1", "c2"],
-                )
-
-    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in source:
-            for bucket, *c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                if held and bucket != now:
-                    yield from tally(held)
-                    held = []
-                now = bucket
-                held.append(c)
-        if held:
-            yield from tally(held)
-
-    def tally(held: list) -> Iterator[pa.RecordBatch]:
-        five = np.frombuffer(b"".join(h[0] for h in held), np.uint8).reshape(-1, 5)
-        rid = np.frombuffer(b"".join(h[2] for h in held), np.int64)
-        base = np.cumsum([0, *(len(h[2]) // 8 for h in held[:-1])])
-        size = [len(h[1]) // 2 for h in held]
-        doc = np.frombuffer(b"".join(h[1] for h in held), np.uint16) + np.repeat(base.astype(np.int32), size)
-        held.clear()
-        c = np.zeros(len(rid), np.int64)
-        for part in range(8):  # so that few numbers are sorted at a time
-            mine = np.flatnonzero(five[:, 0] & 7 == part)
-            token = np.zeros((len(mine), 8), np.uint8)
-            token[:, :5] = five[mine]
-            token = token.view(np.uint64).ravel()
-            order = np.argsort(token)
-            same = token[order[1:]] == token[order[:-1]]
-            twice = np.zeros(len(token), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            c += np.bincount(doc[mine[twice]], minlength=len(rid))
-        has = np.flatnonzero(c)
-        yield from _dealt(rid[has] % owners, rid[has], c[has].astype(np.uint32))
-
-    def total(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rid, c in _by_bucket(source, ["i8", "u4"]):
-            names, back = np.unique(rid, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(np.bincount(back, weights=c).astype(np.int64))],
-                names=["rid", "c"],
-            )
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for rid, sets in _shares(source, words):
+            n = np.array([len(x) for x in sets], np.int64)
+            token = np.concatenate(sets)
+            doc = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
+            bucket = (token % np.uint64(width)).astype(np.int64)
+            order = stable_order(bucket)
+            cut = np.searchsorted(bucket[order], np.arange(width + 1))
+            token, doc = (token // np.uint64(width)).astype(np.uint32)[order], doc[order]
+            has = np.flatnonzero(np.diff(cut))
+            name = int(np.uint64(xxhash.xxh3_64_intdigest(rid.tobytes())).astype(np.int64))
+            columns = [
+                pa.array([*has.tolist(), width + name % width], pa.int32()),
+                pa.array([name] * (len(has) + 1), pa.int64()),
+                pa.array([-1] * len(has) + [len(has)], pa.int32()),
+                pa.array([*(token[cut[b] : cut[b + 1]].tobytes() for b in has), rid.tobytes()], pa.binary()),
+                pa.array([*(planes(doc[cut[b] : cut[b + 1]]) for b in has), n.tobytes()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=SENT)
+
+    return read.select("rid", "text").mapInArrow(run, "bucket int, name long, open int, c0 binary, c1 binary")
+
+
+def _tally(elements: list[bytes]) -> np.ndarray:
+    """Whether each element is there more than once."""
+    token = np.frombuffer(b"".join(elements), np.uint32)
+    twice = np.zeros(len(token), bool)
+    for part in range(8):  # so that few numbers are sorted at a time
+        mine = np.flatnonzero(token & 7 == part)
+        order = mine[np.argsort(token[mine])]
+        same = token[order[1:]] == token[order[:-1]]
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+    return twice
+
+
+def _counts(sent: DataFrame, width: int) -> DataFrame:
+    """Per share and bucket, which rows have elements there that others have, too, and how many."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(source):
+            if bucket < width:
+                twice = _tally([r[2] for r in rows])
+                at = 0
+                for r in rows:
+                    of = twice[at : at + len(r[2]) // 4]
+                    at += len(of)
+                    doc = from_planes(r[3], "u2")[of]
+                    new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])
+                    r[2] = planes(doc[new])
+                    r[3] = planes(np.diff(np.append(new, len(doc))).astype(np.uint32))
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=SENT[1:])
 
     return (
-        read.select("rid", "text")
-        .mapInArrow(local, "bucket int, c0 binary, c1 binary, c2 binary")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(count, "bucket int, c0 binary, c1 binary")
-        .repartition("bucket")
+        sent.repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(total, "rid long, c long")
+        .mapInArrow(run, "name long, open int, c0 binary, c1 binary")
     )
 
 
+def _few_shared(counts: DataFrame, percent: int) -> DataFrame:
+    """rid of rows that share too few elements.
+
+    A share that is not complete, as a lost task made it anew from rows in
+    another order, has none: its rows go on.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(source):
+            heads = {(r[1], r[2]) for r in rows if r[0] >= 0}
+            if sum(r[0] for r in rows) or len(heads) != 1:
+                continue
+            rid, n = (np.frombuffer(x, np.int64) for x in heads.pop())
+            c = np.zeros(len(rid), np.int64)
+            for r in rows:
+                if r[0] < 0:
+                    c[from_planes(r[1], "u2")] += from_planes(r[2], "u4")
+            few = rid[(c == 0) | (100 * c < percent * n)]
+            yield pa.RecordBatch.from_arrays([pa.array(few)], names=["rid"])
+
+    return counts.repartition("name").sortWithinPartitions("name").mapInArrow(run, "rid long")
+
+
+def _alone(read: DataFrame, words: int, percent: int) -> DataFrame:
+    """rid of rows of which other rows have too few elements to link with.
+
+    Elements travel as four bytes besides their bucket, so too many may seem
+    to be shared by chance, but never too few.
+    """
+    width = shuffle_width(read.sparkSession)
+    return _few_shared(_counts(_elements(read, words, width), width), percent)
+
+
 def stable_order(keys: np.ndarray) -> np.ndarray:
     """Stable order of small non-negative numbers, by 16 bits at a time."""
     order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
@@ -481,22 +545,18 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     """
     read = texts(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
     sets = cut_lineage(_sets(read, words))
-    able = (
-        sets.select("rid", "n")
-        .join(_shared(read, words), "rid")
-        .filter(100 * F.col("c") >= percent * F.col("n"))
-        .select("rid")
-        .distinct()
-    )
+    # Elements and texts are shuffled one after the other, so that both are not on disk at once.
+    alone = cut_lineage(_alone(read, words, percent), free=True)
     # The same join at every size: few rows remain, but their number is not bounded.
-    read = cut_lineage(read.join(able.hint("merge"), "rid", "left_semi"))
+    read = cut_lineage(read.join(alone.hint("merge"), "rid", "left_anti"), free=True)
     # The shuffle puts edges into tasks by their bytes, so that few tasks hold them and reduce them together.
     groups = connected(_candidate_edges(read, words, percent).distinct(), "long")
     nodes = cut_lineage(
         sets.filter(F.col("n") > 0)
         .groupBy("key", "node")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-        .join(groups, "node")
+        .join(groups, "node"),
+        free=True,
     )
     sizes = nodes.groupBy("root").agg(F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK_TOKENS).cast("int")

@@ -59,16 +59,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+# Of Spark: whether the shuffle files of a query go when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` as a table to the shared checkpoint folder and read that.
 
     For results used more than once.  Unlike an RDD checkpoint the files are
     columnar, so later readers fetch only the columns they need, and their
-    size is known when joins are planned.
+    size is known when joins are planned.  With ``free`` the shuffle files of
+    this write go at once, not when the driver happens to collect its garbage;
+    where Spark lacks the setting, they stay until then.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE, "false") if free else None
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -86,6 +86,91 @@ def test_batches_of_edges_are_reduced_together():
     assert len(found) == 99 and set(found["b"]) == {0}
 
 
+def few_shared_plainly(rows, words, percent):
+    sets = [set(jaccard.shingles((t or "").encode(), words).tolist()) for _, t in rows]
+    many = Counter(x for s in sets for x in s)
+    shared = [sum(many[x] > 1 for x in s) for s in sets]
+    return {r for r, s, c in zip(rows, sets, shared, strict=True) if not c or 100 * c < percent * len(s)}
+
+
+def with_rid(docs):
+    from pyspark.sql import functions as F
+
+    return jaccard.texts(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
+
+
+def test_elements_sent_do_not_grow_with_the_buckets(make_docs):
+    from pyspark.sql import functions as F
+
+    read = with_rid(make_docs(near_copies(5)))
+    size = F.sum(F.length("c0") + F.length("c1")).alias("size")
+    few, many = (jaccard._elements(read, 5, width).agg(size).first()["size"] for width in (2, 500))
+    assert few == many
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_rows_with_few_shared_elements(make_docs, words, percent):
+    rows = near_copies(words)
+    read = with_rid(make_docs(rows))
+    name = {(r["doc_id"], r["text"]): r["rid"] for r in read.collect()}
+    few = {name[d, t or ""] for d, t in few_shared_plainly(rows, words, percent)}
+    assert 0 < len(few) < len(name)
+    for width in (1, 7, 300):
+        counts = jaccard._counts(jaccard._elements(read, words, width), width)
+        assert {r["rid"] for r in jaccard._few_shared(counts, percent).collect()} == few
+
+
+def test_rows_of_shares_that_are_not_complete_go_on(make_docs):
+    read = with_rid(make_docs(near_copies(5)))
+    counts = jaccard._counts(jaccard._elements(read, 5, 7), 7).cache()
+    whole = {r["rid"] for r in jaccard._few_shared(counts, 80).collect()}
+    shares = [r["name"] for r in counts.select("name").distinct().collect()]
+    assert len(shares) == 3
+    for lost in (counts.filter("open < 0").first(), counts.filter("open > 0").first()):
+        less = counts.subtract(counts.sparkSession.createDataFrame([lost], counts.schema))
+        got = {r["rid"] for r in jaccard._few_shared(less, 80).collect()}
+        rest = counts.filter(counts["name"] != lost["name"])
+        assert got == {r["rid"] for r in jaccard._few_shared(rest, 80).collect()} < whole
+    counts.unpersist()
+
+
+def test_shares_of_rows(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a b c d e f g h", "", "a", "x y z " * 9, "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array(texts)], names=["rid", "text"])
+    for tokens, most in ((10**6, 10**4), (1, 10**4), (10**6, 2), (6, 3)):
+        monkeypatch.setattr(jaccard, "SHARE_TOKENS", tokens)
+        monkeypatch.setattr(jaccard, "SHARE_ROWS", most)
+        found = list(jaccard._shares(iter([batch]), 2))
+        assert [x for rid, _ in found for x in rid.tolist()] == [0, 1, 2, 3, 4]
+        sets = [s.tolist() for _, sets in found for s in sets]
+        assert sets == [jaccard.shingles(t.encode(), 2).tolist() for t in texts]
+        assert all(len(s) <= most and sum(map(len, s[:-1])) < tokens for _, s in found)
+
+
+def test_shuffled_texts_go_before_the_next_step(spark, make_docs):
+    import time
+
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        files = [files.apply(i) for i in range(files.size())]
+        return {f.getPath(): f.length() for f in files if f.getName().startswith("shuffle") and f.getName().endswith(".data")}
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(str(rng.getrandbits(40)) for _ in range(300))) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in rows[:50]]
+    before = shuffled()
+    joined = jaccard.jaccard_join(make_docs(rows))
+    for _ in range(20):  # files go in the background
+        left = sum(n for f, n in shuffled().items() if f not in before)
+        if left < 50_000:
+            break
+        time.sleep(0.5)
+    assert left < 50_000 < sum(len(t) for _, t in rows) / 10
+    assert sum(r["component_id"] != r["doc_id"] for r in joined.collect()) == 50
+
+
 def join_plainly(rows, words, percent):
     sets = []
     for _, t in rows:
